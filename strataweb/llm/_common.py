@@ -5,12 +5,9 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words a worker remembers the hash of; it forgets them all beyond that.
-WORD_CACHE = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,19 +43,6 @@ def by_small(df: DataFrame, small: DataFrame, on, how: str, rows: int = 100_000)
     return df.join(F.broadcast(small) if fits else small, on, how)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), computed once a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 0)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def encoded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
@@ -90,3 +74,55 @@ def runs(lengths: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive runs of these lengths."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+#: ASCII white space: the bytes between words.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: A factor, odd and 3 or 5 modulo 8 as are its odd powers, and its inverse modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+class Words:
+    """The words of some texts, one text after another: h their 64-bit hashes, doc and pos where each
+    stands; n and first, for each text, its number of words and its first one. gap: the bytes between words.
+
+    A word's hash is a polynomial of its bytes' values modulo 2**64, mixed.
+    """
+
+    def __init__(self, texts: list[str | None], gap: np.ndarray = SPACE):
+        raw = [encoded(t) if t else b"" for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        self.byte = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        self.begin = np.cumsum(size) - size
+        edge = np.flatnonzero(np.diff(gap[self.byte], prepend=True))
+        self.start, self.end = edge[::2], edge[1::2]
+        power, inverse = _powers(len(self.byte) + 1)
+        sums = np.cumsum(_VALUE[self.byte] * power[: len(self.byte)])
+        before = np.where(self.start > 0, sums[self.start - 1], np.uint64(0))
+        self.h = mix((sums[self.end - 1] - before) * inverse[self.start]) if len(self.start) else np.zeros(0, np.uint64)
+        upto = np.searchsorted(self.start, self.begin + size)
+        self.n = np.diff(upto, prepend=0)
+        self.first = upto - self.n
+        self.doc = np.repeat(np.arange(len(raw)), self.n)
+        self.pos = np.arange(len(self.h)) - self.first[self.doc]
+
+
+def blocks(texts: list[str | None], chars: int = 2_000_000):
+    """Consecutive parts of the texts, of about so many characters: the first's place, and the part."""
+    k = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= chars or i == len(texts) - 1:
+            yield k, texts[k : i + 1]
+            k, size = i + 1, 0

@@ -25,32 +25,32 @@ HOST_RATE = 0.5
 #: Limits of the prior's weight, in documents.
 LIGHTEST, HEAVIEST = 2.0, 1e6
 RULES = ("short", "repetitive", "symbols", "lines")
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 SYMBOL = np.isin(np.arange(256), [*b"#*$%&|<>"])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def counts(text: str | None, hashes: c.WordHashes) -> tuple[int, int, int, int, int]:
-    """COUNTS of one text."""
-    if not text:
-        return (0,) * 5
-    raw = c.encoded(text)
-    byte, words = np.frombuffer(raw, np.uint8), raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeated = 0
-    if len(words) > REPEAT_WINDOW:
-        _, of, n = np.unique(c.ngrams(hashes.of(words), REPEAT_WINDOW), return_inverse=True, return_counts=True)
-        again = np.flatnonzero(n[of] > 1)
-        repeated = int(c.spans(again, REPEAT_WINDOW, len(words)).sum()) if len(again) else 0
-    return len(words), len(text) - int(SPACE[byte].sum()), int(SYMBOL[byte].sum()), len(lines) - len(set(lines)), repeated
+def counts(texts: list[str | None]) -> list[np.ndarray]:
+    """COUNTS of the texts."""
+    x = c.Words(texts)
+    points = np.array([len(t or "") for t in texts], np.int64)
+    summed = lambda flag: np.diff(np.append(0, np.cumsum(flag, dtype=np.int64))[np.append(x.begin, len(x.byte))])
+    blank = summed(c.SPACE[x.byte]) - 1  # but for the one behind the text
+    gram = c.ngrams(x.h, REPEAT_WINDOW)
+    starts = np.flatnonzero(x.pos + REPEAT_WINDOW <= x.n[x.doc])
+    order = starts[np.lexsort((gram[starts], x.doc[starts]))]
+    same = (np.diff(gram[order]) == 0) & (np.diff(x.doc[order]) == 0)
+    twice = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    covered = np.append(0, np.cumsum(c.spans(twice, REPEAT_WINDOW, len(x.h)), dtype=np.int64))
+    lines = [[y for y in c.encoded(t).split(b"\n") if y.strip()] if t and "\n" in t else () for t in texts]
+    dup = np.array([len(y) - len(set(y)) for y in lines], np.int64)
+    return [x.n, points - blank, summed(SYMBOL[x.byte]), dup, covered[x.first + x.n] - covered[x.first]]
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = c.WordHashes()
     for b in batches:
-        rows = [counts(t.as_py(), hashes) for t in b.column(0)]
-        cols = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*b.schema.names[1:], *COUNTS])
+        for k, texts in c.blocks(b.column(0).to_pylist()):
+            cols = [pa.array(x, pa.int64()) for x in counts(texts)]
+            yield pa.RecordBatch.from_arrays([*(y.slice(k, len(texts)) for y in b.columns[1:]), *cols], names=[*b.schema.names[1:], *COUNTS])
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:

@@ -10,12 +10,10 @@ hash across shards. Equal texts share a shard, except that a text with very many
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -23,160 +21,150 @@ from . import _common as c
 WINDOW, PHRASE = 20, 6
 #: Characters of text in a shard, about; copies of one text that share a shard, about.
 SHARD_CHARS, COPIES = 4_000_000, 64
-#: Words that are hashed together.
-BLOCK = 400_000
 
 
-class Block:
-    """Some documents' words, one after another."""
+class Block(c.Words):
+    """Some documents' words; starts of windows, and the start of each one's least phrase."""
 
-    def __init__(self, hashes: c.WordHashes, texts: list[str | None], window: int, phrase: int):
-        words = [c.encoded(t).split() if t else [] for t in texts]
-        self.n = np.array([len(w) for w in words], np.int64)
-        self.first = np.cumsum(self.n) - self.n
-        self.h = hashes.of([x for w in words for x in w])
-        self.doc = np.repeat(np.arange(len(texts)), self.n)
-        left = np.repeat(self.first + self.n, self.n) - np.arange(len(self.h))
-        starts = np.flatnonzero(left >= window)
+    def __init__(self, texts: list[str | None], window: int, phrase: int):
+        super().__init__(texts)
+        self.starts = np.flatnonzero(self.pos + window <= self.n[self.doc])
         self.grams = c.ngrams(self.h, phrase)
-        least, at = self.grams[starts], starts.copy()
+        least, at = self.grams[self.starts], self.starts.copy()
         for k in range(1, window - phrase + 1):
-            other = self.grams[starts + k]
+            other = self.grams[self.starts + k]
             less = other < least
-            least[less], at[less] = other[less], starts[less] + k
-        #: Starts of windows, and the start of each one's least phrase.
-        self.starts, self.at = starts, at
+            least, at = np.minimum(least, other), np.where(less, self.starts + k, at)
+        self.at = at
+        #: Least phrases, each place once; they are in order, as windows are.
+        self.least = at[np.diff(at, prepend=-1) != 0]
 
 
-def blocks(hashes: c.WordHashes, texts: list[str | None], window: int, phrase: int) -> Iterator[tuple[int, Block]]:
-    k, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 6
-        if size >= BLOCK or i == len(texts) - 1:
-            yield k, Block(hashes, texts[k : i + 1], window, phrase)
-            k, size = i + 1, 0
+def _texts(docs: pa.Table) -> tuple[np.ndarray, list[str | None]]:
+    """A shard's documents by id, ids as far as there are any."""
+    docs = docs.filter(docs.column("doc_id").is_valid()).sort_by("doc_id")
+    return docs.column("doc_id").to_numpy(), docs.column("text").to_pylist()
 
 
 def _phrases(window: int, phrase: int):
-    """(text, shard) to (phrase, shard, n): the least phrases' hashes, and how often a batch has them."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = c.WordHashes()
-        for b in batches:
-            shard = b.column(1).to_numpy()
-            for k, x in blocks(hashes, b.column(0).to_pylist(), window, phrase):
-                at = np.unique(x.at)
-                pair = np.stack([x.grams[at].view(np.int64), shard[k + x.doc[at]]])
-                order = np.lexsort(pair)
-                pair = pair[:, order]
-                new = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(0))) if len(order) else order
-                n = np.diff(np.append(new, len(order)))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0, new]), pa.array(pair[1, new].astype(np.int32)), pa.array(n.astype(np.int32))], names=["phrase", "shard", "n"])
+    """A shard to (phrase, shard, again): its least phrases, and whether it has one more than once."""
+
+    def each(docs: pa.Table) -> pa.Table:
+        found = [x.grams[x.least] for _, t in c.blocks(_texts(docs)[1]) for x in [Block(t, window, phrase)]]
+        value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        shard = pa.repeat(docs.column("shard")[0], len(value)) if docs.num_rows else pa.array([], pa.int32())
+        return pa.table({"phrase": value.view(np.int64), "shard": shard, "again": n > 1})
 
     return each
 
 
-def automaton(ids: np.ndarray, starts: np.ndarray, phrase: int) -> ahocorasick.Automaton:
-    """Finds the phrases that begin at starts of the word ids."""
+def automaton(symbols: np.ndarray, starts: np.ndarray, phrase: int) -> ahocorasick.Automaton:
+    """Finds the phrases that begin at starts of the symbols."""
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for k, s in enumerate(starts.tolist()):
-        found.add_word(tuple(ids[s : s + phrase].tolist()), k)
-    if len(starts):
-        found.make_automaton()
+        found.add_word(tuple(symbols[s : s + phrase].tolist()), k)
+    found.make_automaton()
     return found
 
 
 def _windows(window: int, phrase: int):
-    """A shard's documents and the recurring phrases it has, to (doc, h, at) of its first windows, and its others.
+    """A shard's documents and the recurring phrases it has, to windows that may be repeats.
 
-    at holds 32 more bits of the hash above the position; for windows that repeat one of the shard,
-    h is null and at is the position.
+    Those that are the shard's first ones have 96 bits of hash (h, more) and a count of 0; runs of
+    those that aren't have a count, and a place for a hash.
     """
 
     def each(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-        hashes, wanted = c.WordHashes(), np.unique(recurring.column("phrase").to_numpy()).view(np.uint64)
-        order = np.argsort(docs.column("doc_id").to_numpy(), kind="stable") if docs.num_rows else []
-        ids_of, texts = docs.column("doc_id").to_numpy()[order], docs.column("text").take(pa.array(order, pa.int64())).to_pylist()
-        out: list[tuple[np.ndarray, ...]] = []
-        for k, x in blocks(hashes, texts, window, phrase):
-            some, index = np.unique(x.grams[np.unique(x.at)], return_index=True)
-            some_at = np.unique(x.at)[index][np.isin(some, wanted)]
-            if not len(some_at):
+        wanted = np.unique(recurring.column("phrase").to_numpy()).view(np.uint64)
+        ids_of, texts = _texts(docs)
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for k, part in c.blocks(texts):
+            x = Block(part, window, phrase)
+            some, index = np.unique(x.grams[x.least], return_index=True)
+            known = x.least[index[np.isin(some, wanted, assume_unique=True)]]
+            if not len(known):
                 continue
-            words = np.unique(x.h, return_inverse=True)[1]
-            machine, hit = automaton(words, some_at, phrase), np.zeros(len(x.h), bool)
+            symbols = x.h >> np.uint64(32)
+            machine, hit = automaton(symbols, known, phrase), np.zeros(len(x.h), bool)
             for a, n in zip(x.first.tolist(), x.n.tolist()):
                 if n >= window:
-                    hit[[a + end - phrase + 1 for end, _ in machine.iter(tuple(words[a : a + n].tolist()))]] = True
+                    ends = [end for end, _ in machine.iter(tuple(symbols[a : a + n].tolist()))]
+                    hit[np.array(ends, np.int64) + (a - phrase + 1)] = True
             starts = x.starts[hit[x.at]]
-            h = c.ngrams(x.h, window)[starts]
             more = c.mix(c.ngrams(x.h[::-1], window)[::-1][starts]) >> np.uint64(32)
-            pos = starts - x.first[x.doc[starts]]
-            out.append((k + x.doc[starts], h, (more.astype(np.int64) << 31 | pos)))
-        doc, h, at = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.lexsort((np.arange(len(h)), at >> 31, h))  # stable: documents by id, then positions
-        new = np.ones(len(h), bool)
-        new[1:] = (np.diff(h[order]) != 0) | (np.diff(at[order] >> 31) != 0)
+            out.append((k + x.doc[starts], c.ngrams(x.h, window)[starts], more.astype(np.uint32).view(np.int32), x.pos[starts].astype(np.int32)))
+        doc, h, more, pos = (np.concatenate(v) for v in zip(*out))
+        order = np.lexsort((more, h))  # stable: documents by id, then places
         first = np.zeros(len(h), bool)
-        first[order[new]] = True
-        at = np.where(first, at, at & (1 << 31) - 1)
-        return pa.table({"doc_id": pa.array(ids_of[doc] if len(doc) else doc, pa.int64()), "h": pa.array(h.view(np.int64), mask=~first), "at": pa.array(at)})
+        first[order[(np.diff(h[order], prepend=np.uint64(0)) != 0) | (np.diff(more[order], prepend=0) != 0)]] = True
+        if len(order):
+            first[order[0]] = True
+        late = np.flatnonzero(~first)
+        head = late[(np.diff(late, prepend=-2) != 1) | (np.diff(pos[late], prepend=-2) != 1) | (np.diff(doc[late], prepend=-1) != 0)]
+        length = np.diff(np.append(np.searchsorted(late, head), len(late)))
+        rows = np.concatenate([np.flatnonzero(first), head])
+        count = np.concatenate([np.zeros(int(first.sum()), np.int32), length.astype(np.int32)])
+        spread = np.where(count > 0, c.mix(ids_of[doc[rows]].view(np.uint64) + pos[rows].astype(np.uint64)), h[rows])
+        shard = pa.repeat(docs.column("shard")[0], len(rows)) if docs.num_rows else pa.array([], pa.int32())
+        return pa.table({"h": spread.view(np.int64), "more": more[rows], "doc_id": ids_of[doc[rows]], "start": pos[rows], "n": count, "shard": shard})
 
     return each
 
 
-def _kept(window: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, starts in zip(b.column(1), b.column(2)):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                n, kept = len(words), words
-                if starts.is_valid and len(words) >= window:
-                    gone = c.spans(np.asarray(starts.values), window, n)
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                rows.append((n, n - len(kept), b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int64(), pa.int64(), pa.binary())))], names=[*b.schema.names[3:], "doc_id", "n_words", "n_removed", "kept"])
+def _kept(window: int, names: list[str]):
+    """A shard's documents and its repeated windows (doc_id, start, n) to what stays of each document."""
+
+    def each(docs: pa.Table, repeats: pa.Table) -> pa.Table:
+        repeats = repeats.sort_by("doc_id")
+        of, start, n = (repeats.column(x).to_numpy() for x in ("doc_id", "start", "n"))
+        docs = docs.combine_chunks()
+        key = docs.column("doc_id")
+        lo, hi = (np.searchsorted(of, key.fill_null(0).to_numpy(), side) for side in ("left", "right"))
+        valid, rows = key.is_valid().to_pylist(), []
+        for a, b, known, text in zip(lo.tolist(), hi.tolist(), valid, docs.column("text")):
+            words = c.encoded(t).split() if (t := text.as_py()) else []
+            kept = words
+            if known and b > a and len(words) >= window:
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, start[a:b], 1)
+                np.add.at(edge, np.minimum(start[a:b] + n[a:b] - 1 + window, len(words)), -1)
+                kept = [w for w, gone in zip(words, (np.cumsum(edge) > 0).tolist()) if not gone]
+            rows.append((len(words), len(words) - len(kept), b" ".join(kept)))
+        cols = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int64(), pa.int64(), pa.binary()))]
+        return pa.table([*(docs.column(x) for x in names), *cols], names=[*names, "n_words", "n_removed", "kept"])
 
     return each
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, start) of each window of docs (doc_id long, text) whose words also start earlier."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("same")).filter("doc_id is not null and text is not null")
-    hot = c.cut(docs.groupBy("same").count().filter(F.col("count") > COPIES).select("same", F.ceil(F.col("count") / COPIES).alias("parts")))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    dealt = F.pmod(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))), F.lit(shards)).cast("int")
-    docs = c.by_small(docs, hot, "same", "left").select("doc_id", "text", dealt.alias("shard"))
-    phrases = docs.select("text", "shard").mapInArrow(_phrases(window, phrase), "phrase long, shard int, n int")
-    recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
-    routed = phrases.select("phrase", "shard").join(recurring, "phrase")
-    found = docs.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_windows(window, phrase), "doc_id long, h long, at long")
-    found = c.cut(found)
-    start = F.col("at").bitwiseAND(F.lit((1 << 31) - 1))
-    across = found.filter("h is not null").select("h", F.shiftright("at", 31).alias("more"), F.struct("doc_id", start.alias("start")).alias("place"))
-    rest = across.groupBy("h", "more").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1")
-    later = across.join(rest, ["h", "more"]).filter("place > earliest").select("place.*")
-    return found.filter("h is null").select("doc_id", start.alias("start")).union(later)
-
-
 def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs and n_words, n_removed (long), kept (binary: the words that stay, joined by a space).
 
     Words are split at ASCII white space. Those covered by a window of `window` words that also starts
     earlier (in a smaller doc_id, or earlier in the document) go; windows are judged on the input. A
     null text has no words, and shorter texts keep theirs. Rows without a doc_id keep their words and
-    don't count as earlier ones; rows that repeat a doc_id are each judged at that id. Other
-    columns are kept as they are, whatever their names; no rows give no rows.
+    don't count as earlier ones; a doc_id is to be unique, repeated rows of one are held against each
+    other in no set order. Other columns are kept as they are, whatever their names, except text; no
+    rows give no rows.
+
+    The documents are dealt to shards once; the three steps read the same exchange.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    starts = repeated_windows(own, window, phrase, shard_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("start").cast("int"))).alias("starts"))
     others = [x for x in docs.columns if x not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("others") if others else F.lit(0).alias("others"))
-    rows = rows.join(starts, "doc_id", "left").select("doc_id", "text", "starts", "others")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.xxhash64("text").alias("same"))
+    hot = c.cut(rows.groupBy("same").count().filter(F.col("count") > COPIES).select("same", F.ceil(F.col("count") / COPIES).alias("parts")))
+    shards = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars))
+    dealt = F.pmod(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))), F.lit(shards)).cast("int")
+    rows = c.by_small(rows, hot, "same", "left").select("doc_id", "text", "others", dealt.alias("shard"))
+    phrases = rows.groupBy("shard").applyInArrow(_phrases(window, phrase), "phrase long, shard int, again boolean")
+    own = Window.partitionBy("phrase")
+    recurring = phrases.withColumn("n", F.count("*").over(own)).filter("n > 1 or again").select("phrase", "shard")
+    schema = "h long, more int, doc_id long, start int, n int, shard int"
+    found = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(window, phrase), schema)
+    # A shard's documents are in it alone, so that a document has at most one row for a hash.
+    earliest = F.min("doc_id").over(Window.partitionBy("h", "more"))
+    repeats = found.withColumn("earliest", earliest).filter("n > 0 or doc_id > earliest").select("doc_id", "start", F.greatest("n", F.lit(1)).alias("n"), "shard")
     schema = rows.select("others", "doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(b"").alias("kept")).schema
-    return rows.mapInArrow(_kept(window), schema).select("doc_id", *(F.col("others")[x].alias(x) for x in others), "n_words", "n_removed", "kept")
+    kept = rows.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_kept(window, ["others", "doc_id"]), schema)
+    return kept.select("doc_id", *(F.col("others")[x].alias(x) for x in others), "n_words", "n_removed", "kept")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
