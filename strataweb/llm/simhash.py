@@ -197,13 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest of their component; rows without an id stay.
-
-    Rows without a word (null, empty or blank texts) have nothing in common but that: they stay too.
-    """
-    found = near_duplicates(docs, id_col, text_col).filter(f"{id_col} <> component_id").select(id_col).distinct()
-    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return docs.withColumn("_blank", blank).join(found.withColumn("_copy", F.lit(True)), id_col, "left").filter("_blank or _copy is null").drop("_blank", "_copy")
+    """The rows of docs that have their component's smallest id; rows without an id stay, and all columns do."""
+    copies = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col)
+    return docs.join(copies, id_col, "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

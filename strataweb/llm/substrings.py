@@ -136,15 +136,15 @@ def _kept(window: int, names: list[str]):
     return each
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, keep_text: bool = False) -> DataFrame:
     """docs and n_words, n_removed (long), kept (binary: the words that stay, joined by a space).
 
     Words are split at ASCII white space. Those covered by a window of `window` words that also starts
     earlier (in a smaller doc_id, or earlier in the document) go; windows are judged on the input. A
     null text has no words, and shorter texts keep theirs. Rows without a doc_id keep their words and
     don't count as earlier ones; a doc_id is to be unique, repeated rows of one are held against each
-    other in no set order. Other columns are kept as they are, whatever their names, except text; no
-    rows give no rows.
+    other in no set order. Other columns are kept as they are, whatever their names, text only
+    if keep_text says so; no rows give no rows.
 
     The documents are dealt to shards once; the three steps read the same exchange.
     """
@@ -162,9 +162,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, sh
     # A shard's documents are in it alone, so that a document has at most one row for a hash.
     earliest = F.min("doc_id").over(Window.partitionBy("h", "more"))
     repeats = found.withColumn("earliest", earliest).filter("n > 0 or doc_id > earliest").select("doc_id", "start", F.greatest("n", F.lit(1)).alias("n"), "shard")
-    schema = rows.select("others", "doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(b"").alias("kept")).schema
-    kept = rows.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_kept(window, ["others", "doc_id"]), schema)
-    return kept.select("doc_id", *(F.col("others")[x].alias(x) for x in others), "n_words", "n_removed", "kept")
+    names = ["others", "doc_id", *["text"] * keep_text]
+    schema = rows.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(b"").alias("kept")).schema
+    kept = rows.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_kept(window, names), schema)
+    return kept.select(*names[1:], *(F.col("others")[x].alias(x) for x in others), "n_words", "n_removed", "kept")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
