@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: RFC 3986, appendix B.
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -94,7 +95,7 @@ def url_ext(url: Column) -> Column:
     return F.lower(F.regexp_extract(last, r"^.+\.([^.]*)$", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
     def one(b: str | None, r: str | None) -> str | None:
         try:

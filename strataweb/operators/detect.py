@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.content import latin1
 from ..rules import Rules
@@ -34,7 +35,7 @@ def ruled_out(raw: Column, canon: Column, rules: Rules = Rules()) -> Column:
     return found.when(canon.isNull() & F.lower(raw).contains(rules.prose), "format prose").when(raw.contains("{" + rules.fragment), "fragment").otherwise("")
 
 
-@F.pandas_udf("array<struct<text:string,note:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])))
 def _wide(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else [{"text": d.decode(e, "ignore"), "note": f"[{e}]"} for e in ("utf-16-le", "utf-16-be")] for d in data], dtype=object)
 

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.url import in_scope, resolve
 from ..rules import ATTRIBUTES, TAGS
@@ -25,12 +26,15 @@ PATTERNS = [
     ("sitemap", 2, "", r"(?i)<loc>\s*(https?://[^<]+|/[^<]+?)\s*</loc>"),
     ("review", -1, "", rf"(?U){QUOTE}((?:\.\./|\./)?[\w-]+(?:/[\w-]+)+){QUOTE}"),
 ]
-HIT = "array<struct<place:int,tier:int,how:string,ref:string>>"
 
 
 def references(text: Column) -> Column:
     """(place, tier, how, ref) of all patterns, each reference by its first pattern."""
-    parts = [F.transform(F.regexp_extract_all(text, F.lit("(?d)" + p), 1), lambda r, k=k, t=tier, h=how: F.struct(F.lit(k).alias("place"), F.lit(t).alias("tier"), F.lit(h or f"tier{t}").alias("how"), r.alias("ref"))) for k, (_, tier, how, p) in enumerate(PATTERNS)]
+    def hits(place: int, tier: int, how: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit("(?d)" + pattern), 1)
+        return F.transform(found, lambda r: F.struct(F.lit(place).alias("place"), F.lit(tier).alias("tier"), F.lit(how or f"tier{tier}").alias("how"), r.alias("ref")))
+
+    parts = [hits(k, tier, how, p) for k, (_, tier, how, p) in enumerate(PATTERNS)]
     return F.concat(*parts)
 
 
@@ -93,7 +97,10 @@ class _Harvest(HTMLParser):
             self.found.append({"ref": own["content"].split("=", 1)[1].split(";")[0].strip(), "how": "meta_refresh", "hint": ""})
 
 
-@F.pandas_udf("struct<base:string,links:array<struct<ref:string,how:string,hint:string>>>")
+_LINK = T.StructType([T.StructField(x, T.StringType()) for x in ("ref", "how", "hint")])
+
+
+@F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("links", T.ArrayType(_LINK))]))
 def harvested(page: pd.Series) -> pd.DataFrame:
     """Static references of a page and its first base."""
     out = []

@@ -15,15 +15,16 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.content import latin1, utf8
 
 SCRIPT, STYLE = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>"
 ATTRIBUTE = r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-SURFACE = "array<struct<sub:string,data:string>>"
+SURFACE, PAYLOAD = (T.ArrayType(T.StructType([T.StructField("sub", T.StringType()), T.StructField("data", x)])) for x in (T.StringType(), T.BinaryType()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references to characters."""
     return text.map(html.unescape, na_action="ignore")
@@ -81,11 +82,15 @@ def code(text: Column) -> Column:
     return F.concat(named("comment_block", block_comments(text)), named("comment_line", line_comments(text)), named("string_literal", string_literals(text)), named("raw", F.array(text)))
 
 
+def _under(name: str):
+    return lambda s: F.struct(F.concat(F.lit(name), s["sub"]).alias("sub"), s["data"].alias("data"))
+
+
 def html_surfaces(text: Column) -> Column:
     parts = [named("html_comment", comments(text)), named("html_text", F.array(unescape(tag_free(text)))), named("html_hidden", hidden(text)), attributes(text)]
     for tag in ("script", "style"):
         inner = F.flatten(F.transform(inline(text, tag), code))
-        parts.append(F.transform(inner, lambda s, t=tag: F.struct(F.concat(F.lit(f"inline_{t}:"), s["sub"]).alias("sub"), s["data"].alias("data"))))
+        parts.append(F.transform(inner, _under(f"inline_{tag}:")))
     return F.concat(*parts, named("raw", F.array(text)))
 
 
@@ -196,7 +201,7 @@ def decoded_variants(text: str) -> list[tuple[str, bytes]]:
     return [(f"decoded:{k}", v) for k, v in out if v is not None]
 
 
-@F.pandas_udf("array<struct<sub:string,data:binary>>")
+@F.pandas_udf(PAYLOAD)
 def _decoded(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [{"sub": s, "data": d} for s, d in decoded_variants(t)] for t in text], dtype=object)
 

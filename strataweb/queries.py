@@ -1,6 +1,394 @@
-"""The catalogue of queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
+"""The catalogue of queries over the driver's tables, with DuckDB SQL for each that SQL can express.
+
+Pages stand in for fetched rows (url, html), documents for bodies, and links in pages for edges.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import content as ct
+from .functions import url as u
+from .operators import detect, images, links, surfaces
+from .plans import frontier, graph, reports
+from .rules import Rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Secrets in the documents stand in for markers.
+TOKEN = r'token = "([0-9a-f]{40})"'
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+#: The canonical key of the pages' URLs, which have no ports, dots or escapes.
+KEY = """concat(lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)), regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1),
+  CASE WHEN url LIKE '%?%' THEN concat('?', array_to_string(list_sort(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), '&')) ELSE '' END)""".replace("\\\\", "\\")
+TEMPLATE = """concat(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1),
+  CASE WHEN url LIKE '%?%' THEN concat('?', array_to_string(list_sort(list_distinct(list_transform(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: regexp_replace(x, '=.*', '')))), '&')) ELSE '' END)"""
+STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g')"
+HREFS = "regexp_extract_all(html, '(?i)<a\\b[^>]*?href=\"([^\"]*)\"', 1)"
+
+
+@query(f"SELECT page_id, {KEY} AS canon_key FROM pages")
+def canon_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", u.canon_key(F.col("url")).alias("canon_key"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '^([a-z]+)', 1) AS scheme, {HOST} AS host, CASE WHEN url LIKE 'https%' THEN 443 ELSE 80 END::INTEGER AS port, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)', 1) AS fragment FROM pages")
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", u.scheme(url).alias("scheme"), u.host(url).alias("host"), u.port(url).alias("port"), u.part(url, 3).alias("path"), u.part(url, 4).alias("query"), u.part(url, 5).alias("fragment"))
+
+
+@query(f"SELECT min(page_id) AS page_id, canon_key FROM (SELECT page_id, {KEY} AS canon_key FROM pages) GROUP BY canon_key")
+def canon_dedup(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), u.canon_key(F.col("url")).alias("canon_key"))
+    return frontier.distinct_keys(found).select(F.col("seq").alias("page_id"), "canon_key")
+
+
+@query(f"SELECT template, count(*)::BIGINT AS n FROM (SELECT {TEMPLATE} AS template FROM pages) GROUP BY template")
+def query_template_counts(spark, sf_dir):
+    return reports.counts(table(spark, sf_dir, "pages").select(u.query_template(F.col("url")).alias("template")), "template")
+
+
+@query(f"SELECT in_scope, count(*)::BIGINT AS n FROM (SELECT url LIKE 'https%' AND {HOST} = (SELECT min({HOST}) FROM pages WHERE url LIKE 'https%') AS in_scope FROM pages) GROUP BY in_scope")
+def scope_partition(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(u.scope(F.col("url")).alias("s"))
+    own = pages.filter("s.scheme = 'https'").agg(F.min("s.host")).first()[0]
+    scope = F.struct(F.lit("https").alias("scheme"), F.lit(own).alias("host"), F.lit(443).alias("port"))
+    return pages.groupBy((F.coalesce(F.col("s") == scope, F.lit(False))).alias("in_scope")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/][.]([^./]*)$', 1)) AS ext FROM pages UNION ALL SELECT unnest(['png', 'gz', '', '']) AS ext) GROUP BY ext")
+def url_ext_counts(spark, sf_dir):
+    more = spark.createDataFrame([("http://h/a/b.PNG?x=1",), ("http://h/a.tar.gz",), ("http://h/.env",), ("http://h/a.b/c",)], "url string")
+    return reports.counts(table(spark, sf_dir, "pages").select("url").union(more).select(u.url_ext(F.col("url")).alias("ext")), "ext")
+
+
+@query(f"SELECT {HOST} AS host, sum(len(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)))::BIGINT AS n FROM pages GROUP BY ALL")
+def html_comments(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(u.host(F.col("url")).alias("host"), F.size(surfaces.comments(F.col("html"))).alias("k"))
+    return found.groupBy("host").agg(F.sum("k").cast("bigint").alias("n"))
+
+
+@query(f"SELECT page_id, md5(x) AS md5, length(x)::BIGINT AS n FROM (SELECT page_id, regexp_replace({STRIPPED}, '<[^>]+>', '', 'g') AS x FROM pages)")
+def html_text(spark, sf_dir):
+    text = surfaces.tag_free(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.cast("binary")).alias("md5"), F.length(text).cast("bigint").alias("n"))
+
+
+@query(f"SELECT page_id, length(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))::BIGINT AS n FROM (SELECT page_id, regexp_replace({STRIPPED}, '<[^>]+>', '', 'g') AS x FROM pages)")
+def html_text_unescaped(spark, sf_dir):
+    text = surfaces.unescape(surfaces.tag_free(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("bigint").alias("n"))
+
+
+@query(f"SELECT name, count(*)::BIGINT AS n FROM (SELECT 'html_attr:' || lower(unnest(regexp_extract_all({STRIPPED}, '([\\w:-]+)\\s*=\\s*\"[^\"]+\"', 1))) AS name FROM pages) GROUP BY name")
+def html_attrs(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(F.explode(surfaces.attributes(F.col("html"))).alias("a"))
+    return reports.counts(found.select(F.col("a.sub").alias("name")), "name")
+
+
+for _tag in ("script", "style"):
+
+    def _inline(spark, sf_dir, tag=_tag):
+        return table(spark, sf_dir, "pages").select("page_id", F.explode(surfaces.inline(F.col("html"), tag)).alias("body"))
+
+    _inline.__name__ = f"inline_{_tag}"
+    query(f"SELECT page_id, body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<{_tag}\\b[^>]*>(.*?)</{_tag}>', 1)) AS body FROM pages) WHERE trim(body) <> ''")(_inline)
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(url || chr(10) || html, '(//[^\\n]*)', 1)) AS line FROM pages")
+def comment_lines(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(surfaces.line_comments(F.concat_ws("\n", "url", "html"))).alias("line"))
+
+
+@query()
+def string_literals(spark, sf_dir):
+    """A back reference is beyond the oracle's patterns."""
+    scripts = table(spark, sf_dir, "pages").select("page_id", F.explode(surfaces.inline(F.col("html"), "script")).alias("s"))
+    return scripts.select("page_id", F.explode(surfaces.string_literals(F.col("s"))).alias("literal"))
+
+
+@query(f"SELECT page_id, href, count(*)::BIGINT AS n FROM (SELECT page_id, unnest({HREFS}) AS href FROM pages) GROUP BY ALL")
+def a_href_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(links.anchors(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target FROM (SELECT page_id, url, unnest({HREFS}) AS href FROM pages) WHERE href LIKE '/%'")
+def resolved_links(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(links.anchors(F.col("html"))).alias("href")).filter("href like '/%'")
+    return found.select("page_id", u.resolve(F.col("url"), F.col("href")).alias("target"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT page_id, ref FROM (SELECT page_id, unnest(regexp_extract_all(html, '[\"''`](/[^\"''`\\s<>)]+\\.[A-Za-z0-9]{1,8})[\"''`]', 1)) AS ref FROM pages))")
+def byte_scan_root_ext(spark, sf_dir):
+    place = [k for k, p in enumerate(links.PATTERNS) if p[0] == "root_ext"][0]
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(links.references(F.col("html"))).alias("h")).filter(F.col("h.place") == place)
+    return found.select("page_id", "h.ref").distinct().agg(F.count("*").alias("n"))
+
+
+@query()
+def byte_scan(spark, sf_dir):
+    url = F.col("url")
+    bodies = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("base"), F.col("html").alias("text"), u.scope(url).alias("scope"))
+    return links.byte_scan(bodies)
+
+
+@query()
+def dom_harvest(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(links.harvested(F.col("html"))["links"]).alias("x"))
+    return found.select("page_id", "x.ref", "x.how", "x.hint")
+
+
+@query("SELECT 'json_value:$.k' AS sub, props->>'$.k' AS data, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def json_walk(spark, sf_dir):
+    as_text = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k")))
+    found = table(spark, sf_dir, "events").select(F.explode(surfaces.json_surfaces(as_text)).alias("s")).select("s.sub", "s.data")
+    return found.groupBy("sub", "data").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, x AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9a-f]+)', 1)) AS x FROM documents) WHERE length(x) = 16")
+def bare_hex16(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(detect.bare_hex(F.col("text"))).alias("run"))
+
+
+@query("SELECT doc_id, x AS run, md5(from_base64(x)) AS md5 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9+/]{32,}={0,2})', 1)) AS x FROM documents) WHERE length(x) % 4 = 0")
+def base64_decoded(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(surfaces.base64_runs(F.col("text"))).alias("run"))
+    return found.select("doc_id", "run", F.md5(F.try_to_binary("run", F.lit("base64"))).alias("md5"))
+
+
+@query("SELECT * FROM (VALUES (1, 'percent', 'MARK'), (2, 'css_escape', 'MARK'), (3, 'js_escape', 'MARK'), (4, 'js_escape', 'MARK'), (5, 'js_escape', 'MARK'), (6, 'html_entities', 'MARK'), (7, 'data_uri', 'MARK')) AS t(id, sub, data)")
+def escapes(spark, sf_dir):
+    rows = [(1, "x=%4D%41%52%4B;"), (2, r"\4D \41 \52 \4B"), (3, r"\x4D\x41\u0052\x4B"), (4, "String.fromCharCode(77, 65,82,75)"), (5, "var q=[77,65,82,75]; String.fromCharCode.apply(null, q)"), (6, "&#77;&#65;&#x52;&#75;"), (7, "data:text/plain;base64,TUFSSw==")]
+    found = spark.createDataFrame(rows, "id int, body string").select("id", F.explode(surfaces.decoded(F.col("body").cast("binary"))).alias("s"))
+    return found.select("id", F.regexp_replace("s.sub", "decoded:", "").alias("sub"), F.col("s.data").cast("string").alias("data"))
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}', 1)) AS value FROM documents")
+def marker_strict(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 1)).alias("value"))
+
+
+@query("""SELECT bucket, count(*)::BIGINT AS n FROM (SELECT unnest(['strict', 'strict', 'strict', 'needs_review', 'ruled_out', 'ruled_out']) AS bucket
+  UNION ALL SELECT 'strict' FROM (SELECT unnest(regexp_extract_all(text, '(token = \"[0-9a-f]{40}\")', 1)) FROM documents)) GROUP BY bucket""")
+def marker_buckets(spark, sf_dir):
+    own = [("MARK{0123456789abcdef}",), ("MARK{0123456789ABCDEF}",), ("MARK { 0123456789abcdef }",), ("MARK{junk}",), ("MARK{aaaaaaaaaaaaaaaa}",), ("MARK{16 hexadecimal digits}",)]
+    body = F.concat(F.lit("MARK{"), F.substring("v", 1, 16), F.lit("}"))
+    tokens = marker_strict(spark, sf_dir).select(F.col("value").alias("v")).select(body.alias("t"))
+    rows = spark.createDataFrame(own, "t string").union(tokens).select(F.lit("text").alias("sub"), F.col("t").cast("binary").alias("data"))
+    found = detect.sightings(rows, Rules(excluded={"MARK{aaaaaaaaaaaaaaaa}": "worked example"}))
+    return reports.counts(found, "bucket")
+
+
+@query("SELECT sha256(text) AS sha256, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_by_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fetched rows, the first of a source referring to the others."""
+    url = F.concat(F.lit("http://site/"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), url.alias("url"), url.alias("canon_key"), F.lit("text/plain").alias("content_type"), F.lit("txt").alias("url_ext"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("length"), "source", "lang")
+
+
+@query("""WITH b AS (SELECT doc_id, sha256(text) AS sha256, source FROM documents),
+s AS (SELECT sha256, count(DISTINCT doc_id) AS urls, count(DISTINCT source) AS referrers FROM b GROUP BY sha256)
+SELECT sha256, urls::BIGINT AS urls, referrers::BIGINT AS referrers, CASE WHEN urls > 1 THEN 'several_urls' ELSE 'several_referrers' END AS case FROM s WHERE urls > 1 OR referrers > 1""")
+def duplication_case(spark, sf_dir):
+    rows = _bodies(spark, sf_dir)
+    edges = rows.select(F.col("source").alias("src"), F.col("canon_key").alias("dst"))
+    return reports.duplication(rows, edges).select("sha256", F.size("urls").cast("bigint").alias("urls"), F.size("referrers").cast("bigint").alias("referrers"), "case")
+
+
+@query("""WITH r AS (SELECT source, doc_id, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT source AS content_type, count(*)::BIGINT AS n, sum(n)::BIGINT AS bytes, string_agg(CASE WHEN k <= 3 THEN 'http://site/' || doc_id END, ' ' ORDER BY k) AS examples, false AS handled FROM r GROUP BY source""")
+def inventory(spark, sf_dir):
+    return reports.inventory(_bodies(spark, sf_dir).withColumn("content_type", F.col("source"))).withColumn("examples", F.array_join("examples", " "))
+
+
+@query("SELECT DISTINCT lang AS content_type FROM documents WHERE lang NOT IN ('en', 'de')")
+def unhandled(spark, sf_dir):
+    handled = spark.createDataFrame([("en",), ("de",)], "content_type string")
+    return reports.unhandled(table(spark, sf_dir, "documents").select(F.col("lang").alias("content_type")), handled)
+
+
+@query("SELECT sniffed, disagrees, count(*)::BIGINT AS n FROM (SELECT 'text/html' AS sniffed, false AS disagrees FROM pages UNION ALL SELECT CASE WHEN substr(hex(encode(text)), 8193, 1) IN ('8', '9', 'A', 'B') THEN 'application/octet-stream' ELSE 'text/plain' END, true FROM documents) GROUP BY ALL")
+def signal_disagreement(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("html").cast("binary").alias("b"), F.lit("html").alias("ext"), F.lit("text/html").alias("header"))
+    docs = table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("b"), F.lit("csv").alias("ext"), F.lit("text/csv").alias("header"))
+    rows = pages.union(docs).withColumn("sniffed", ct.sniff_type(F.col("b")))
+    return rows.groupBy("sniffed", ct.disagrees(F.col("ext"), F.col("header"), F.col("sniffed")).alias("disagrees")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT regexp_matches(text, '(?i)licensed under') AS blocked, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def blocked_notice(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(ct.blocked_notice(F.col("text"), Rules(blocked="licensed under")).alias("blocked")).agg(F.count("*").alias("n"))
+
+
+EDGES = f"""(SELECT page_id AS seq, {HOST} AS src, unnest({HREFS}) AS dst, 'a_href' AS how FROM pages
+  UNION ALL SELECT page_id, {HOST}, 'script', 'script_src' FROM pages WHERE html LIKE '%<script%' UNION ALL SELECT page_id, {HOST}, 'style', 'link_rel' FROM pages WHERE html LIKE '%<style%')"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), u.host(F.col("url")).alias("src"), "html")
+    found = pages.select("seq", "src", F.explode(links.anchors(F.col("html"))).alias("dst"), F.lit("a_href").alias("how"))
+    for tag, how in (("script", "script_src"), ("style", "link_rel")):
+        found = found.union(pages.filter(F.col("html").contains(f"<{tag}")).select("seq", "src", F.lit(tag), F.lit(how)))
+    return found
+
+
+@query(f"SELECT how, count(*)::BIGINT AS n FROM {EDGES} GROUP BY how")
+def how_counts(spark, sf_dir):
+    return reports.counts(_edges(spark, sf_dir), "how")
+
+
+@query(f"SELECT how, count(*)::BIGINT AS n, min(seq) AS first FROM {EDGES} WHERE how <> 'a_href' GROUP BY how ORDER BY n DESC, first, how LIMIT 5")
+def top_non_anchor(spark, sf_dir):
+    return reports.top(_edges(spark, sf_dir).filter("how <> 'a_href'"), "how", 5)
+
+
+BFS = f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT {HOST} AS src, unnest({HREFS}) AS dst FROM pages)), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r(node, depth) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, r.depth + 1 FROM r JOIN both_ways b ON b.src = r.node WHERE r.depth < 12),
+d AS (SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node)"""
+
+
+def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "pages").select(u.host(F.col("url")).alias("src"), F.explode(links.anchors(F.col("html"))).alias("dst"))
+    return graph.bfs(edges.union(edges.select("dst", "src")), edges.agg(F.min("src").alias("node")), 12)
+
+
+@query(f"{BFS} SELECT node, depth FROM d")
+def bfs_depth(spark, sf_dir):
+    return _depths(spark, sf_dir)
+
+
+@query(f"{BFS} SELECT depth, count(*)::BIGINT AS n FROM d GROUP BY depth")
+def depth_histogram(spark, sf_dir):
+    return reports.counts(_depths(spark, sf_dir), "depth")
+
+
+CAPS = f"""WITH p AS (SELECT page_id, {HOST} AS template, {HOST} NOT LIKE '%.net' AS in_scope, row_number() OVER (ORDER BY page_id) AS g FROM pages),
+t AS (SELECT *, sum((in_scope AND g <= 200)::INT) OVER (PARTITION BY template ORDER BY page_id) AS k FROM p),
+s AS (SELECT page_id, CASE WHEN NOT in_scope THEN 'out_of_scope' WHEN g > 200 THEN 'global' WHEN k > 3 THEN 'template' ELSE 'enqueued' END AS state FROM t)"""
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = u.host(F.col("url"))
+    keys = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), host.alias("template"), (~host.endswith(".net")).alias("in_scope"))
+    return frontier.capped(keys, 200, 3)
+
+
+@query(f"{CAPS} SELECT page_id, state FROM s")
+def frontier_caps(spark, sf_dir):
+    return _capped(spark, sf_dir).select(F.col("seq").alias("page_id"), "state")
+
+
+@query(f"{CAPS}, c AS (SELECT CASE state WHEN 'enqueued' THEN 'fetched' WHEN 'out_of_scope' THEN 'out_of_scope' ELSE 'errored' END AS state FROM s) SELECT d.state, count(c.state)::BIGINT AS n FROM (SELECT unnest(['fetched', 'errored', 'out_of_scope', 'duplicate_key']) AS state) d LEFT JOIN c USING (state) GROUP BY d.state")
+def terminal_accounting(spark, sf_dir):
+    state = F.when(F.col("state") == "enqueued", "fetched").when(F.col("state") == "out_of_scope", "out_of_scope").otherwise("errored")
+    return frontier.accounting(_capped(spark, sf_dir).select(state.alias("state")))
+
+
+@query(f"SELECT d.doc_id, x.value FROM documents d JOIN (SELECT DISTINCT sha256(text) AS h, unnest(regexp_extract_all(text, '{TOKEN}', 1)) AS value FROM documents) x ON sha256(d.text) = x.h")
+def fan_out(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
+    once = docs.filter(F.col("text").contains("token = ")).dropDuplicates(["sha256"]).select("sha256", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), 1))).alias("value"))
+    return docs.select("doc_id", "sha256").join(once, "sha256").select("doc_id", "value")
+
+
+WORDS = "unnest(list_distinct(regexp_extract_all({}, '([A-Za-z]{{12,}})', 1)))"
+
+
+@query(f"""WITH c AS (SELECT page_id, 'raw' AS corpus, {WORDS.format('html')} AS w FROM pages UNION ALL SELECT page_id, 'rendered', {WORDS.format(f"regexp_replace({STRIPPED}, '<[^>]+>', '', 'g')")} FROM pages)
+SELECT page_id::VARCHAR AS url, w AS canonical, min(corpus) || '_only' AS corpus FROM c GROUP BY page_id, w HAVING count(DISTINCT corpus) = 1""")
+def corpus_divergence(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    words = lambda x: F.explode(F.array_distinct(F.regexp_extract_all(x, F.lit("([A-Za-z]{12,})"), 1)))
+    raw = pages.select("url", F.lit("raw").alias("corpus"), words(F.col("html")).alias("canonical"))
+    return detect.divergence(raw.union(pages.select("url", F.lit("rendered"), words(surfaces.tag_free(F.col("html"))))))
+
+
+@query("SELECT 'header:x-note' AS how_found, min(page_id) AS seq, min(value) AS canonical, key AS canon_key FROM (SELECT page_id, (page_id % 7)::VARCHAR AS key, 'MARK{' || lpad(((page_id % 7) * 3)::VARCHAR, 16, '0') || '}' AS value FROM pages) GROUP BY key")
+def header_dedup(spark, sf_dir):
+    key = F.col("page_id") % 7
+    value = F.concat(F.lit("x MARK{"), F.lpad((key * 3).cast("string"), 16, "0"), F.lit("}"))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", key.cast("string").alias("canon_key"), F.lit("").alias("sha256"), F.create_map(F.lit("x-note"), value, F.lit("etag"), F.lit("none")).alias("headers"))
+    return detect.header_sightings(rows).select("how_found", "seq", "canonical", "canon_key")
+
+
+@query("SELECT 1 AS page_id, 'http_header:link' AS how, 'next' AS hint, 'http://h/2' AS verbatim UNION ALL SELECT 1, 'http_header:link', '', 'http://h/x/y' UNION ALL SELECT 1, 'http_header:x-next', '', 'https://o/z'")
+def header_links(spark, sf_dir):
+    headers = F.create_map(F.lit("link"), F.lit('</2>; rel="next", <y>'), F.lit("x-next"), F.lit("https://o/z"), F.lit("location"), F.lit("/gone"))
+    rows = spark.range(1, 2).select(F.col("id").alias("seq"), F.lit("http://h/x/1").alias("url"), headers.alias("headers"))
+    return links.header_links(rows).select(F.col("seq").cast("int").alias("page_id"), "how", "hint", "verbatim")
+
+
+@query("SELECT 'a' AS sha256, 'MARK{0123456789abcdef}' AS canonical UNION ALL SELECT 'b', 'MARK{0123456789abcdef}' UNION ALL SELECT 'c', NULL")
+def ocr_vote(spark, sf_dir):
+    rows = [("a", "gray", "MARK{O123456789abcdef}"), ("a", "up", "MARK{0l23456789abcdef}"), ("a", "bin", "noise"), ("b", "gray", "MARK{0123456789abcdef}"), ("b", "up", "MARK{0123456789abcxef}"), ("b", "bin", "MARK{0123456789abcdxf}"), ("c", "gray", "MARK{0123456789abcdef}")]
+    return images.ocr_consensus(spark.createDataFrame(rows, "sha256 string, variant string, text string"))
+
+
+def _ramps(spark: SparkSession) -> DataFrame:
+    """A ramp, a ramp with a payload from its corner on, and a plane of hashes, as image structs (BGR)."""
+    import numpy as np
+
+    y, x = np.mgrid[:32, :32]
+    clean = np.stack([2 * (x + y), 4 * y, 4 * x], 2).astype(np.uint8)
+    marked = clean.copy()
+    marked[:, :, 2].reshape(-1)[100:122] = list(b"MARK{0123456789abcdef}")
+    noise = np.array([zlib.crc32(bytes([k % 256, k // 256])) % 256 for k in range(32 * 32 * 3)], np.uint8).reshape(32, 32, 3)
+    rows = [(n, (n, 32, 32, 3, 16, bytearray(a.tobytes()))) for n, a in (("clean", clean), ("marked", marked), ("noise", noise))]
+    return spark.createDataFrame(rows, "sha256 string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+@query("SELECT sha256, 376::BIGINT AS candidates_tried, hits::BIGINT AS candidates_with_hits, ruling FROM (VALUES ('clean', 0, 'swept-and-clean'), ('marked', 2, 'payload-found'), ('noise', 0, 'swept-and-clean')) AS t(sha256, hits, ruling)")
+def pixel_grid(spark, sf_dir):
+    return images.reports(images.sweep(_ramps(spark)))
+
+
+@query("SELECT sha256, is_ramp FROM (VALUES ('clean', true), ('marked', false), ('noise', false)) AS t(sha256, is_ramp)")
+def plane_fit(spark, sf_dir):
+    return images.fits(_ramps(spark)).select("sha256", "is_ramp")
+
+
+@query("SELECT * FROM (VALUES (1, 'xml_text:b', 'x'), (1, 'xml_comment', ' n '), (2, 'csv_cell:r0c0', 'a'), (2, 'csv_cell:r0c1', 'b,c'), (3, 'sourcemap:s.js', 'code'), (3, 'raw', '{\"sources\":[\"s.js\"],\"sourcesContent\":[\"code\"]}'), (4, 'raw', '<a><b>')) AS t(id, sub, data)")
+def structured_surfaces(spark, sf_dir):
+    rows = [(1, "xml", "<a><b>x</b><!-- n --></a>"), (2, "csv", 'a,"b,c"'), (3, "sourcemap", '{"sources":["s.js"],"sourcesContent":["code"]}'), (4, "xml", "<a><b>")]
+    found = surfaces.expanded(spark.createDataFrame(rows, "sha256 int, handler string, body string").select("sha256", "handler", F.col("body").cast("binary").alias("content")))
+    return found.select(F.col("sha256").alias("id"), "sub", F.col("data").cast("string").alias("data"))
+
+
+@query()
+def page_sightings(spark, sf_dir):
+    """Every surface of every page, held against a pattern of page words."""
+    bodies = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("sha256"), F.lit("html").alias("handler"), F.col("html").cast("binary").alias("content")).dropDuplicates(["sha256"])
+    return surfaces.expanded(bodies).groupBy("sub").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+@query()
+def dot_export(spark, sf_dir):
+    edges = _edges(spark, sf_dir).select("src", "dst", "how")
+    depths = _depths(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(depths, "node", "left")
+    return graph.dot_lines(nodes.select("node", F.lit("fetched").alias("state"), F.when(F.col("node").startswith("/"), "text/html").otherwise("").alias("content_type"), "depth"), edges)
