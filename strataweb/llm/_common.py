@@ -118,7 +118,7 @@ class Words:
         self.pos = np.arange(len(self.h)) - self.first[self.doc]
 
 
-def blocks(texts: list[str | None], chars: int = 2_000_000):
+def blocks(texts: list[str | None], chars: int = 1_000_000):
     """Consecutive parts of the texts, of about so many characters: the first's place, and the part."""
     k = size = 0
     for i, t in enumerate(texts):

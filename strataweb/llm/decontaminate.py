@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-WINDOW, SHARD_WORDS = 10, 1_000_000
+WINDOW, SHARD_WORDS = 10, 500_000
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in blocks.
 BENCHMARK_CHARS = 32_000_000
 #: ASCII letters in lower case, digits and all non-ASCII bytes stay, other bytes part words.
