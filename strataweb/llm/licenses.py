@@ -110,8 +110,8 @@ def tokens(text: Column) -> Column:
 
 
 def model(docs: DataFrame) -> dict:
-    """fitted() on paragraphs of at most SAMPLE_DOCS documents, chosen by a hash of their texts."""
-    some = docs.select("text").filter("text is not null").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+    """fitted() on paragraphs of at most SAMPLE_DOCS documents, chosen by a hash of their ids and texts."""
+    some = c.sample(docs.select("doc_id", "text").filter("text is not null"), SAMPLE_DOCS, "doc_id", "text")
     some = some.select(F.explode(F.split("text", "\n")).alias("p")).filter(F.length("p") < 2000).limit(SAMPLE_PARAGRAPHS)
     return fitted([r[0] for r in some.select(tokens(F.col("p"))).collect()])
 

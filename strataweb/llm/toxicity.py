@@ -68,7 +68,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def model(labelled: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
     """Weights by coordinate, the bias at -1, of labelled (doc_id, text, label); no rows give a bias of -3."""
-    rows = labelled.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("label").cast("int").alias("label")).orderBy("key", "label").limit(sample)
+    rows = c.sample(labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")), sample, "doc_id", "text", "label")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "label")
     found = {r[0]: r[1] for r in rows.coalesce(1).mapInArrow(_fit, "at int, w double").collect()}
     return found if len(found) > 1 or found.get(-1) else {-1: -3.0}
 
@@ -109,7 +110,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels and documents may repeat rows; a document without an id is scored, and counts as not held out."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = c.table(spark, sf_dir, "labels").filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    chosen = marked.select("doc_id", F.col("toxic").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "label").limit(SAMPLE)
+    chosen = c.sample(marked.select("doc_id", F.col("toxic").alias("label")).distinct(), SAMPLE, "doc_id", "label")
     found = scored(docs, model(docs.join(F.broadcast(chosen), "doc_id")), "doc_id")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
