@@ -25,7 +25,7 @@ MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 REVISIT_BYTES = 100
 #: Bytes of an archive that a task reads, and that it reads at once.
 SPLIT, BLOCK = 32 << 20, 1 << 20
-#: Tasks that read archives, at most; each then has several splits.
+#: Tasks that read archives, at most; they are as many as splits of all bytes, small archives sharing one.
 TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -166,9 +166,9 @@ def read(archives: DataFrame, split: int = SPLIT, payload: bool = True) -> DataF
     """READ's columns, a row for each record of the archives (path, bytes); no archives give no rows."""
     parts = archives.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"), "bytes")
     parts = parts.select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
-    # Rows of a few bytes, each a split to read: a set number of partitions, as adaptive execution would put them in one.
-    total = archives.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
-    parts = parts.repartition(int(min(total, TASKS)), "path", "start")
+    # Rows of a few bytes, each a split to read: a set number of tasks, as adaptive execution would put all in one.
+    total = archives.agg(F.sum("bytes")).first()[0] or 1
+    parts = parts.repartition(max(1, min(TASKS, -(-total // split))))
     schema = READ if payload else READ.rpartition(",")[0]
     return parts.mapInArrow(_reader(payload), schema)
 
