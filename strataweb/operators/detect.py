@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.content import latin1
-from ..rules import Rules
+from ..rules import BARE, FRAGMENT, PROSE, Rules
 
 
 def strict_hits(text: Column, rules: Rules = Rules()) -> Column:
@@ -22,9 +22,9 @@ def loose_hits(text: Column, rules: Rules = Rules()) -> Column:
 
 
 def canonical(raw: Column, rules: Rules = Rules()) -> Column:
-    """prefix{16 hexadecimal digits} of a hit, tolerant of case and spaces, or null."""
+    """prefix{16 hexadecimal digits} of a hit, tolerant of case and spaces, or null; a hit with other than ASCII has none."""
     value = F.regexp_extract(raw, rf"(?i)^{rules.prefix}\s*\{{\s*([0-9a-f]{{16}})\s*\}}", 1)
-    return F.when(value != "", F.concat(F.lit(rules.prefix + "{"), F.lower(value), F.lit("}")))
+    return F.when((value != "") & ~raw.rlike(r"[^\x00-\x7F]"), F.concat(F.lit(rules.prefix + "{"), F.lower(value), F.lit("}")))
 
 
 def ruled_out(raw: Column, canon: Column, rules: Rules = Rules()) -> Column:
@@ -32,7 +32,13 @@ def ruled_out(raw: Column, canon: Column, rules: Rules = Rules()) -> Column:
     found = F
     for value, why in rules.excluded.items():
         found = found.when(canon == value, why)
-    return found.when(canon.isNull() & F.lower(raw).contains(rules.prose), "format prose").when(raw.contains("{" + rules.fragment), "fragment").otherwise("")
+    return found.when(canon.isNull() & F.lower(raw).contains(rules.prose), PROSE).when(canon.isNull() & raw.startswith(FRAGMENT), BARE).otherwise("")
+
+
+def judged(hits: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """hits (…, raw) with canonical, ruled_out, strict and bucket."""
+    rows = hits.withColumn("canonical", canonical(F.col("raw"), rules)).withColumn("ruled_out", ruled_out(F.col("raw"), F.col("canonical"), rules))
+    return rows.withColumn("strict", F.col("canonical").isNotNull() & (F.col("ruled_out") == "")).withColumn("bucket", bucket())
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])))
@@ -40,18 +46,18 @@ def _wide(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else [{"text": d.decode(e, "ignore"), "note": f"[{e}]"} for e in ("utf-16-le", "utf-16-be")] for d in data], dtype=object)
 
 
-def sightings(surfaces: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def sightings(surfaces: DataFrame, rules: Rules = Rules(), wide: Column | None = None) -> DataFrame:
     """surfaces (…, sub, data) to (…, sub, how_found, raw, canonical, ruled_out, strict, bucket).
 
-    raw surfaces are tried as UTF-16 as well.
+    Surfaces that are wide, by default those called raw, are tried as UTF-16 as well.
     """
+    none = F.array().cast("array<struct<text:string,note:string>>")
+    wide = F.col("sub") == "raw" if wide is None else wide
     once = F.array(F.struct(latin1(F.col("data")).alias("text"), F.lit("").alias("note")))
-    wide = F.when(F.col("sub") == "raw", F.coalesce(_wide(F.when(F.col("sub") == "raw", F.col("data"))), F.array().cast("array<struct<text:string,note:string>>"))).otherwise(F.array().cast("array<struct<text:string,note:string>>"))
-    rows = surfaces.withColumn("_t", F.explode(F.concat(once, wide)))
+    again = F.when(wide, F.coalesce(_wide(F.when(wide, F.col("data"))), none)).otherwise(none)
+    rows = surfaces.withColumn("_t", F.explode(F.concat(once, again)))
     rows = rows.withColumn("raw", F.explode(F.concat(strict_hits(F.col("_t.text"), rules), loose_hits(F.col("_t.text"), rules))))
-    canon = canonical(F.col("raw"), rules)
-    rows = rows.withColumn("how_found", F.concat("sub", "_t.note")).withColumn("canonical", canon).withColumn("ruled_out", ruled_out(F.col("raw"), F.col("canonical"), rules))
-    return rows.withColumn("strict", F.col("canonical").isNotNull() & (F.col("ruled_out") == "")).withColumn("bucket", bucket()).drop("_t", "data")
+    return judged(rows.withColumn("how_found", F.concat("sub", "_t.note")), rules).drop("_t", "data")
 
 
 def bucket() -> Column:
@@ -60,7 +66,7 @@ def bucket() -> Column:
 
 def header_sightings(manifest: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Hits in header values; exclusions don't hold here. Equal ones of a key are found once, the first row's."""
-    wanted = F.map_filter("headers", lambda k, v: (k == "set-cookie") | F.lower(v).contains(rules.prefix.lower()))
+    wanted = F.map_filter("headers", lambda k, v: (F.lower(k) == "set-cookie") | F.lower(v).contains(rules.prefix.lower()))
     rows = manifest.select("seq", "url", "canon_key", "sha256", F.explode(F.map_entries(wanted)).alias("h"))
     hits = F.concat(strict_hits(F.col("h.value"), rules), loose_hits(F.col("h.value"), rules))
     rows = rows.select("seq", "url", "canon_key", "sha256", F.concat(F.lit("header:"), F.col("h.key")).alias("how_found"), F.explode(hits).alias("raw"))
@@ -101,14 +107,5 @@ def extract(manifest: DataFrame, blobs: DataFrame, rules: Rules = Rules()) -> Da
     return bodies.select(cols).unionByName(shot.select(cols)).unionByName(head.select(cols))
 
 
-def result_document(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row: expected, distinct_strict, count_met, and the sightings of each strict value as JSON."""
-    strict = found.filter("bucket = 'strict'")
-    values = strict.groupBy("canonical").agg(F.array_sort(F.collect_list(F.struct("url", "sha256", "how_found"))).alias("seen"))
-    return values.agg(F.count("*").alias("distinct_strict"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical", "seen"))))).alias("secrets")).select(
-        F.lit(rules.expected).alias("expected"), "distinct_strict", (F.col("distinct_strict") >= rules.expected).alias("count_met"), "secrets"
-    )
-
-
 def first_ruled_out(found: DataFrame) -> DataFrame:
     return found.filter("bucket = 'ruled_out'").withColumn("_n", F.row_number().over(Window.partitionBy("raw", "sha256").orderBy("seq", "how_found"))).filter("_n = 1").drop("_n")

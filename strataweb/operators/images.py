@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..rules import CONFUSIONS, Rules
+from ..functions.content import latin1
+from ..rules import CLEAN, CONFUSIONS, DECOY_ONLY, DISAGREEING, FOUND, FRAGMENT, LOOSE_ONLY, Rules
+from .detect import bare_hex, canonical, judged, ruled_out, sightings
+from .metadata import metadata_texts
 
 CHANNELS, ORDERS, DEPTHS, BIT_ORDERS = ("R", "G", "B", "luma", "RGB"), ("row", "column", "diagonal", "border"), (1, 2, 4), ("msb", "lsb")
 RAMP, DEVIATION = 8.0, 12.0
@@ -54,32 +58,22 @@ def packed(values: np.ndarray, depth: int, order: str) -> bytes:
     return np.packbits(flat.reshape(-1, 8)[:, ::-1] if order == "lsb" and even else flat).tobytes()
 
 
-def grid() -> Iterator[tuple[str, str, str, str, str]]:
-    """(channel, order, encoding, bit order, direction) of the 376 candidates of an image."""
-    for ch in CHANNELS:
-        if ch == "RGB":
-            for direction in ("forward", "reversed"):
-                for order in ORDERS:
-                    yield ch, order, "ascii", "-", direction
-        for order in ORDERS:
-            if ch != "RGB":
-                for direction in ("forward", "reversed"):
-                    yield ch, order, "ascii", "-", direction
-            for plane in "RGB" if ch == "RGB" else "-":
-                for depth in DEPTHS:
-                    for bits in BIT_ORDERS:
-                        for direction in ("forward", "reversed"):
-                            yield f"RGB.{plane}" if ch == "RGB" else ch, order, f"bits{depth}", bits, direction
+def grid() -> Iterator[tuple[str, str, str, str, bool]]:
+    """(channel, order, encoding, bit order, reversed) of the 376 candidates of an image; RGB's bits are taken from each of its planes."""
+    for ch, order, back in product(CHANNELS, ORDERS, (False, True)):
+        yield ch, order, "ascii", "", back
+        for depth, bits, plane in product(DEPTHS, BIT_ORDERS, "RGB" if ch == "RGB" else "-"):
+            yield f"RGB.{plane}" if ch == "RGB" else ch, order, f"bits{depth}", bits, back
 
 
 def candidates(rgb: np.ndarray) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) for each of grid(): an RGB ascii candidate has all three values of each pixel in turn."""
-    for ch, order, encoding, bits, direction in grid():
+    """(name, bytes) for each of grid(): an RGB ascii candidate has all three values of each pixel in turn; planes of RGB share a name."""
+    for ch, order, encoding, bits, back in grid():
         if encoding == "ascii":
             data = (rgb.reshape(-1) if ch == "RGB" else scan(channel(rgb, ch), order)).astype(np.uint8).tobytes()
         else:
             data = packed(scan(channel(rgb, ch.partition(".")[2] or ch), order), int(encoding[4:]), bits)
-        yield "/".join((ch, order, encoding, bits, direction)), data[::-1] if direction == "reversed" else data
+        yield "/".join(x for x in (ch.partition(".")[0], order, encoding, bits, "rev" * back) if x), data[::-1] if back else data
 
 
 def plane_fit(rgb: np.ndarray) -> tuple[bool, float, int, str]:
@@ -104,17 +98,45 @@ def plane_fit(rgb: np.ndarray) -> tuple[bool, float, int, str]:
 
 
 def sweep(images: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(sha256, candidate, canonical) of images (sha256, image): a row for each candidate, canonical null without a marker."""
-    pattern = re.compile((rules.prefix + r"\s*\{\s*([0-9a-f]{16})\s*\}").encode(), re.IGNORECASE)
+    """(sha256, candidate, hits array<string>) of images (sha256, image): a row for each candidate, with a character for each byte of a hit."""
+    mark = rules.prefix.encode()
+    strict, loose = re.compile(mark + rb"\{[0-9a-f]{16}\}"), re.compile(mark + rb"\s*\{[^}]{0,80}\}")
+
+    def hits(data: bytes) -> list[str]:
+        if mark not in data:
+            return []
+        return [x.decode("latin-1") for x in [*strict.findall(data), *(x for x in loose.findall(data) if not strict.fullmatch(x))]]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                rows = [(r.sha256, name, m and f"{rules.prefix}{{{m[1].decode().lower()}}}") for name, data in candidates(pixels(r.data, r.height, r.width, r.channels)) for m in [pattern.search(data)]]
-                yield pd.DataFrame(rows, columns=["sha256", "candidate", "canonical"])
+                rows = [(r.sha256, name, hits(data)) for name, data in candidates(pixels(r.data, r.height, r.width, r.channels))]
+                yield pd.DataFrame(rows, columns=["sha256", "candidate", "hits"])
 
     rows = images.filter("image.height > 0").select("sha256", "image.data", "image.height", "image.width", F.col("image.nChannels").alias("channels"))
-    return rows.mapInPandas(each, "sha256 string, candidate string, canonical string")
+    return rows.mapInPandas(each, "sha256 string, candidate string, hits array<string>")
+
+
+def pixel_sightings(swept: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """A sweep's hits, judged, as (sha256, candidate, how_found, raw, canonical, ruled_out, strict, bucket)."""
+    return judged(swept.select("sha256", "candidate", F.concat(F.lit("pixel:"), "candidate").alias("how_found"), F.explode("hits").alias("raw")), rules)
+
+
+def sweep_log(swept: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(sha256, candidate, outcome): clean, LOOSE, or STRICT: and the last strict value, for every candidate."""
+    value = F.transform("hits", lambda x: F.when(ruled_out(x, canonical(x, rules), rules) == "", canonical(x, rules)))
+    last = F.element_at(F.filter(value, lambda x: x.isNotNull()), -1)
+    return swept.select("sha256", "candidate", F.when(F.size("hits") == 0, "clean").when(last.isNotNull(), F.concat(F.lit("STRICT:"), last)).otherwise("LOOSE").alias("outcome"))
+
+
+def metadata_sightings(blobs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Hits in the metadata of rasters (sha256, content), in UTF-16 as well, a strict value once for each image, and bare runs of 16 digits."""
+    texts = blobs.select("sha256", F.explode(metadata_texts(F.col("content"))).alias("s")).select("sha256", "s.sub", "s.data")
+    bare = texts.select("sha256", F.concat("sub", F.lit(":bare_hex16")).alias("how_found"), F.explode(bare_hex(latin1(F.col("data")))).alias("raw"))
+    found = sightings(texts, rules, F.lit(True)).select("sha256", "how_found", "raw", "canonical", "ruled_out", "strict", "bucket")
+    own = Window.partitionBy("sha256", "canonical").orderBy("how_found", "raw")
+    once = found.withColumn("_n", F.row_number().over(own)).filter("not strict or _n = 1").drop("_n")
+    return once.unionByName(judged(bare.withColumn("raw", F.concat(F.lit(FRAGMENT), "raw")), rules))
 
 
 def fits(images: DataFrame) -> DataFrame:
@@ -129,23 +151,43 @@ def fits(images: DataFrame) -> DataFrame:
 
 
 def ruling(payloads: Column, sightings: Column, open_review: Column, ruled: Column) -> Column:
-    return F.when(payloads > 1, "disagreeing").when(sightings > 0, "payload-found").when(open_review > 0, "loose-only").when(ruled > 0, "decoy-only").otherwise("swept-and-clean")
+    return F.when(payloads > 1, DISAGREEING).when(sightings > 0, FOUND).when(open_review > 0, LOOSE_ONLY).when(ruled > 0, DECOY_ONLY).otherwise(CLEAN)
+
+
+def image_reports(swept: DataFrame, found: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(sha256, candidates_tried, candidates_with_hits, ruling) of a sweep and all sightings (sha256, how_found, canonical, bucket) of its images.
 
+    Values read from pixels or by OCR may disagree, those of metadata are only counted as found. An image in merged
+    (sha256, canonical not null) has its payload found.
+    """
+    tried = swept.groupBy("sha256").agg(F.count("*").alias("candidates_tried"), F.count_if(F.size("hits") > 0).alias("candidates_with_hits"))
+    strict, seen = F.col("bucket") == "strict", F.col("how_found").rlike("^(pixel|img_ocr):")
+    marks = found.groupBy("sha256").agg(F.count_distinct(F.when(strict & seen, F.col("canonical"))).alias("payloads"), F.count_if(strict).alias("strict"), F.count_if(F.col("bucket") == "needs_review").alias("open"), F.count_if(F.col("bucket") == "ruled_out").alias("ruled"))
+    rows = tried.join(marks, "sha256", "left").fillna(0, ["payloads", "strict", "open", "ruled"])
+    rows = rows.select("sha256", "candidates_tried", "candidates_with_hits", ruling(F.col("payloads"), F.col("strict"), F.col("open"), F.col("ruled")).alias("ruling"))
+    if merged is None:
+        return rows
+    agreed = merged.filter("canonical is not null").select("sha256", F.lit(True).alias("_agreed")).distinct()
+    return rows.join(agreed, "sha256", "left").withColumn("ruling", F.when(F.col("_agreed"), FOUND).otherwise(F.col("ruling"))).drop("_agreed")
 
-def reports(found: DataFrame) -> DataFrame:
-    """(sha256, candidates_tried, candidates_with_hits, ruling) of a sweep."""
-    return found.groupBy("sha256").agg(F.count("*").alias("candidates_tried"), F.count("canonical").alias("candidates_with_hits"), F.count_distinct("canonical").alias("payloads")).select("sha256", "candidates_tried", "candidates_with_hits", ruling(F.col("payloads"), F.col("candidates_with_hits"), F.lit(0), F.lit(0)).alias("ruling"))
+
+def reports(swept: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """image_reports of a sweep alone."""
+    return image_reports(swept, pixel_sightings(swept, rules))
 
 
 def consensus(texts: list[str], prefix: str) -> str | None:
-    """The canonical value that OCR passes agree on: a whole window by two passes, else two thirds at each place."""
-    table, windows = str.maketrans(CONFUSIONS), []
+    """The canonical value that OCR passes agree on: a whole window by two passes, else two thirds at each place and most of those.
+
+    A pass's window is the first of those behind the prefix, in any case, with most hexadecimal digits.
+    """
+    digits, table, windows = set("0123456789abcdef"), str.maketrans(CONFUSIONS), []
     for t in texts:
-        if prefix not in t:
-            continue
-        tail = re.sub(r"\s", "", t.partition(prefix)[2]).translate(table).lower()
-        some = [tail[k : k + 16] for k in range(max(1, len(tail) - 15))]
-        windows.append(max(some, key=lambda w: sum(x in "0123456789abcdef" for x in w)))
+        if m := re.search(re.escape(prefix), t, re.IGNORECASE):
+            tail = t[m.end() :]
+            some = (tail[k : k + 16].translate(table).lower() for k in range(max(1, len(tail) - 15)))
+            windows.append(max(some, key=lambda w: sum(x in digits for x in w)))
+    windows = [w for w in windows if w]
     if len(windows) < 2:
         return None
     whole = [w for w, n in Counter(windows).most_common() if n > 1 and re.fullmatch("[0-9a-f]{16}", w)]
@@ -153,10 +195,10 @@ def consensus(texts: list[str], prefix: str) -> str | None:
         return f"{prefix}{{{whole[0]}}}"
     need, out = -(-2 * len(windows) // 3), ""
     for k in range(16):
-        seen = Counter(w[k] for w in windows if len(w) > k and w[k] in "0123456789abcdef").most_common(2)
-        if not seen or sum(n for _, n in seen) < need or seen[0][1] * 2 <= len(windows):
+        seen = Counter(w[k] for w in windows if len(w) > k and w[k] in digits)
+        if not seen or seen.total() < need or seen.most_common(1)[0][1] * 2 <= seen.total():
             return None
-        out += seen[0][0]
+        out += seen.most_common(1)[0][0]
     return f"{prefix}{{{out}}}"
 
 

@@ -8,8 +8,6 @@ import html
 import io
 import json
 import re
-import struct
-import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -127,7 +125,14 @@ def _xml(body: str) -> list[tuple[str, str]]:
 
 
 def _csv(body: str) -> list[tuple[str, str]]:
-    return [(f"csv_cell:r{r}c{k}", x) for r, row in enumerate(csv.reader(io.StringIO(body))) for k, x in enumerate(row) if x]
+    """Cells that aren't empty; of a malformed body those before the fault, and the whole."""
+    out = []
+    try:
+        for r, row in enumerate(csv.reader(io.StringIO(body))):
+            out += [(f"csv_cell:r{r}c{k}", x) for k, x in enumerate(row) if x]
+    except csv.Error:
+        out.append(("raw", body))
+    return out
 
 
 def _sourcemap(body: str) -> list[tuple[str, str]]:
@@ -210,42 +215,23 @@ def decoded(body: Column) -> Column:
     """Decoded variants (sub, data) of a binary body; bodies without a gate's characters don't leave the JVM."""
     text = latin1(body)
     may = text.rlike(f"{BASE64}|;base64,|{PERCENT}|{ENTITIES}|{CSS_ESCAPES}|{JS_ESCAPES}|fromCharCode")
-    return F.coalesce(F.when(may, _decoded(text)), F.array().cast("array<struct<sub:string,data:binary>>"))
-
-
-def png_strings(body: bytes) -> list[tuple[str, bytes]]:
-    """Text chunks of a PNG, compressed ones inflated."""
-    out, at = [], 8
-    while body[:8] == b"\x89PNG\r\n\x1a\n" and at + 8 <= len(body):
-        size, kind = struct.unpack(">I4s", body[at : at + 8])
-        data = body[at + 8 : at + 8 + size]
-        key, _, value = data.partition(b"\0")
-        try:
-            if kind == b"tEXt":
-                out.append((f"png_text:{key.decode('latin-1')}", value))
-            elif kind == b"zTXt":
-                out.append((f"png_text:{key.decode('latin-1')}", zlib.decompress(value[1:])))
-            elif kind == b"iTXt":
-                packed, rest = value[:1] == b"\1", value[2:].split(b"\0", 2)[2]
-                out.append((f"png_text:{key.decode('latin-1')}", zlib.decompress(rest) if packed else rest))
-        except (zlib.error, IndexError):
-            pass
-        at += 12 + size
-    return out
+    return F.coalesce(_decoded(F.when(may, text)), F.array().cast("array<struct<sub:string,data:binary>>"))
 
 
 def expanded(blobs: DataFrame) -> DataFrame:
     """(sha256, sub, data binary) of distinct bodies (sha256, handler, content): their surfaces and decoded variants.
 
-    Bodies without a handler have decoded variants only, rasters none of their own.
+    Bodies without a handler have decoded variants only, rasters none of their own. Spark calls a Python function
+    for every row, whatever branch it stands in, so each is given null for bodies that aren't its own.
     """
     text = utf8(F.col("content"))
     how = F.col("handler")
+    own = lambda name: F.when(how == name, text)
     surfaces = (
-        F.when(how == "html", html_surfaces(text)).when(how == "code", code(text)).when(how == "json", json_surfaces(text)).when(how == "xml", xml_surfaces(text))
-        .when(how == "csv", csv_surfaces(text)).when(how == "sourcemap", sourcemap_surfaces(text)).when(how == "text", named("raw", F.array(text)))
+        F.when(how == "html", html_surfaces(text)).when(how == "code", code(text)).when(how == "json", json_surfaces(own("json"))).when(how == "xml", xml_surfaces(own("xml")))
+        .when(how == "csv", csv_surfaces(own("csv"))).when(how == "sourcemap", sourcemap_surfaces(own("sourcemap"))).when(how == "text", named("raw", F.array(text)))
         .when(how == "pdf", F.concat(named("pdf_text", pdf_text(latin1(F.col("content")))), named("raw", F.array(text))))
     )
-    own = F.transform(surfaces, lambda s: F.struct(s["sub"].alias("sub"), s["data"].cast("binary").alias("data")))
-    every = F.concat(F.coalesce(own, F.array().cast("array<struct<sub:string,data:binary>>")), decoded(F.col("content")))
+    found = F.transform(surfaces, lambda s: F.struct(s["sub"].alias("sub"), s["data"].cast("binary").alias("data")))
+    every = F.concat(F.coalesce(found, F.array().cast("array<struct<sub:string,data:binary>>")), decoded(F.col("content")))
     return blobs.select("sha256", F.explode(every).alias("s")).select("sha256", "s.sub", "s.data")

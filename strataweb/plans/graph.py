@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import HOW_STYLES, PREFIX_FILL, STATE_FILL, TYPE_FILL
+
 
 def nodes(edges: DataFrame, manifest: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(manifest.select("canon_key")).distinct()
@@ -45,26 +47,29 @@ def discovered(pages: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFram
     return bfs(links.join(pages.select(F.col("canon_key").alias("src")), "src", "left_semi"), seeds)
 
 
-#: Fills of nodes by state, then by type; styles of edges by attribution.
-STATE_FILL = {"out_of_scope": "gray85", "errored": "lightpink"}
-TYPE_FILL = [("text/html", "lightblue"), ("image/", "palegreen"), ("text/css", "khaki"), ("application/javascript", "khaki"), ("text/javascript", "khaki")]
-EDGE_STYLE = {"redirect": ("red", "bold"), "regex_fallback": ("gray", "dashed"), "js_navigation": ("purple", "dashed"), "seed": ("black", "dotted")}
-
-
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(place, line) of a DOT graph of nodes (node, state, content_type, depth) and edges (src, dst, how), in order of place and line."""
-    fill = F
-    for state, colour in STATE_FILL.items():
-        fill = fill.when(F.col("state") == state, colour)
-    for prefix, colour in TYPE_FILL:
-        fill = fill.when(F.col("content_type").startswith(prefix), colour)
-    shape = F.when(F.col("state").isin(*STATE_FILL), ", shape=box").otherwise("")
-    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, '"', "%22"), F.lit('"'))
-    label = F.concat(F.replace(F.col("node"), F.lit('"'), F.lit("'")), F.when(F.col("depth").isNotNull(), F.concat(F.lit("\\n(d="), F.col("depth").cast("string"), F.lit(")"))).otherwise(""))
-    node = nodes.select(F.lit(1).alias("place"), F.concat(F.lit("  "), quoted(F.col("node")), F.lit(' [label="'), label, F.lit('", style=filled, fillcolor='), fill.otherwise("white"), shape, F.lit("];")).alias("line"))
+    """(place, line) of a DOT graph of nodes (node, state, content_type, depth) and edges (src, dst, how), in order of place and line.
+
+    A quotation mark in a key is escaped, as it would end the node's name.
+    """
+    fill, kind = F, F.coalesce("content_type", F.lit(""))
+    for when, table in ((lambda x: F.col("state") == x, STATE_FILL), (kind.startswith, PREFIX_FILL), (lambda x: kind == x, TYPE_FILL)):
+        for x, colour in table.items():
+            fill = fill.when(when(x), colour)
+    shape = F.when(F.col("state").isin(*STATE_FILL), "box").otherwise("ellipse")
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    label = F.concat(F.replace(F.col("node"), F.lit('"'), F.lit("'")), F.coalesce(F.concat(F.lit("\\n(d="), F.col("depth").cast("string"), F.lit(")")), F.lit("")))
+    node = F.concat(F.lit("  "), quoted(F.col("node")), F.lit(' [label="'), label, F.lit('", shape='), shape, F.lit(', style=filled, fillcolor="'), fill.otherwise("white"), F.lit('"];'))
     colour, style = F, F
-    for how, (c, s) in EDGE_STYLE.items():
+    for how, (c, s) in HOW_STYLES.items():
         colour, style = colour.when(F.col("how") == how, c), style.when(F.col("how") == how, s)
-    edge = edges.select(F.lit(2).alias("place"), F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(" [color="), colour.otherwise("black"), F.lit(", style="), style.otherwise("solid"), F.lit("];")).alias("line"))
-    ends = nodes.sparkSession.createDataFrame([(0, "digraph site {"), (3, "}")], "place int, line string")
-    return ends.union(node).union(edge)
+    edge = F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(' [label="'), F.col("how"), F.lit('", color='), colour.otherwise("black"), F.lit(", style="), style.otherwise("solid"), F.lit("];"))
+    ends = nodes.sparkSession.createDataFrame([(0, "digraph site {"), (1, "  rankdir=LR;"), (2, '  node [fontname="Helvetica"];'), (5, "}")], "place int, line string")
+    return ends.union(nodes.select(F.lit(3), node)).union(edges.select(F.lit(4), edge))
+
+
+def graph_nodes(edges: DataFrame, manifest: DataFrame, states: DataFrame, depths: DataFrame) -> DataFrame:
+    """(node, state, content_type, depth) for dot_lines: every end of a reference and every row, a key's last row deciding its type."""
+    last = manifest.groupBy(F.col("canon_key").alias("node")).agg(F.max_by("content_type", "seq").alias("content_type"))
+    own = states.select(F.col("canon_key").alias("node"), "state")
+    return nodes(edges, manifest).filter("node is not null").join(last, "node", "left").join(own, "node", "left").join(depths, "node", "left").select("node", "state", "content_type", "depth")

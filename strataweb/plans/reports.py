@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from pathlib import Path
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.content import disagrees
-from ..rules import INVENTORIED
+from ..rules import INVENTORIED, SEVERAL_REFERRERS, SEVERAL_URLS
 
 
 def inventory(rows: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def duplication(rows: DataFrame, edges: DataFrame) -> DataFrame:
     same = rows.filter("sha256 is not null")
     urls = same.groupBy("sha256").agg(F.array_sort(F.collect_set("url")).alias("urls"), F.min_by("content_type", "seq").alias("content_type"), F.min_by("length", "seq").alias("length"))
     referrers = same.select("sha256", "canon_key").distinct().join(edges, F.col("canon_key") == F.col("dst"), "left").groupBy("sha256").agg(F.array_sort(F.collect_set("src")).alias("referrers"))
-    case = F.when(F.size("urls") > 1, "several_urls").when(F.size("referrers") > 1, "several_referrers")
+    case = F.when(F.size("urls") > 1, SEVERAL_URLS).when(F.size("referrers") > 1, SEVERAL_REFERRERS)
     return urls.join(referrers, "sha256").withColumn("case", case).filter("case is not null")
 
 
@@ -61,15 +65,89 @@ def fetched_errored(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy(F.when(F.col("sha256").isNotNull(), "fetched").otherwise("errored").alias("state")).agg(F.count("*").alias("n"))
 
 
-def markdown(title: str, rows: DataFrame, k: int = 1000) -> str:
-    """A table of a report's first k rows, formatted on the driver."""
-    cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
-    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(k).collect())]) + "\n"
+def cell(x: object) -> str:
+    return str("" if x is None else ", ".join(map(str, x)) if isinstance(x, list) else x).replace("|", "\\|").replace("\n", " ")
+
+
+def section(title: str, rows: DataFrame, none: str = "_None._", level: int = 2) -> Iterator[str]:
+    """A heading and a Markdown table of all rows, which pass the driver a partition at a time."""
+    yield from ("", f"{'#' * level} {title}", "")
+    some = False
+    for r in rows.toLocalIterator():
+        if not some:
+            yield from ("| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns))
+        some = True
+        yield "| " + " | ".join(map(cell, r)) + " |"
+    if not some:
+        yield none
+
+
+def write_lines(lines: Iterable[str], path: str) -> None:
+    """One file at a path or URI of any file system Arrow knows."""
+    system, name = fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(name) as f:
+        for x in lines:
+            f.write((x + "\n").encode("utf-8", "replace"))
+
+
+def filetypes_report(manifest: DataFrame) -> Iterator[str]:
+    rows = manifest.filter("content_type is not null")
+    kinds = inventory(rows).orderBy("content_type")
+    yield "# Filetype inventory"
+    yield from section("Types", kinds.select("content_type", F.col("n").alias("count"), "bytes", F.when(F.col("handled"), "yes").otherwise("**NO**").alias("extractor?"), "examples"))
+    yield from section("Signal disagreements", disagreements(rows).select("url", F.col("content_type").alias("header"), F.col("url_ext").alias("ext"), F.col("sniffed_type").alias("sniffed")).orderBy("url"))
+    yield from section("Unhandled types", kinds.filter("not handled").select("content_type"))
 
 
-def coverage_report(manifest: DataFrame, edges: DataFrame, states: DataFrame, depths: DataFrame) -> str:
+def coverage_report(manifest: DataFrame, edges: DataFrame, states: DataFrame, depths: DataFrame, review: DataFrame | None = None) -> Iterator[str]:
+    """Accounts of a capture: states (canon_key, state, capped), depths (node, depth), review (ref) of references that weren't followed."""
     from .frontier import accounting
 
-    parts = [("Terminal states", accounting(states).orderBy("state")), ("Rows", fetched_errored(manifest).orderBy("state")), ("Types", inventory(manifest.filter("sha256 is not null")).orderBy("content_type")), ("Disagreements", disagreements(manifest.filter("sha256 is not null")).select("url", "url_ext", "content_type", "sniffed_type").orderBy("url")), ("Duplication", duplication(manifest, edges).select("sha256", "case", "urls").orderBy("sha256")), ("Depths", counts(depths, "depth").orderBy("depth")), ("References", top(edges, "how", 100))]
-    return "# Coverage\n\n" + "\n".join(markdown(t, x) for t, x in parts)
+    rows = manifest.filter("sha256 is not null")
+    yield "# Coverage report"
+    yield from section("Terminal-state accounting", accounting(states).orderBy("state").union(states.select(F.lit("seen (total)"), F.count_distinct("canon_key"))))
+    yield from section("Depth histogram", counts(depths, "depth").orderBy("depth"))
+    yield from section("References", counts(edges, "how").orderBy(F.desc("n"), "how"))
+    yield from ("", "## Named exceptions")
+    if "capped" in states.columns:
+        yield from section("Template truncations", states.filter("capped is not null").select(F.col("capped").alias("cap"), "canon_key").orderBy("cap", "canon_key"), level=3)
+    yield from section("Blocked notices", manifest.filter("blocked_notice").select("url").orderBy("url"), level=3)
+    yield from section("Terminal errors", manifest.filter("error is not null").select("url", "error").orderBy("url"), level=3)
+    yield from section("Redirects", redirects(manifest).orderBy("url"), level=3)
+    yield from section("Duplication", duplication(rows, edges).select("sha256", "case", "content_type", "length", "urls", "referrers").orderBy("sha256"))
+    yield from ("", "## Residual queues")
+    yield from section("Unhandled types", inventory(rows).filter("not handled").select("content_type").orderBy("content_type"), level=3)
+    if review is not None:
+        yield from section("References without an extension", review, level=3)
+    for title, what in RESIDUALS:
+        yield from section(title, manifest.filter(what).select("url").orderBy("url"), level=3)
+
+
+def redirects(manifest: DataFrame) -> DataFrame:
+    """(url, final_url) of rows that ended elsewhere, and whether out of the first scope."""
+    from ..functions import url as u
+
+    return manifest.filter("final_url is not null and final_url <> url").select("url", "final_url", (~F.coalesce(u.scope(F.col("final_url")) == u.scope(F.col("url")), F.lit(False))).alias("out_of_scope"))
+
+
+def submission_report(manifest: DataFrame, edges: DataFrame, results: dict[str, DataFrame], expected: int) -> Iterator[str]:
+    """What was captured, the values found with their first sightings, what is open, and the images."""
+    kinds = counts(manifest.filter("sha256 is not null"), "content_type")
+    found = results["secrets"]
+    yield "# Report on the capture"
+    yield from section("Rows", fetched_errored(manifest).orderBy("state"))
+    yield from section("Content types", kinds.orderBy(F.desc("n"), "content_type"))
+    yield from section("References by mechanism", counts(edges, "how").orderBy(F.desc("n"), "how"))
+    yield from section("Other than anchors, the most frequent", top(edges.filter("how <> 'a_href'"), "how", 5).select("how", "n"))
+    yield from section(f"Values, of {expected} expected", found.groupBy("canonical").agg(F.min_by("url", "seq").alias("url"), F.min_by("how_found", "seq").alias("how_found")).orderBy("canonical"))
+    yield from section("Header sightings", found.filter("how_found like 'header:%'").agg(F.count("*").alias("n")))
+    for title, name in (("Divergences", "divergences"), ("Ruled out", "ruled_out"), ("Needs review", "needs_review"), ("Images", "images")):
+        yield from section(title, results[name])
+
+
+#: Pages that a capture left a doubt about.
+RESIDUALS = [
+    ("Pages that never fell quiet", "idle_timeout"), ("Changed after their snapshot", "late_mutations > 0"), ("Changed after clicks", "late_mutations_post_click > 0"),
+    ("With closed shadow roots", "closed_shadow_roots > 0"), ("With unexplained interactive parts", "unexplained_interactives > 0"),
+]

@@ -213,7 +213,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT doc_id, sha256(text) AS sha256, source FROM documents),
 s AS (SELECT sha256, count(DISTINCT doc_id) AS urls, count(DISTINCT source) AS referrers FROM b GROUP BY sha256)
-SELECT sha256, urls::BIGINT AS urls, referrers::BIGINT AS referrers, CASE WHEN urls > 1 THEN 'several_urls' ELSE 'several_referrers' END AS case FROM s WHERE urls > 1 OR referrers > 1""")
+SELECT sha256, urls::BIGINT AS urls, referrers::BIGINT AS referrers, CASE WHEN urls > 1 THEN 'same_bytes_different_urls' ELSE 'same_url_multiple_referrers' END AS case FROM s WHERE urls > 1 OR referrers > 1""")
 def duplication_case(spark, sf_dir):
     rows = _bodies(spark, sf_dir)
     edges = rows.select(F.col("source").alias("src"), F.col("canon_key").alias("dst"))

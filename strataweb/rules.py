@@ -35,6 +35,24 @@ TAGS = {
     "a": "a_href", "area": "area_href", "img": "img_src", "script": "script_src", "iframe": "iframe_src", "embed": "embed_src", "object": "object_data", "link": "link_rel",
     "source": "picture_source", "form": "form_action", "track": "track_src", "video": "video_src", "audio": "audio_src",
 }
+#: Colour and line of a reference in the DOT graph, by attribution; others are black and solid.
+HOW_STYLES = {
+    "a_href": ("black", "solid"), "img_src": ("gray40", "solid"), "srcset": ("gray40", "dashed"), "picture_source": ("gray40", "dashed"), "css_url": ("darkgreen", "solid"),
+    "link_rel": ("darkgreen", "dashed"), "script_src": ("darkorange", "solid"), "iframe_src": ("purple", "solid"), "object_data": ("purple", "solid"), "embed_src": ("purple", "solid"),
+    "form_action": ("brown", "solid"), "area_href": ("gray40", "dotted"), "meta_refresh": ("brown", "dashed"), "xhr": ("red", "bold"), "js_navigation": ("red", "solid"),
+    "click": ("red", "dotted"), "redirect": ("blue", "dashed"), "header_link": ("blue", "dotted"), "track_src": ("gray40", "dotted"), "video_src": ("gray40", "dotted"),
+    "audio_src": ("gray40", "dotted"), "sourcemap": ("darkorange", "dashed"), "http_link_header": ("blue", "dotted"), "json_value": ("darkgreen", "dotted"), "sw_register": ("red", "dashed"),
+    "regex_fallback": ("magenta", "bold"), "shadow_dom": ("darkgreen", "bold"), "data_attr": ("gray40", "dotted"), "poster": ("gray40", "solid"),
+}
+#: Fills of the DOT graph's nodes, by state, by type, and by beginnings of types.
+STATE_FILL = {"out_of_scope": "gray85", "errored": "lightpink"}
+TYPE_FILL = {"text/css": "khaki", "application/javascript": "khaki", "text/javascript": "khaki"}
+PREFIX_FILL = {"text/html": "lightblue", "image/": "palegreen"}
+#: Why a hit doesn't count, beside worked examples; the mark of a bare run of digits.
+PROSE, BARE, FRAGMENT = "format_prose", "bare_hex_fragment", "FRAGMENT:"
+#: Rulings on an image, and the two cases of duplication.
+DISAGREEING, FOUND, LOOSE_ONLY, DECOY_ONLY, CLEAN = "needs-review:disagreeing-payloads", "payload-found", "needs-review:loose-only", "ruled-out:decoy-only", "swept-and-clean"
+SEVERAL_URLS, SEVERAL_REFERRERS = "same_bytes_different_urls", "same_url_multiple_referrers"
 
 
 @dataclass(frozen=True)
@@ -43,7 +61,6 @@ class Rules:
     #: Canonical values that are worked examples, and the reason.
     excluded: dict[str, str] = field(default_factory=dict)
     prose: str = "hexadecimal"
-    fragment: str = "FRAGMENT:"
     blocked: str = "only visible to"
     max_keys: int = 2000
     max_per_template: int = 60

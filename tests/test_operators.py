@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataweb.functions import content, url
-from strataweb.operators import detect, images, links, surfaces
+from strataweb.operators import detect, images, links, metadata, surfaces
 from strataweb.plans import frontier, graph
 from strataweb.rules import Rules
 
@@ -72,6 +72,7 @@ def test_html_surfaces(spark):
 def test_json_and_decoders(spark):
     assert surfaces._json('{"a":["x",1,{"b":"y"}]}') == [("json_value:$.a[0]", "x"), ("json_value:$.a[2].b", "y")]
     assert surfaces._json("{") == [("raw", "{")]
+    assert surfaces._csv("a,\nb\rc,d\n") == [("csv_cell:r0c0", "a"), ("raw", "a,\nb\rc,d\n")]
     assert dict(surfaces.decoded_variants("String.fromCharCode(77,65,82,75)")) == {"decoded:js_escape": b"MARK"}
     assert surfaces.decoded_variants(r"\110000 \110000 \110000 \110000") == []
 
@@ -94,7 +95,7 @@ def test_extract_end_to_end(spark):
     strict = found.filter("bucket = 'strict'")
     assert {r.url for r in strict.filter("canonical like '%aaaa%'").collect()} == {"http://h/1", "http://h/2"}
     assert [tuple(r) for r in detect.divergence(strict.filter("corpus <> 'header'")).filter("corpus = 'rendered_only'").collect()] == [("MARK{bbbbbbbbbbbbbbbb}", "http://h/1", "rendered_only")]
-    assert detect.result_document(found).first().distinct_strict == 3
+    assert strict.select("canonical").distinct().count() == 3
     assert "sha256" in MANIFEST
 
 
@@ -140,7 +141,9 @@ def test_scan_orders_and_grid():
 def test_png_text():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"tEXt", b"note\0" + M.encode()) + chunk(b"zTXt", b"z\0\0" + zlib.compress(M.encode())) + chunk(b"IEND", b"")
-    assert surfaces.png_strings(png) == [("png_text:note", M.encode()), ("png_text:z", M.encode())]
+    got = metadata.texts(png)
+    assert {("img_meta:png_text:note", M.encode()), ("img_meta:info:z", M.encode()), ("img_chunk:zTXt", M.encode())} <= set(got) and len(got) == 6
+    assert metadata.texts(b"") == [] and metadata.texts(png[:30]) and metadata.texts(b"\xff\xd8\xff") == []
 
 
 def test_stream(spark, tmp_path):
@@ -150,3 +153,89 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/1.json").write_text('{"url":"http://h/a#1","fetched_at":"2024-01-01T00:00:00Z"}\n{"url":"http://h/a","fetched_at":"2024-01-01T00:00:01Z"}\n')
     ingest(new_keys(manifest_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+@pytest.fixture
+def capture(tmp_path):
+    """A capture of a page, its rendering, and a PNG with a value in its metadata, by hand."""
+    import hashlib
+    import json
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    pixels = b"".join(b"\0" + bytes(range(48)) for _ in range(16))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 16, 16, 8, 2, 0, 0, 0)) + chunk(b"tEXt", b"note\0MARK{cccccccccccccccc} 0123456789abcdef") + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    bodies = {"page": b"<!-- MARK{aaaaaaaaaaaaaaaa} --><p>MARK{ x }</p>", "shot": b"<p>MARK{bbbbbbbbbbbbbbbb}</p>", "png": png, "bad": b"\x89PNG\r\n\x1a\nbroken"}
+    (tmp_path / "blobs").mkdir()
+    sha = {}
+    for name, b in bodies.items():
+        sha[name] = hashlib.sha256(b).hexdigest()
+        (tmp_path / "blobs" / sha[name]).write_bytes(b)
+    rows = [
+        {"url": "http://h/", "canon_key": "http://h/", "content_type": "text/html", "url_ext": "", "sniffed_type": "text/html", "sha256": sha["page"], "rendered_sha256": sha["shot"], "length": 40, "headers": {"Set-Cookie": "a=MARK{dddddddddddddddd}"}},
+        {"url": "http://h/a.png", "canon_key": "http://h/a.png", "content_type": "image/png", "url_ext": "png", "sniffed_type": "image/png", "sha256": sha["png"], "length": 9, "headers": {}},
+        {"url": "http://h/b.png", "canon_key": "http://h/b.png", "content_type": "image/png", "url_ext": "png", "sniffed_type": "image/png", "sha256": sha["png"], "length": 9, "headers": {}},
+        {"url": "http://h/c.png", "canon_key": "http://h/c.png", "content_type": "image/png", "url_ext": "png", "sniffed_type": "image/png", "sha256": sha["bad"], "length": 9, "headers": {}},
+        {"url": "http://h/x", "canon_key": "http://h/x", "error": "timeout"},
+    ]
+    (tmp_path / "manifest.jsonl").write_text("\n\n".join(map(json.dumps, rows)) + "\n")
+    edges = [("http://h/", "http://h/a.png", "img_src"), ("http://h/", "http://h/x", "a_href"), ("http://h/", "http://o/", "xhr")]
+    (tmp_path / "edges.jsonl").write_text("".join(json.dumps({"src": s, "dst": d, "how": h, "hint": "", "depth": 1}) + "\n" for s, d, h in edges))
+    return str(tmp_path)
+
+
+def test_jobs(spark, capture):
+    import json
+    from pathlib import Path
+
+    from strataweb import jobs
+
+    out = Path(capture) / "out"
+    jobs.extract(spark, capture, str(out))
+    found = json.loads((out / "secrets.json").read_text())
+    assert found["distinct_strict"] == 4 and not found["count_met"] and list(found["secrets"]) == [f"MARK{{{x * 16}}}" for x in "abcd"]
+    assert {s["url"] for s in found["secrets"]["MARK{cccccccccccccccc}"]} == {"http://h/a.png", "http://h/b.png"}
+    assert [s["how_found"] for s in found["secrets"]["MARK{dddddddddddddddd}"]] == ["header:Set-Cookie"]
+    assert {(d["canonical"][5], d["corpus"]) for d in found["divergences"]} == {("a", "raw_only"), ("b", "rendered_only")}
+    assert {(r["raw"], r["reason"]) for r in found["ruled_out"]} == {(f"FRAGMENT:{x}", "bare_hex_fragment") for x in ("0123456789abcdef", "c" * 16)}
+    assert {r["raw"] for r in found["needs_review"]} == {"MARK{ x }"} and found["unhandled_types"] == []
+    assert {(i["url"], i["ruling"], i["candidates_tried"]) for i in found["images"]} == {("http://h/a.png", "payload-found", 376), ("http://h/c.png", "unreadable", 0)}
+    assert [i["url"] for i in found["images_without_secret"]] == ["http://h/c.png"]
+    assert spark.read.json(str(out / "pixel_sweep")).count() == 376
+    jobs.report(spark, capture, str(out))
+    coverage = (out / "coverage.md").read_text()
+    assert "| fetched | 4 |" in coverage and "| errored | 1 |" in coverage and "| out_of_scope | 1 |" in coverage and "same_bytes_different_urls" in coverage
+    assert "| image/png | 3 |" in (out / "filetypes.md").read_text() and "MARK{aaaaaaaaaaaaaaaa}" in (out / "submission.md").read_text()
+    jobs.dot(spark, capture, str(out))
+    lines = next((out / "graph.dot").glob("*.txt")).read_text().splitlines()
+    assert lines[0] == "digraph site {" and lines[-1] == "}"
+    assert '  "http://o/" [label="http://o/\\n(d=1)", shape=box, style=filled, fillcolor="gray85"];' in lines
+    assert '  "http://h/" -> "http://h/a.png" [label="img_src", color=gray40, style=solid];' in lines
+
+
+def test_rulings(spark):
+    """Loose hits, decoys and disagreeing pixels, as they rule an image."""
+    rows = [("a", "pixel:x", "MARK{0}", "needs_review"), ("b", "img_meta:x", "FRAGMENT:0", "ruled_out"), ("c", "pixel:x", "p", "strict"), ("c", "pixel:y", "q", "strict"), ("d", "pixel:x", "p", "strict"), ("d", "img_meta:x", "q", "strict")]
+    found = spark.createDataFrame([(s, h, c if b == "strict" else None, b) for s, h, c, b in rows], "sha256 string, how_found string, canonical string, bucket string")
+    swept = spark.createDataFrame([(s, "k", []) for s in "abcde"], "sha256 string, candidate string, hits array<string>")
+    got = {r.sha256: r.ruling for r in images.image_reports(swept, found).collect()}
+    assert got == {"a": "needs-review:loose-only", "b": "ruled-out:decoy-only", "c": "needs-review:disagreeing-payloads", "d": "payload-found", "e": "swept-and-clean"}
+
+
+def test_exif_and_comments():
+    ifd = struct.pack("<H", 2) + struct.pack("<HHI4s", 0x10E, 2, 4, b"abc\0") + struct.pack("<HHII", 0x8769, 4, 1, 38) + b"\0\0\0\0"
+    inner = struct.pack("<H", 1) + struct.pack("<HHII", 37510, 7, 6, 60) + b"\0\0\0\0"
+    tiff = b"II*\0" + struct.pack("<I", 8) + ifd
+    tiff = (tiff + inner.rjust(len(inner) + 38 - len(tiff), b"\0")).ljust(60, b"\0") + b"M\0A\0R\0"
+    app = b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
+    got = metadata.texts(b"\xff\xd8" + app + b"\xff\xfe" + struct.pack(">H", 5) + b"com" + b"\xff\xda")
+    assert {("img_meta:exif:270", b"abc"), ("img_meta:exif_ifd0x8769:37510", b"M\0A\0R\0"), ("img_meta:jpeg_comment", b"com")} <= set(got)
+    assert metadata.texts(b"GIF89a....\x21\xfe\x03abc\0;") == [("img_meta:info:comment", b"abc")]
+
+
+def test_consensus():
+    digits = "0123456789abcdef"
+    assert images.consensus([f"mark{{{digits}}}", f"MARK{{{digits.replace('0', 'O')}}}"], "MARK") == f"MARK{{{digits}}}"
+    read = lambda *places: "MARK{" + "".join("x" if k in places else d for k, d in enumerate(digits)) + "}"
+    assert images.consensus([read(3), read(7), read(9)], "MARK") == f"MARK{{{digits}}}"
+    assert images.consensus([read(3), read(3), read(9)], "MARK") is None
+    assert images.consensus(["MARK", "MARK"], "MARK") is None and images.consensus([f"MARK{{{digits}}}"], "MARK") is None
