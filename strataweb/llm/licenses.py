@@ -27,7 +27,7 @@ VARIANTS, STEPS, RATE, L1, SEED = 40, 150, 2.0, 2e-4, 42
 #: Shares of a notice's words and pairs that confirm a prediction; least probability of one.
 CONFIRMED, LEAST = 0.6, 0.5
 UNKNOWN = "unknown"
-#: Words with a larger share of the sample are no features, nor are pairs of them.
+#: Words with a larger share of the sample's paragraphs without a licence are no features, nor are pairs of them.
 COMMON = 2e-4
 #: Short notices of public licences, by family.
 NOTICES = {
@@ -55,11 +55,19 @@ def features(tokens: list[str]) -> list[str]:
     return sorted({*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))})
 
 
+def part_of(tokens: list[str], known: set[str]) -> bool:
+    """Whether the notices have most of the text's word pairs, as those of a line of a wrapped notice; of its words if it has one."""
+    own = [f"{a} {b}" for a, b in zip(tokens, tokens[1:])] or tokens
+    return bool(own) and 2 * sum(x in known for x in own) >= len(own)
+
+
 def fitted(paragraphs: list[list[str]]) -> dict:
     """bias and weights (of each feature: for each of families, the last one unknown), gate and notices."""
     families, rng = [*NOTICES, UNKNOWN], random.Random(SEED)
     notices = {f: [words(t) for t in x] for f, x in NOTICES.items()}
-    pool = [w for p in paragraphs for w in p] or ["text"]
+    known = {x for y in notices.values() for t in y for x in features(t)}
+    unknown = [p for p in paragraphs if not part_of(p, known) and all(len(set(features(p)) & set(x := features(t))) < 0.5 * len(x) for y in notices.values() for t in y)]
+    pool = [w for p in unknown for w in p] or ["text"]
     often = {w for w, n in Counter(pool).items() if n > COMMON * len(pool)}
     vocabulary = {w: k for k, w in enumerate(sorted({x for y in notices.values() for t in y for x in features(t) if not set(x.split()) <= often}))}
     rows: list[tuple[list[str], int]] = []
@@ -69,7 +77,6 @@ def fitted(paragraphs: list[list[str]]) -> dict:
             for _ in range(VARIANTS):
                 own = [w for w in t if rng.random() > 0.08] or t
                 rows.append(([*(rng.choice(pool) for _ in range(rng.choice((0, 0, 3, 12)))), *own, *(rng.choice(pool) for _ in range(rng.choice((0, 0, 3, 12))))], k))
-    unknown = [p for p in paragraphs if all(len(set(features(p)) & set(x := features(t))) < 0.5 * len(x) for y in notices.values() for t in y)]
     scraps = sorted({w for y in notices.values() for t in y for w in t})
     rows += [(p, len(families) - 1) for p in unknown] + [([rng.choice(scraps) if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randint(1, 25))], len(families) - 1) for _ in range(1000)]
     rows += [([], len(families) - 1)] * 50

@@ -208,6 +208,20 @@ def test_licenses(spark):
     assert {k: got[k].family for k in range(len(own))} == {k: f for k, (f, _) in enumerate(own)} and set(got) == set(range(len(own)))
 
 
+@pytest.mark.parametrize("notice", ["Licensed under the Apache License, Version 2.0.", "Released under the\nMIT License."])
+def test_licenses_in_many_documents(spark, notice):
+    """A notice that a third of the documents have is found as often as it occurs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    often = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(f"\n{notice}"))).otherwise(F.col("text")))
+    model, alone = licenses.model(often), notice.replace("\n", " ")
+    family = "apache" if "Apache" in notice else "mit"
+    got = licenses.scan(spark.createDataFrame([(1, alone)], DOCS), model, "doc_id").collect()
+    assert [(r.family, r.confirmed) for r in got] == [(family, True)]
+    if "\n" not in notice:
+        want = often.filter(F.col("doc_id") % 3 == 0).count()
+        assert licenses.scan(often.filter(F.col("doc_id") % 3 == 0), model, "doc_id").filter(f"family = '{family}' and confirmed").select("doc_id").distinct().count() == want
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = language.op5_language(spark, "/root/testdata/sf0.1").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
