@@ -109,6 +109,7 @@ def fitted(paragraphs: list[list[str]]) -> dict:
     return {
         "families": families, "bias": [round(float(v), 6) for v in b], "weights": {v: [round(float(a), 6) for a in w[k]] for v, k in vocabulary.items() if w[k].any()},
         "gate": sorted({min(v.split(), key=lambda t: (common[t], t)) for v in helpful}), "notices": {f: [features(t) for t in x] for f, x in notices.items()},
+        "longest": max(len(t) for x in notices.values() for t in x),
     }
 
 
@@ -123,33 +124,65 @@ def model(docs: DataFrame) -> dict:
     return fitted([r[0] for r in some.select(tokens(F.col("p"))).collect()])
 
 
+#: Of stretches of lines with the same family, the nearest to a notice comes first, then the one of fewest lines.
+_SPAN = "struct<lack:double,n_lines:int,first:int,last:int,probability:double,family:string>"
+
+
+def _stretches(longest: int):
+    """(first, last, words) of each stretch of lines that a notice of so many words can be wrapped over, from `_t`, the words of each line.
+
+    A stretch is one line, or goes on from line to line until a line without words or until the lines after the first
+    have `longest` words; a notice that starts anywhere in the first line ends within the longest stretch.
+    """
+    none = F.lit(0).cast("int")
+
+    def ends(i):
+        on = lambda acc, t: F.when(acc["open"] & (acc["n"] < longest) & (F.size(t) > 0), F.struct((acc["n"] + F.size(t)).alias("n"), (acc["last"] + 1).alias("last"), F.lit(True).alias("open"))).otherwise(F.struct(acc["n"].alias("n"), acc["last"].alias("last"), F.lit(False).alias("open")))
+        return F.aggregate(F.slice("_t", i + 2, F.lit(longest)), F.struct(none.alias("n"), i.alias("last"), F.lit(True).alias("open")), on, lambda acc: acc["last"])
+
+    of = lambda t, i: F.transform(F.sequence(i, ends(i)), lambda j: F.struct(i.alias("first"), j.alias("last"), F.flatten(F.slice("_t", i + 1, j - i + 1)).alias("w")))
+    return F.flatten(F.transform("_t", lambda t, i: F.when(F.size(t) > 0, of(t, i)).otherwise(F.array().cast("array<struct<first:int,last:int,w:array<string>>>"))))
+
+
+def _apart(spans: Column) -> Column:
+    """Of sorted stretches, those that share no line with an earlier one of their family."""
+    shares = lambda x: lambda y: (x["family"] == y["family"]) & (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+    return F.aggregate(spans, F.array().cast(f"array<{_SPAN}>"), lambda acc, x: F.when(F.exists(acc, shares(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def scan(docs: DataFrame, found: dict, *keep: str) -> DataFrame:
-    """A row for each paragraph with a licence: the columns to keep, paragraph (its number, from 0), family,
-    probability, similarity to the family's nearest notice, and confirmed.
+    """A row for each paragraph with a licence: the columns to keep, paragraph (the number of its first line, from 0),
+    family, probability, similarity to the family's nearest notice, and confirmed.
 
-    Paragraphs are parted by line feeds. Null and empty texts have none with a licence; repeated rows are
-    each scanned, and long texts are scanned whole. Other columns aren't read.
+    A paragraph is a line, or lines in a row that are nearer to a notice together than any of them is alone, as those of
+    a wrapped notice are; lines without words, comment marks alone among them, part paragraphs. Lines may be part of
+    paragraphs of several families. Null and empty texts have none with a licence; repeated rows are each scanned, and
+    long texts are scanned whole. Other columns aren't read.
     """
-    rows = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("paragraph", "_p"))
-    rows = rows.filter(F.arrays_overlap(F.split(F.lower("_p"), WORD), F.array(*map(F.lit, found["gate"]))))
+    gate = F.array(*map(F.lit, found["gate"]))
     # An explode of one value: what follows reads the value, and no filter moves below it and computes it again.
     once = lambda x: F.explode(F.array(x))
-    rows = rows.select(*keep, "paragraph", once(tokens(F.col("_p"))).alias("_w"))
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select(*keep, "paragraph", once(F.array_distinct(F.concat("_w", pairs))).alias("_f"))
+    rows = docs.select(*keep, "text").filter(F.arrays_overlap(F.split(F.lower("text"), WORD), gate))
+    rows = rows.select(*keep, once(F.transform(F.split("text", "\n"), tokens)).alias("_t"))
+    rows = rows.select(*keep, once(F.filter(_stretches(found["longest"]), lambda s: F.arrays_overlap(s["w"], gate))).alias("_s"))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select(*keep, once(F.transform("_s", lambda s: F.struct(s["first"], s["last"], F.array_distinct(F.concat(s["w"], pairs(s["w"]))).alias("f")))).alias("_s"))
     table = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
-    weights, bias = table(found["weights"], "map<string,array<double>>"), table(found["bias"], "array<double>")
-    had = F.filter(F.transform("_f", lambda f: weights[f]), lambda v: v.isNotNull())
-    logits = F.aggregate(had, bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    rows = rows.select(*keep, "paragraph", "_f", once(logits).alias("_z"))
-    rows = rows.select(*keep, "paragraph", "_f", "_z", once(F.array_max("_z")).alias("_top"))
-    top = F.col("_top")
-    share = 1 / F.aggregate("_z", F.lit(0.0), lambda acc, z: acc + F.exp(z - top))
-    rows = rows.select(*keep, "paragraph", "_f", F.array(*map(F.lit, found["families"]))[(F.array_position("_z", top) - 1).cast("int")].alias("family"), share.alias("probability"))
-    rows = rows.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    weights, bias, own = table(found["weights"], "map<string,array<double>>"), table(found["bias"], "array<double>"), table(sorted(found["weights"]), "array<string>")
+    logits = lambda f: F.aggregate(F.transform(F.array_intersect(f, own), lambda x: weights[x]), bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    rows = rows.select(*keep, once(F.transform("_s", lambda s: F.struct(s["first"], s["last"], s["f"], logits(s["f"]).alias("z")))).alias("_s"))
+    rows = rows.select(*keep, once(F.transform("_s", lambda s: F.struct(s["first"], s["last"], s["f"], s["z"], F.array_max(s["z"]).alias("top")))).alias("_s"))
+    share = lambda s: 1 / F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - s["top"]))
+    family = lambda s: F.array(*map(F.lit, found["families"]))[(F.array_position(s["z"], s["top"]) - 1).cast("int")]
+    rows = rows.select(*keep, once(F.transform("_s", lambda s: F.struct(s["first"], s["last"], s["f"], family(s).alias("family"), share(s).alias("probability")))).alias("_s"))
+    rows = rows.select(*keep, once(F.filter("_s", lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= LEAST))).alias("_s")).filter(F.size("_s") > 0)
     notices = table(found["notices"], "map<string,array<array<string>>>")
-    near = F.array_max(F.transform(notices[F.col("family")], lambda t: F.size(F.array_intersect(t, "_f")) / F.size(t)))
-    return rows.select(*keep, "paragraph", "family", "probability", near.alias("similarity"), (near >= CONFIRMED).alias("confirmed"))
+    near = lambda s: F.array_max(F.transform(notices[s["family"]], lambda t: F.size(F.array_intersect(t, s["f"])) / F.size(t)))
+    ranked = F.transform("_s", lambda s: F.struct((-near(s)).alias("lack"), (s["last"] - s["first"] + 1).alias("n_lines"), s["first"], s["last"], s["probability"], s["family"]).cast(_SPAN))
+    rows = rows.select(*keep, once(F.array_sort(ranked)).alias("_s"))
+    rows = rows.select(*keep, F.explode(_apart(F.col("_s"))).alias("_s"))
+    similarity = -F.col("_s.lack")
+    return rows.select(*keep, F.col("_s.first").alias("paragraph"), "_s.family", "_s.probability", similarity.alias("similarity"), (similarity >= CONFIRMED).alias("confirmed"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -222,6 +223,32 @@ def test_licenses_in_many_documents(spark, notice):
         assert licenses.scan(often.filter(F.col("doc_id") % 3 == 0), model, "doc_id").filter(f"family = '{family}' and confirmed").select("doc_id").distinct().count() == want
 
 
+WRAPPED = {
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_licenses_in_wrapped_notices(spark):
+    """Notices over several lines, plain and in comments, between other lines; a line of words parts nothing."""
+    model = licenses.model(spark.read.parquet(f"{SF}/documents.parquet"))
+    own = [(f, t) for f, x in licenses.NOTICES.items() for t in x if len(t) > 72] + list(WRAPPED.items())
+    rows, want = [], {}
+    for f, t in own:
+        for mark in ("", "// ", " * ", "# "):
+            for width in (72, 40):
+                lines = [mark + x for x in textwrap.wrap(t, width, break_on_hyphens=False)]
+                want[len(rows)] = f
+                rows.append((len(rows), "\n".join(["some code here", *lines, "other code here"])))
+    got = licenses.scan(spark.createDataFrame(rows, DOCS), model, "doc_id").filter("confirmed").groupBy("doc_id").agg(F.collect_set("family").alias("f")).collect()
+    assert {k: f for k, f in want.items() if f not in {r.doc_id: r.f for r in got}.get(k, [])} == {}
+    two = "Released under the\nMIT License. Licensed under the\nApache License, Version 2.0.\n\nAll rights reserved.\nAll rights reserved."
+    got = licenses.scan(spark.createDataFrame([(1, two)], DOCS), model, "doc_id").filter("confirmed").collect()
+    assert sorted((r.paragraph, r.family) for r in got) == [(0, "mit"), (1, "apache"), (4, "proprietary"), (5, "proprietary")]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = language.op5_language(spark, "/root/testdata/sf0.1").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
