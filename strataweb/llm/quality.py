@@ -1,8 +1,9 @@
 """Host-level quality rules.
 
 Rules are judged on each document first. Their failures are counted by host; a host's rate is shrunk
-towards the corpus rate by a beta prior that fits the spread between hosts, so that a host with a few
-documents is judged mostly as the others are. A host with a shrunk rate over the limit is rejected
+towards the mean of all hosts' by a beta prior that fits the spread between hosts, each host counting
+once, and weighs at most as much as HEAVIEST documents. So a host with a few documents is judged
+mostly as the others are, and one with many by its own, however large the corpus. A host with a shrunk rate over the limit is rejected
 as a whole, and its verdict is joined back to its documents.
 """
 
@@ -23,7 +24,7 @@ SYMBOL_PERCENT, LINE_PERCENT = 60, 30
 #: A host is rejected if the shrunk share of its documents that fail a rule is above this.
 HOST_RATE = 0.5
 #: Limits of the prior's weight, in documents.
-LIGHTEST, HEAVIEST = 2.0, 1e6
+LIGHTEST, HEAVIEST = 2.0, 20.0
 RULES = ("short", "repetitive", "symbols", "lines")
 SYMBOL = np.isin(np.arange(256), [*b"#*$%&|<>"])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -64,13 +65,15 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 def host_rates(rows: DataFrame, host: str) -> DataFrame:
     """(host, n, and for each rule its shrunk rate) of rows from measured(); rows without a host aside."""
     per = c.cut(rows.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *(F.count_if(r).alias(r) for r in RULES)))
-    total = per.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *(F.sum(r).alias(r) for r in RULES), *(F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_sq") for r in RULES)).first()
+    rate = lambda r: F.col(r) / F.col("n")
+    total = per.agg(F.count("*").alias("hosts"), F.avg(1 / F.col("n")).alias("single"), *(F.avg(rate(r)).alias(r) for r in RULES), *(F.var_samp(rate(r)).alias(f"{r}_var") for r in RULES)).first()
     shrunk: dict[str, Column] = {}
     for r in RULES:
-        n = total["n"] or 1
-        mean = (total[r] or 0) / n
-        between = (total[f"{r}_sq"] or 0) / n - mean * mean - mean * (1 - mean) * total["hosts"] / n
-        weight = min(HEAVIEST, max(LIGHTEST, mean * (1 - mean) / between - 1)) if between > 1e-12 else HEAVIEST
+        mean, single = total[r] or 0.0, total["single"] or 1.0
+        # A beta-binomial rate of n documents varies by mean * (1 - mean) * (1 / n + (1 - 1 / n) * inner).
+        own = (total[f"{r}_var"] or 0.0) / (mean * (1 - mean)) if 0 < mean < 1 else 0.0
+        inner = (own - single) / (1 - single) if single < 1 else 0.0
+        weight = min(HEAVIEST, max(LIGHTEST, 1 / inner - 1)) if inner > 1e-12 else HEAVIEST
         shrunk[r] = (F.col(r) + mean * weight) / (F.col("n") + weight)
     return per.withColumns(shrunk)
 

@@ -118,6 +118,17 @@ def test_quality_rejects_hosts(spark):
     assert {r.source: r.n for r in got} == {"bad": 0} | {f"h{k}": 40 for k in range(5)}
 
 
+@pytest.mark.parametrize("size", [100, 500])
+def test_quality_host_verdict_at_any_corpus_size(spark, size):
+    """A host whose documents all fail is rejected, and clean ones aren't, as those grow a thousandfold."""
+    flags = {r: F.lit(False) for r in quality.RULES}
+    for times in (1, 1000):
+        hosts = [("third", 3_300 * times, 20), *((f"h{k}", 330 * times, 20) for k in range(20)), ("bad", size, 1)]
+        rows = spark.createDataFrame(hosts, "source string, n long, every long").select("source", "every", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+        got = quality.host_rates(rows.withColumns(flags | {"short": F.col("k") % F.col("every") == 0}), "source").filter("short > 0.5").collect()
+        assert [r.source for r in got] == ["bad"]
+
+
 def test_decontaminate_against_brute_force(spark, corpus):
     rng = random.Random(8)
     items = [(k, prose(rng, n)) for k, n in enumerate((40, 12, 3, 1))] + [(9, None), (10, ""), (11, corpus[5][1])]
