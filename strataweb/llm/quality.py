@@ -27,11 +27,13 @@ HOST_RATE = 0.5
 LIGHTEST, HEAVIEST = 2.0, 20.0
 RULES = ("short", "repetitive", "symbols", "lines")
 SYMBOL = np.isin(np.arange(256), [*b"#*$%&|<>"])
+#: For passing(), a document fails with more repeated lines than so many for 100 lines.
+REPEATED_LINE_PERCENT = 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def counts(texts: list[str | None]) -> list[np.ndarray]:
-    """COUNTS of the texts."""
+    """COUNTS of the texts, and their lines that aren't blank."""
     x = c.Words(texts)
     points = np.array([len(t or "") for t in texts], np.int64)
     summed = lambda flag: np.diff(np.append(0, np.cumsum(flag, dtype=np.int64))[np.append(x.begin, len(x.byte))])
@@ -44,22 +46,27 @@ def counts(texts: list[str | None]) -> list[np.ndarray]:
     covered = np.append(0, np.cumsum(c.spans(twice, REPEAT_WINDOW, len(x.h)), dtype=np.int64))
     lines = [[y for y in c.encoded(t).split(b"\n") if y.strip()] if t and "\n" in t else () for t in texts]
     dup = np.array([len(y) - len(set(y)) for y in lines], np.int64)
-    return [x.n, points - blank, summed(SYMBOL[x.byte]), dup, covered[x.first + x.n] - covered[x.first]]
+    n_lines = np.maximum(np.array([len(y) for y in lines], np.int64), x.n > 0)
+    return [x.n, points - blank, summed(SYMBOL[x.byte]), dup, covered[x.first + x.n] - covered[x.first], n_lines]
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k, texts in c.blocks(b.column(0).to_pylist()):
             cols = [pa.array(x, pa.int64()) for x in counts(texts)]
-            yield pa.RecordBatch.from_arrays([*(y.slice(k, len(texts)) for y in b.columns[1:]), *cols], names=[*b.schema.names[1:], *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(y.slice(k, len(texts)) for y in b.columns[1:]), *cols], names=[*b.schema.names[1:], *COUNTS, "n_lines"])
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns to keep, COUNTS of the text, base_failed and whether each of RULES failed."""
-    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep), *(f"{x} long" for x in COUNTS)])
+    """The columns to keep, COUNTS of the text, n_lines, whether each of RULES failed, base_failed and rule_failed.
+
+    rule_failed: whether any rule failed, `lines` by the number of lines too, where RULES hold it against words.
+    """
+    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep), *(f"{x} long" for x in (*COUNTS, "n_lines"))])
     rows = docs.select("text", *keep).mapInArrow(_each, schema)
     rules = {"short": F.col("n_words") < MIN_WORDS, "repetitive": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"), "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words"), "lines": 100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_words")}
-    return rows.withColumns(rules).withColumn("base_failed", F.col("short") | F.col("repetitive"))
+    rows = rows.withColumns(rules).withColumn("base_failed", F.col("short") | F.col("repetitive"))
+    return rows.withColumn("rule_failed", F.col("base_failed") | F.col("symbols") | F.col("lines") | (100 * F.col("n_dup_lines") > REPEATED_LINE_PERCENT * F.col("n_lines")))
 
 
 def host_rates(rows: DataFrame, host: str) -> DataFrame:
@@ -79,8 +86,9 @@ def host_rates(rows: DataFrame, host: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", *keep: str, host_rate: float = HOST_RATE) -> DataFrame:
-    """The columns to keep, COUNTS, base_failed, host_failed and kept, one row for each row of docs.
+    """The columns to keep, COUNTS, base_failed, rule_failed, host_failed and kept, one row for each row of docs.
 
+    kept is of base_failed and the host alone, as the query has it; passing() takes rule_failed.
     Null and empty texts have no words, so they fail. Rows without a host are judged on their own, and
     repeated rows each count. Very long texts are read whole. Columns that aren't named aren't read;
     no rows give no rows.
@@ -89,13 +97,13 @@ def judged(docs: DataFrame, host: str = "source", *keep: str, host_rate: float =
     bad = c.cut(host_rates(rows, host).filter(" or ".join(f"{r} > {host_rate!r}" for r in RULES)).select(host, F.lit(True).alias("host_failed")))
     failed = F.coalesce("host_failed", F.lit(False))
     rows = c.by_small(rows, bad, host, "left").withColumn("host_failed", failed)
-    return rows.select(*keep, *COUNTS, "base_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
+    return rows.select(*keep, *COUNTS, "base_failed", "rule_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
 def passing(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep."""
+    """The rows of docs that fail no rule, of hosts that aren't rejected."""
     packed = docs.withColumn("_row", F.struct(*docs.columns))
-    return judged(packed, host, "_row").filter("kept").select("_row.*")
+    return judged(packed, host, "_row").filter("not rule_failed and not host_failed").select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,16 @@ def test_quality_host_verdict_at_any_corpus_size(spark, size):
         assert [r.source for r in got] == ["bad"]
 
 
+def test_quality_stage_drops_what_fails_any_rule(spark):
+    """Junk of symbols and repeated lines goes, of hosts that stay."""
+    line = lambda k: " ".join(map(str, range(k, k + 20)))
+    rows = [(k, line(k) + "\n" + line(k + 50), "h") for k in range(20)]
+    rows += [(100, " ".join(f"w{k}***" for k in range(40)), "h"), (101, "\n".join([*map(line, range(0, 120, 20)), *["7 seven"] * 5]), "h"), (102, line(0) + "\n" + "\n".join("abcdefgh") + "\n" + "a", "h"), (103, "too short", "h")]
+    docs = spark.createDataFrame(rows, DOCS + ", source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()) == [*range(20), 102]
+    assert sorted(r.doc_id for r in quality.judged(docs, "source", "doc_id").filter("kept").collect()) == [*range(20), 100, 101, 102]
+
+
 def test_decontaminate_against_brute_force(spark, corpus):
     rng = random.Random(8)
     items = [(k, prose(rng, n)) for k, n in enumerate((40, 12, 3, 1))] + [(9, None), (10, ""), (11, corpus[5][1])]
