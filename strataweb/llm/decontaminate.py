@@ -41,12 +41,15 @@ class Vocabulary(dict):
 class Suffixes:
     """All suffixes of the benchmark's items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         own = [(i, x) for i, t in items if (x := words(t))]
         self.vocabulary = Vocabulary({w: k for k, w in enumerate(sorted({w for _, x in own for w in x}), 1)})
         n = np.array([len(x) for _, x in own], np.int64)
         self.h = np.array([self.vocabulary[w] for _, x in own for w in x], np.int64)
-        self.item = np.repeat(np.array([i for i, _ in own], np.int64), n)
+        #: The item_ids in order, and where among them each suffix has its own; -1 without one.
+        self.ids = sorted({i for i, _ in own if i is not None})
+        place = {i: k for k, i in enumerate(self.ids)}
+        self.item = np.repeat(np.array([place.get(i, -1) for i, _ in own], np.int64), n)
         self.pos = c.runs(n)
         self.left = np.repeat(n, n) - self.pos
         #: Words in a window of the suffix's item.
@@ -127,7 +130,8 @@ def _scanned(texts: list[str | None], tests: Suffixes) -> list[tuple]:
         out[d][1].append((a - int(first[d]), b - int(first[d])))
     pairs = np.unique(np.stack([doc[at], tests.item[t]]), axis=1)
     for d, i in pairs.T.tolist():
-        out[d][2].append(i)
+        if i >= 0:
+            out[d][2].append(tests.ids[i])
     longer = (tests.pos[t] > 0) & (at > first[doc[at]]) & (ids[np.maximum(at - 1, 0)] == tests.h[np.maximum(t - 1, 0)])
     t, at = t[~longer], at[~longer]
     length, on = tests.window[t].copy(), np.arange(len(t))
@@ -138,7 +142,7 @@ def _scanned(texts: list[str | None], tests: Suffixes) -> list[tuple]:
         on = on[ids[at[on] + k] == tests.h[t[on] + k]]
         length[on] += 1
     for d, i, p, q, k in zip(doc[at].tolist(), tests.item[t].tolist(), tests.pos[t].tolist(), (at - first[doc[at]]).tolist(), length.tolist()):
-        out[d][3].append((i, p, q, k))
+        out[d][3].append((tests.ids[i] if i >= 0 else None, p, q, k))
     return out
 
 
@@ -178,14 +182,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chars: int
     have such windows, sorted; matches: the longest verbatim matches, each with its places in words.
     A window is `window` words in a row of an item, or all of a shorter one. Null texts have no words;
     items without words match nothing, and an empty benchmark nothing at all. Items without an item_id
-    make hits and are left out of items. Rows that repeat a doc_id are each returned; other columns
+    make hits and matches, and are left out of items. Rows that repeat a doc_id are each returned; other columns
     aren't read. A benchmark of more than `chars` characters is searched for in blocks.
     """
     docs = docs.select("doc_id", "text")
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // chars)
     if n <= 1:
-        return _block(docs, benchmark, window).withColumn("items", F.filter("items", lambda x: x.isNotNull()))
+        return _block(docs, benchmark, window)
     parts = c.cut(docs.withColumn("row", F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("k"))))
     found = [c.cut(_block(parts, benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k), window)) for k in range(n)]
     every = found[0]

@@ -170,6 +170,16 @@ def test_longest_match(spark):
     assert [tuple(m) for m in decontaminate.scan(d, b).first().matches] == [(5, 0, 1, 12)]
 
 
+@pytest.mark.parametrize("chars", [10**8, 20])
+def test_decontaminate_items_without_id(spark, chars):
+    d = spark.createDataFrame([(1, "x a b c y"), (2, "d e f"), (3, "a b c d e f"), (4, "none")], DOCS)
+    b = spark.createDataFrame([(None, "a b c"), (7, "d e f"), (None, "q r s t u v w x y z"), (7, "D E F"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(d, b, chars=chars).collect()}
+    assert {k: (sum(h.end - h.start for h in r.hits), r["items"]) for k, r in got.items()} == {1: (3, []), 2: (3, [7]), 3: (6, [7]), 4: (0, [])}
+    assert {(m.item_id, m.doc_start) for m in got[3].matches} == {(None, 0), (7, 3)}
+    assert [r.doc_id for r in decontaminate.clean(d, b).collect()] == [4]
+
+
 def all_paths(v, s):
     if not s:
         return [((), 0.0)]
