@@ -7,28 +7,34 @@ from pyspark.sql import functions as F
 
 from ..rules import HOW_STYLES, PREFIX_FILL, STATE_FILL, TYPE_FILL
 
+#: Levels that are joined by a union before they are cut together.
+KNOWN_LEVELS = 20
+
 
 def nodes(edges: DataFrame, manifest: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(manifest.select("canon_key")).distinct()
 
 
-def bfs(edges: DataFrame, roots: DataFrame, most: int = 1_000) -> DataFrame:
-    """(node, depth) of what can be reached from roots (node) over edges (src, dst).
+def bfs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth) of all that can be reached from roots (node) over edges (src, dst), however far.
 
     A round joins the newest level with the edges and leaves out what is known; every level is cut
-    to the checkpoint folder, so that plans don't grow and lost executors cost no level twice.
+    to the checkpoint folder, and what is known every KNOWN_LEVELS rounds, so that plans don't grow
+    and lost executors cost no level twice.
     """
     ensure_checkpoints(edges)
     links = edges.select("src", "dst").distinct()
     known = roots.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
     level, depth = known, 0
-    while depth < most:
+    while True:
         depth += 1
         new = level.join(links, level["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         level = new.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
         known = known.union(level)
+        if depth % KNOWN_LEVELS == 0:
+            known = known.checkpoint()
     return known
 
 

@@ -274,7 +274,7 @@ d AS (SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node)"""
 
 def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "pages").select(u.host(F.col("url")).alias("src"), F.explode(links.anchors(F.col("html"))).alias("dst"))
-    return graph.bfs(edges.union(edges.select("dst", "src")), edges.agg(F.min("src").alias("node")), 12)
+    return graph.bfs(edges.union(edges.select("dst", "src")), edges.agg(F.min("src").alias("node")))
 
 
 @query(f"{BFS} SELECT node, depth FROM d")

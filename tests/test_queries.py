@@ -15,6 +15,14 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_depths_have_no_bound(spark, tmp_path):
+    """A chain of pages longer than a dozen."""
+    rows = [(f"http://h{k:02}/", f'<a href="h{k + 1:02}">x</a>') for k in range(24)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.node: r.depth for r in QUERIES["bfs_depth"](spark, str(tmp_path)).collect()}
+    assert got == {f"h{k:02}": k for k in range(25)}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
