@@ -379,11 +379,17 @@ def structured_surfaces(spark, sf_dir):
     return found.select(F.col("sha256").alias("id"), "sub", F.col("data").cast("string").alias("data"))
 
 
+PAGE_BUCKETS = ["strict", "needs_review", "ruled_out"]
+
+
 @query()
 def page_sightings(spark, sf_dir):
-    """Every surface of every page, held against a pattern of page words."""
+    """By surface, of all pages: their number and bytes, and the sightings of a pattern that page texts hold, by bucket."""
     bodies = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("sha256"), F.lit("html").alias("handler"), F.col("html").cast("binary").alias("content")).dropDuplicates(["sha256"])
-    return surfaces.expanded(bodies).groupBy("sub").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    found = surfaces.expanded(bodies)
+    own = lambda x: F.count_if(F.col("bucket") == x).alias(x)
+    hits = detect.sightings(found, Rules(prefix="p")).groupBy("sub").agg(*map(own, PAGE_BUCKETS))
+    return found.groupBy("sub").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes")).join(hits, "sub", "left").fillna(0, PAGE_BUCKETS)
 
 
 @query()

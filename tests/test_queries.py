@@ -23,6 +23,14 @@ def test_depths_have_no_bound(spark, tmp_path):
     assert got == {f"h{k:02}": k for k in range(25)}
 
 
+def test_page_sightings(spark, tmp_path):
+    """Hits of each bucket in the surfaces of pages."""
+    html = "<style>p{margin:0}</style><p>p{0123456789abcdef} p{sixteen hexadecimal digits}</p>"
+    spark.createDataFrame([("http://a/", html), ("http://b/", html), ("http://c/", "<p>none</p>")], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["sub"]: (r.n, r.strict, r.needs_review, r.ruled_out) for r in QUERIES["page_sightings"](spark, str(tmp_path)).collect()}
+    assert got["raw"] == (2, 1, 1, 1)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
