@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(names: Iterable[str], *taken: str) -> list[str]:
+    """The names, each once, without those that are taken in any case, as Spark would take them for the same."""
+    seen, out = {x.lower() for x in taken}, []
+    for x in names:
+        if x.lower() not in seen:
+            seen.add(x.lower())
+            out.append(x)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a local one only where none is set and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,11 +1,13 @@
 """Substring dedup by repeated-phrase automata.
 
-Every window of `window` words holds a phrase of PHRASE words whose hash is the least in it, the same
-phrase wherever that window occurs. Phrases that are least somewhere and occur twice in the corpus
-are candidates. They go to the shards of documents that hold them; a shard compiles them into
-an Aho-Corasick automaton and streams its documents through it. Windows around a located phrase are
-then held against each other: first within the shard, then, for each shard's first ones, by
-hash across shards. Equal texts share a shard, except that a text with very many copies is dealt out.
+Every window of `window` words holds a phrase of `phrase` words whose hash is the least in it, the same
+phrase wherever that window occurs. Phrases that are least somewhere and whose hash comes twice in the
+corpus are candidates; each shard of documents that holds one spells it out, and those whose words come
+twice are confirmed. Confirmed phrases go, as words, to the shards that hold them. A shard compiles them
+into an Aho-Corasick automaton and streams its documents through it, which locates every occurrence; only
+windows whose least phrase begins at a located place are looked at further. They are held against each
+other: first within the shard, then, for each shard's first ones, by hash across shards. Equal texts share
+a shard, except that a text with very many copies is dealt out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from . import _common as c
 WINDOW, PHRASE = 20, 6
 #: Characters of text in a shard, about; copies of one text that share a shard, about.
 SHARD_CHARS, COPIES = 4_000_000, 64
+#: Shards whose rows of one phrase or window may meet in a task.
+KEY_SHARDS = 1 << 16
+FOUND = ("n_words", "n_removed", "kept")
 
 
 class Block(c.Words):
@@ -58,41 +63,73 @@ def _phrases(window: int, phrase: int):
     return each
 
 
-def automaton(symbols: np.ndarray, starts: np.ndarray, phrase: int) -> ahocorasick.Automaton:
-    """Finds the phrases that begin at starts of the symbols."""
-    found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, s in enumerate(starts.tolist()):
-        found.add_word(tuple(symbols[s : s + phrase].tolist()), k)
-    found.make_automaton()
-    return found
+def _spelled(window: int, phrase: int):
+    """A shard's documents and the hashes of phrases that recur, to (phrase, words, shard, again): the phrases it has of them, by their words."""
+
+    def each(docs: pa.Table, recurring: pa.Table) -> pa.Table:
+        wanted = np.unique(recurring.column("phrase").to_numpy()).view(np.uint64)
+        found: dict[tuple[int, bytes], bool] = {}
+        for _, texts in c.blocks(_texts(docs)[1]) if len(wanted) else ():
+            x = Block(texts, window, phrase)
+            at = x.least[np.isin(x.grams[x.least], wanted)]
+            split = [c.encoded(t).split() if t else [] for t in texts]
+            for h, d, k in zip(x.grams[at].view(np.int64).tolist(), x.doc[at].tolist(), x.pos[at].tolist()):
+                key = h, b" ".join(split[d][k : k + phrase])
+                found[key] = key in found
+        shard = pa.repeat(docs.column("shard")[0], len(found)) if docs.num_rows else pa.array([], pa.int32())
+        return pa.table({"phrase": pa.array([h for h, _ in found], pa.int64()), "words": pa.array([w for _, w in found], pa.binary()), "shard": shard, "again": pa.array(found.values(), pa.bool_())})
+
+    return each
+
+
+class Phrases:
+    """An automaton of phrases, each given by its words with a space between; symbols are words, 0 one that no phrase has."""
+
+    def __init__(self, spelled: list[bytes]):
+        split = [x.split() for x in spelled]
+        self.symbols = {w: k for k, w in enumerate(sorted({w for x in split for w in x}), 1)}
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for x in split:
+            self.machine.add_word(tuple(map(self.symbols.__getitem__, x)))
+        self.machine.make_automaton()
+
+    def located(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Text and first word of each place where one of the phrases is, by text."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(n + 1) - n - 1
+        look, stream = self.symbols.get, []
+        for words in texts:
+            stream += [look(w, 0) for w in words]
+            stream.append(0)
+        found = [end - size + 1 for end, size in self.machine.iter(tuple(stream))] if self.symbols else []
+        at = np.unique(np.array(found, np.int64))
+        doc = np.searchsorted(first, at, "right") - 1
+        return doc, at - first[doc]
 
 
 def _windows(window: int, phrase: int):
-    """A shard's documents and the recurring phrases it has, to windows that may be repeats.
+    """A shard's documents and the phrases confirmed that it has, by their words, to windows that may be repeats.
 
     Those that are the shard's first ones have 96 bits of hash (h, more) and a count of 0; runs of
     those that aren't have a count, and a place for a hash.
     """
 
-    def each(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-        wanted = np.unique(recurring.column("phrase").to_numpy()).view(np.uint64)
+    def each(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+        phrases = Phrases(confirmed.column("words").unique().to_pylist())
         ids_of, texts = _texts(docs)
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
-        for k, part in c.blocks(texts):
-            x = Block(part, window, phrase)
-            some, index = np.unique(x.grams[x.least], return_index=True)
-            known = x.least[index[np.isin(some, wanted, assume_unique=True)]]
-            if not len(known):
+        for k, part in c.blocks(texts) if phrases.symbols else ():
+            split = [words if len(words := c.encoded(t).split()) >= window else [] for t in (x or "" for x in part)]
+            doc, pos = phrases.located(split)
+            if not len(doc):
                 continue
-            symbols = x.h >> np.uint64(32)
-            machine, hit = automaton(symbols, known, phrase), np.zeros(len(x.h), bool)
-            for a, n in zip(x.first.tolist(), x.n.tolist()):
-                if n >= window:
-                    ends = [end for end, _ in machine.iter(tuple(symbols[a : a + n].tolist()))]
-                    hit[np.array(ends, np.int64) + (a - phrase + 1)] = True
+            some, place = np.unique(doc, return_inverse=True)
+            x = Block([part[d] for d in some.tolist()], window, phrase)
+            hit = np.zeros(len(x.h), bool)
+            hit[x.first[place] + pos] = True
             starts = x.starts[hit[x.at]]
             more = c.mix(c.ngrams(x.h[::-1], window)[::-1][starts]) >> np.uint64(32)
-            out.append((k + x.doc[starts], c.ngrams(x.h, window)[starts], more.astype(np.uint32).view(np.int32), x.pos[starts].astype(np.int32)))
+            out.append((k + some[x.doc[starts]], c.ngrams(x.h, window)[starts], more.astype(np.uint32).view(np.int32), x.pos[starts].astype(np.int32)))
         doc, h, more, pos = (np.concatenate(v) for v in zip(*out))
         order = np.lexsort((more, h))  # stable: documents by id, then places
         first = np.zeros(len(h), bool)
@@ -131,41 +168,80 @@ def _kept(window: int, names: list[str]):
                 kept = [w for w, gone in zip(words, (np.cumsum(edge) > 0).tolist()) if not gone]
             rows.append((len(words), len(words) - len(kept), b" ".join(kept)))
         cols = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 3, (pa.int64(), pa.int64(), pa.binary()))]
-        return pa.table([*(docs.column(x) for x in names), *cols], names=[*names, "n_words", "n_removed", "kept"])
+        return pa.table([*(docs.column(x) for x in names), *cols], names=[*names, *FOUND])
 
     return each
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, keep_text: bool = False) -> DataFrame:
+def _recurring(rows: DataFrame, salts: int, *keys: str) -> DataFrame:
+    """The rows (..., shard, again; each shard has a key once) whose key another row has too, or that have it again.
+
+    A key's rows are counted by salts of their shards first; only one row of each salt is then held
+    against those of the other salts.
+    """
+    if salts == 1:
+        return rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n > 1 or again").drop("n")
+    own = Window.partitionBy(*keys, F.pmod("shard", F.lit(salts)))
+    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy("shard")))
+    across = F.count("*").over(Window.partitionBy(*keys, F.when(F.col("k") > 1, F.col("shard"))))
+    return rows.withColumn("m", across).filter("n > 1 or m > 1 or again").drop("n", "k", "m")
+
+
+def _late(rows: DataFrame, salts: int) -> DataFrame:
+    """The rows (h, more, doc_id, n, shard) that are runs, or whose window a smaller doc_id has; by salts as _recurring() does."""
+    keys = ["h", "more"]
+    if salts == 1:
+        return rows.withColumn("e", F.min("doc_id").over(Window.partitionBy(*keys))).filter("n > 0 or doc_id > e").drop("e")
+    rows = rows.withColumn("e", F.min("doc_id").over(Window.partitionBy(*keys, F.pmod("shard", F.lit(salts)))))
+    across = F.min("doc_id").over(Window.partitionBy(*keys, F.when(F.col("doc_id") > F.col("e"), F.col("doc_id"))))
+    return rows.withColumn("f", across).filter("n > 0 or doc_id > e or doc_id > f").drop("e", "f")
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_chars: int = SHARD_CHARS, keep_text: bool = False, key_shards: int = KEY_SHARDS) -> DataFrame:
     """docs and n_words, n_removed (long), kept (binary: the words that stay, joined by a space).
 
     Words are split at ASCII white space. Those covered by a window of `window` words that also starts
     earlier (in a smaller doc_id, or earlier in the document) go; windows are judged on the input. A
     null text has no words, and shorter texts keep theirs. Rows without a doc_id keep their words and
     don't count as earlier ones; a doc_id is to be unique, repeated rows of one are held against each
-    other in no set order. Other columns are kept as they are, whatever their names, text only
-    if keep_text says so; no rows give no rows.
+    other in no set order. Other columns are kept as they are, text only if keep_text says so; those
+    that are called as one of the three new ones, in any case, give way to them. No rows give no rows.
 
-    The documents are dealt to shards once; the three steps read the same exchange.
+    The documents are dealt to shards once; the four steps read the same exchange. A shard has at most one
+    row for a phrase or window, so a task meets at most key_shards of one: with more shards they are
+    counted by salts.
     """
-    others = [x for x in docs.columns if x not in ("doc_id", "text")]
+    others = c.apart(docs.columns, "doc_id", "text", *FOUND)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.xxhash64("text").alias("same"))
     hot = c.cut(rows.groupBy("same").count().filter(F.col("count") > COPIES).select("same", F.ceil(F.col("count") / COPIES).alias("parts")))
     shards = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars))
+    salts = -(-shards // key_shards)
     dealt = F.pmod(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))), F.lit(shards)).cast("int")
     rows = c.by_small(rows, hot, "same", "left").select("doc_id", "text", "others", dealt.alias("shard"))
+    by_shard = lambda found: rows.groupBy("shard").cogroup(found.groupBy("shard"))
     phrases = rows.groupBy("shard").applyInArrow(_phrases(window, phrase), "phrase long, shard int, again boolean")
-    own = Window.partitionBy("phrase")
-    recurring = phrases.withColumn("n", F.count("*").over(own)).filter("n > 1 or again").select("phrase", "shard")
-    schema = "h long, more int, doc_id long, start int, n int, shard int"
-    found = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_windows(window, phrase), schema)
+    candidates = _recurring(phrases, salts, "phrase").select("phrase", "shard")
+    spelled = by_shard(candidates).applyInArrow(_spelled(window, phrase), "phrase long, words binary, shard int, again boolean")
+    confirmed = _recurring(spelled, salts, "phrase", "words").select("words", "shard")
+    found = by_shard(confirmed).applyInArrow(_windows(window, phrase), "h long, more int, doc_id long, start int, n int, shard int")
     # A shard's documents are in it alone, so that a document has at most one row for a hash.
-    earliest = F.min("doc_id").over(Window.partitionBy("h", "more"))
-    repeats = found.withColumn("earliest", earliest).filter("n > 0 or doc_id > earliest").select("doc_id", "start", F.greatest("n", F.lit(1)).alias("n"), "shard")
+    repeats = _late(found, salts).select("doc_id", "start", F.greatest("n", F.lit(1)).alias("n"), "shard")
     names = ["others", "doc_id", *["text"] * keep_text]
     schema = rows.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(b"").alias("kept")).schema
-    kept = rows.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_kept(window, names), schema)
-    return kept.select(*names[1:], *(F.col("others")[x].alias(x) for x in others), "n_words", "n_removed", "kept")
+    kept = by_shard(repeats).applyInArrow(_kept(window, names), schema)
+    return kept.select(*names[1:], *(F.col("others")[x].alias(x) for x in others), *FOUND)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the words of repeated passages in text; where any went n_chars, if there is one, is the new length.
+
+    A document that has no words left goes, one that loses none stays as it is; a null or empty text stays.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    found = drop_repeats(packed).filter("n_removed = 0 or n_removed < n_words")
+    kept = F.col("kept").cast("string")
+    anew = {"text": kept, "n_chars": F.length(kept)}
+    return found.select(*(F.when(F.col("n_removed") > 0, anew[x].cast(docs.schema[x].dataType)).otherwise(F.col("_row")[x]).alias(x) if x in anew else F.col("_row")[x].alias(x) for x in docs.columns))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -98,13 +99,40 @@ def slow_substrings(rows, n=20):
     return {i: (len(w := (t or "").encode().split()), len(gone[i]), b" ".join(x for k, x in enumerate(w) if k not in gone[i])) for i, t in rows}
 
 
-@pytest.mark.parametrize("chars", [4_000_000, 3_000])
-def test_substrings_against_brute_force(spark, corpus, chars):
+@pytest.mark.parametrize("chars,key_shards", [(4_000_000, 1 << 16), (3_000, 1 << 16), (3_000, 4), (500, 1)])
+def test_substrings_against_brute_force(spark, corpus, chars, key_shards):
     rows = corpus + [(1000 + i, t) for i, t in ODD if i]
-    got = substrings.drop_repeats(spark.createDataFrame(rows, DOCS).withColumn("kept_", F.lit(1)), shard_chars=chars)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"kept_": F.lit(1), "N_WORDS": F.lit(2), "kept": F.lit("x"), "others": F.lit(3), "shard": F.lit(4)})
+    got = substrings.drop_repeats(docs, shard_chars=chars, key_shards=key_shards)
+    assert got.columns == ["doc_id", "kept_", "others", "shard", "n_words", "n_removed", "kept"]
     assert {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in got.collect()} == slow_substrings(rows)
 
 
+def test_substrings_salts_keep_hot_keys_apart(spark):
+    """With salts no window of the plan's is over a phrase alone."""
+    rows = spark.createDataFrame([(7, k, False) for k in range(100)] + [(8, 1, True), (9, 1, False)], "phrase long, shard int, again boolean")
+    got = substrings._recurring(rows, 10, "phrase")
+    assert sorted((r.phrase, r.shard) for r in got.collect()) == [*((7, k) for k in range(100)), (8, 1)]
+    assert "CASE WHEN (k" in got._jdf.queryExecution().toString()
+
+
+def test_substrings_are_located_by_the_automaton(corpus, monkeypatch):
+    """Places come from the automaton of confirmed phrases: without it, or without a phrase, no window is found."""
+    texts = [t for _, t in corpus]
+    docs = pa.table({"doc_id": pa.array([i for i, _ in corpus], pa.int64()), "text": texts, "shard": pa.array([0] * len(texts), pa.int32())})
+    grams = substrings._phrases(20, 6)(docs)
+    spelled = substrings._spelled(20, 6)(docs, grams.filter(grams.column("again")))
+    words = sorted(set(spelled.column("words").to_pylist()))
+    found = substrings._windows(20, 6)(docs, spelled.select(["words", "shard"]))
+    doc, pos = substrings.Phrases(words).located([t.encode().split() for t in texts])
+    want = [(d, k) for d, t in enumerate(texts) for w in [t.encode().split()] for k in range(len(w) - 5) if b" ".join(w[k : k + 6]) in set(words)]
+    assert list(zip(doc.tolist(), pos.tolist())) == want and found.num_rows > 0
+    fewer = substrings._windows(20, 6)(docs, spelled.slice(0, 5).select(["words", "shard"]))
+    assert 0 < fewer.num_rows < found.num_rows
+    monkeypatch.setattr(substrings.Phrases, "located", lambda self, texts: (np.zeros(0, np.int64),) * 2)
+    assert substrings._windows(20, 6)(docs, spelled.select(["words", "shard"])).num_rows == 0
+
+
 def test_quality(spark):
     rows = [(i, t, "h") for i, t in ODD] + [(20, "w " * 5 + " ".join(map(str, range(30))), None)] + [(30 + k, " ".join(map(str, range(k, k + 30))), "good") for k in range(9)]
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, DOCS + ", source string"), "source", "doc_id").collect()}
