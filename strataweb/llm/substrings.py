@@ -25,6 +25,8 @@ WINDOW, PHRASE = 20, 6
 SHARD_CHARS, COPIES = 4_000_000, 64
 #: Shards whose rows of one phrase or window may meet in a task.
 KEY_SHARDS = 1 << 16
+#: Characters that stand for one place of a word in an automaton.
+BASE = 48
 FOUND = ("n_words", "n_removed", "kept")
 
 
@@ -83,26 +85,41 @@ def _spelled(window: int, phrase: int):
 
 
 class Phrases:
-    """An automaton of phrases, each given by its words with a space between; symbols are words, 0 one that no phrase has."""
+    """An automaton of phrases, each given by its words with a space between.
+
+    A word is spelled as a few characters, each of a range of its own by its place, so that matches
+    begin with words; a state looks through all it leads on to, of which there are at most BASE. Words that no
+    phrase has are one word that is in none.
+    """
 
     def __init__(self, spelled: list[bytes]):
         split = [x.split() for x in spelled]
         self.symbols = {w: k for k, w in enumerate(sorted({w for x in split for w in x}), 1)}
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.digits = 1
+        while BASE**self.digits <= len(self.symbols):
+            self.digits += 1
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        every, at = self._text(split), 0
         for x in split:
-            self.machine.add_word(tuple(map(self.symbols.__getitem__, x)))
+            self.machine.add_word(every[at : (at := at + len(x) * self.digits)])
         self.machine.make_automaton()
 
+    def _text(self, texts: list[list[bytes]], end: list[int] = []) -> str:
+        """The words of the texts as characters; after each text those of the symbols of end."""
+        look, ids = self.symbols.get, []
+        for words in texts:
+            ids += [look(w, 0) for w in words]
+            ids += end
+        place = np.arange(self.digits - 1, -1, -1)
+        chars = np.array(ids, np.int64)[:, None] // BASE**place % BASE + place * BASE
+        return chars.astype("<u4").tobytes().decode("utf-32-le")
+
     def located(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Text and first word of each place where one of the phrases is, by text."""
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(n + 1) - n - 1
-        look, stream = self.symbols.get, []
-        for words in texts:
-            stream += [look(w, 0) for w in words]
-            stream.append(0)
-        found = [end - size + 1 for end, size in self.machine.iter(tuple(stream))] if self.symbols else []
-        at = np.unique(np.array(found, np.int64))
+        found = [end - size for end, size in self.machine.iter(self._text(texts, [0]))] if self.symbols else []
+        at = np.unique((np.array(found, np.int64) + 1) // self.digits)
         doc = np.searchsorted(first, at, "right") - 1
         return doc, at - first[doc]
 
