@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +39,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Hadoop knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
-    """At most n rows, those with the least hash of the key; about as many more meet in one task, at any size of rows."""
-    part = min(1.0, 2.0 * (n + 50) / max(1, rows.count()))
-    h = F.xxhash64(*key)
-    return rows.filter(F.pmod(h, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(h, *key).limit(n)
+def sample(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """At most n distinct rows, those with the least hash; with `by`, of each value of that column, nulls aside.
+
+    Distinct rows are counted about, and those with a hash below what should let twice n through are gathered;
+    were they fewer, the bound would be raised until there are n or none is left out. So about 2 n rows
+    meet in one task at any number of rows, and repeated rows count once.
+    """
+    h = F.xxhash64(*rows.columns)
+    known = F.approx_count_distinct(h).alias("_size")
+    if by:
+        rows = rows.filter(F.col(by).isNotNull())
+        size = cut(rows.groupBy(by).agg(known))
+    else:
+        total = rows.agg(known).first()[0]
+    times = 2.0
+    while True:
+        part = F.least(F.lit(1.0), times * (n + 50) / F.greatest(F.col("_size") if by else F.lit(total), F.lit(1)))
+        upto = size.select(by, part.alias("_part")) if by else None
+        some = by_small(rows, upto, by, "inner") if by else rows.withColumn("_part", part)
+        some = some.filter(F.pmod(h, F.lit(1 << 52)) <= F.col("_part") * float(1 << 52)).select(*rows.columns).distinct()
+        if by:
+            found = cut(some.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(h, *rows.columns))).filter(F.col("_n") <= n).drop("_n"))
+            got = found.groupBy(by).agg(F.count("*").alias("_got"))
+            few = not upto.filter("_part < 1").join(got, by, "left").filter(f"coalesce(_got, 0) < {n}").isEmpty()
+        else:
+            found = cut(some.orderBy(h, *rows.columns).limit(n))
+            few = times * (n + 50) < total and found.count() < n
+        if not few:
+            return found
+        times *= 4
 
 
 def by_small(df: DataFrame, small: DataFrame, on, how: str, rows: int = 100_000) -> DataFrame:
@@ -60,6 +92,28 @@ def by_small(df: DataFrame, small: DataFrame, on, how: str, rows: int = 100_000)
     return df.join(F.broadcast(small) if fits else small, on, how)
 
 
+#: Rows of one key that may meet in a task of a join.
+HOT = 100_000
+
+
+def join_unique(df: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a side that has each key once, and in column n how many rows of df have it.
+
+    Rows of keys that more than HOT rows have aren't shuffled by the key: these keys are at most a HOT-th of all rows,
+    and are broadcast if they have been counted to be few.
+    """
+    rest, hot = side.drop(n), cut(side.filter(F.col(n) > HOT).drop(n))
+    if hot.isEmpty():
+        return df.join(rest, key)
+    cold = by_small(df, hot.select(key), key, "left_anti").join(side.filter(F.col(n) <= HOT).drop(n), key)
+    return by_small(df, hot, key, "inner").unionByName(cold)
+
+
+def extended(docs: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
+    """The schema of the columns to keep of docs and those of a DDL string."""
+    return T.StructType([*(docs.schema[x] for x in keep), *T.StructType.fromDDL(more).fields])
+
+
 def encoded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 

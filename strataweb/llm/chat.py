@@ -1,8 +1,8 @@
 """Chat formatting of conversations that were logged again after every turn.
 
 A turn's prefix hash is the exclusive or of the hashes of the turns so far, each with its place, so
-that it rolls along a window. A conversation that is a prefix of a longer one, or equals one of a
-smaller id, is told by its last hash and goes; the others are rendered.
+that it rolls along a window. Of conversations with equal last hashes the smallest id stays, and an
+anti-join leaves out those whose last hash is a prefix hash of a longer one; the others are rendered.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ def maximal(turns: DataFrame) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turns = turns.select("conv_id", "place", "size", F.bit_xor(F.xxhash64(*what)).over(so_far).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), *what[::-1])).over(so_far).alias("b"))
     whole = F.col("place") == F.col("size")
-    prefixes = turns.groupBy("place", "a", "b").agg(F.min(F.when(whole, F.col("conv_id"))).alias("conv_id"), F.bool_or(~whole).alias("longer"))
-    return prefixes.filter("conv_id is not null and not longer").select("conv_id")
+    # Both sides of the anti-join have each key once, counted together before they are shuffled: no key is hot.
+    ends = turns.filter(whole).groupBy("place", "a", "b").agg(F.min("conv_id").alias("conv_id"))
+    longer = turns.filter(~whole).select("place", "a", "b").distinct()
+    return ends.join(longer, ["place", "a", "b"], "left_anti").select("conv_id")
 
 
 def rendered(turns: DataFrame) -> DataFrame:

@@ -171,8 +171,7 @@ def _block(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").filter("text is not null").toLocalIterator()]
     tests = docs.sparkSession.sparkContext.broadcast(Suffixes(rows, window))
     extra = [x for x in docs.columns if x != "text"]
-    schema = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in extra)
-    return docs.select("text", *extra).mapInArrow(_each(tests, _FOUND), f"{schema}, {FOUND}")
+    return docs.select("text", *extra).mapInArrow(_each(tests, _FOUND), c.extended(docs, extra, FOUND))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chars: int = BENCHMARK_CHARS) -> DataFrame:
@@ -208,9 +207,8 @@ def _joined(hits: str):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark; rows without a doc_id are judged alike."""
-    mark = docs.withColumn("_row", F.struct(*docs.columns))
-    found = scan(mark.select(F.col("_row").alias("doc_id"), "text"), benchmark, window)
+    """The rows of docs, all columns, that hold no window of the benchmark; rows without a doc_id are judged alike, null and empty texts hold none."""
+    found = scan(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), benchmark, window)
     return found.filter(F.size("hits") == 0).select("doc_id.*")
 
 

@@ -12,9 +12,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import _common as c
 
@@ -24,6 +24,7 @@ SAMPLE = 2000
 #: A lead in loss below this, as a probability of the best, is ambiguous.
 AMBIGUOUS = 0.8
 NONE = "und"
+PREDICTED = ("lang_pred", "score", "ambiguous")
 BLOCK = 400_000
 
 
@@ -77,19 +78,31 @@ def logits(texts: list[str | None], w: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, n
 
 
-def fitted(rows: list[tuple[str, str]]) -> dict:
-    """languages, codewords (code), log odds (w), each bit's scale and shift (a, b) and trust, from (text, language)."""
-    names = sorted({x for _, x in rows})
-    code, y = codewords(len(names)), np.array([names.index(x) for _, x in rows])
-    total = np.zeros((len(names), 1 << BITS))
+def odds(rows: list[tuple[str, int]], code: np.ndarray) -> np.ndarray:
+    """Log odds of each n-gram's coordinate for each bit, from (text, number of its language)."""
+    y, total = np.array([k for _, k in rows]), np.zeros((len(code), 1 << BITS))
     for k, some in c.blocks([t for t, _ in rows], BLOCK):
         doc, at, _ = grams(some)
         share = 1.0 / np.maximum(1, np.bincount(doc, minlength=len(some)))
         np.add.at(total, (y[k + doc], at), share[doc])
     p = total / np.maximum(1e-9, total.sum(1, keepdims=True)) + 1e-5
     one, other = (np.stack([p[code[:, j] == v].mean(0) if (code[:, j] == v).any() else p.mean(0) for j in range(code.shape[1])], 1) for v in (1, -1))
-    w = np.log(one) - np.log(other)
-    f, bits = logits([t for t, _ in rows], w)[0], (code[y] + 1) / 2
+    return np.log(one) - np.log(other)
+
+
+def fitted(rows: list[tuple[str, str]]) -> dict:
+    """languages, codewords (code), log odds (w), each bit's scale and shift (a, b) and trust, from (text, language).
+
+    Scales, shifts and trust are measured on the rows of every fifth hash, which log odds aren't taken from; a
+    language without other rows keeps them, and without any row to measure on all are measured on.
+    """
+    names = sorted({x for _, x in rows})
+    code, place = codewords(len(names)), {x: k for k, x in enumerate(names)}
+    own = [(t, place[x], xxhash.xxh64_intdigest(c.encoded(t), 1) % 5 == 0) for t, x in rows]
+    bare = set(place.values()) - {k for _, k, held in own if not held}
+    w = odds([(t, k) for t, k, held in own if not held or k in bare], code)
+    held = [(t, k) for t, k, out in own if out and k not in bare] or [(t, k) for t, k, _ in own]
+    f, bits = logits([t for t, _ in held], w)[0], (code[np.array([k for _, k in held])] + 1) / 2
     a, b = np.ones(code.shape[1]), np.zeros(code.shape[1])
     for _ in range(25):  # Newton's method, with a penalty that keeps separable bits finite
         q = 1 / (1 + np.exp(-np.clip(a * f + b, -35, 35)))
@@ -98,7 +111,8 @@ def fitted(rows: list[tuple[str, str]]) -> dict:
         ga, gb = (g * f).sum(0) + 0.05 * (a - 1), g.sum(0) + 0.05 * b
         det = h[0] * h[2] - h[1] * h[1]
         a, b = a - np.clip((h[2] * ga - h[1] * gb) / det, -5, 5), b - np.clip((h[0] * gb - h[1] * ga) / det, -5, 5)
-    right = ((a * f + b > 0) == (bits > 0.5)).mean(0)
+    # Bits without a mistake on so few rows aren't sure: one mistake more, and one row, is counted.
+    right = (((a * f + b > 0) == (bits > 0.5)).sum(0) + 0.5) / (len(held) + 1)
     return {"languages": names, "code": code, "w": w.astype(np.float32), "a": a, "b": b, "trust": np.clip(2 * right - 1, 0.05, 1)}
 
 
@@ -119,22 +133,17 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def model(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """fitted() on a sample of labelled (text, lang), of as many rows of each language as there are; None without rows.
+    """fitted() on a sample of labelled (text, lang), of as many distinct texts of each language as there are; None without rows.
 
-    The driver gets a row for each language, and the model.
+    Repeated rows count once; a text with several languages is one of each. The driver gets the model.
     """
     import pickle
 
-    labelled = labelled.filter("text is not null and lang is not null")
-    n = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    labelled = labelled.filter("text is not null").select("lang", "text")
+    n = labelled.agg(F.count_distinct("lang")).first()[0]
     if not n:
         return None
-    quota, part = max(1, sample // len(n)), F.lit(0.0)
-    for name, count in n.items():
-        part = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * (quota + 20) / count))).otherwise(part)
-    key = F.xxhash64("text")
-    some = labelled.select("text", "lang", key.alias("key")).filter(F.pmod("key", F.lit(1 << 30)) < part * (1 << 30)).distinct()
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter(F.col("n") <= quota)
+    some = c.sample(labelled, max(1, sample // n), "lang")
     return pickle.loads(some.select("text", "lang").coalesce(1).mapInArrow(_fit, "model binary").first()[0])
 
 
@@ -142,8 +151,11 @@ def predicted(docs: DataFrame, found: dict | None, *keep: str) -> DataFrame:
     """The columns to keep, lang_pred, score (0 to 1) and ambiguous, a row for each row of docs, over its whole text.
 
     Texts that are null or have no letter, and all texts if there is no model, are NONE with a score of 0.
-    Columns that aren't named aren't read.
+    Of codewords that are equally near, that of the language first in order is taken. Repeated rows are each
+    predicted, alike; long texts are read whole; no rows give no rows. Columns that aren't named aren't read,
+    and one to keep that is called as a new one gives way to it.
     """
+    keep = c.apart(keep, *PREDICTED)
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +168,9 @@ def predicted(docs: DataFrame, found: dict | None, *keep: str) -> DataFrame:
                 best, p = decoded(f, m)
             names = [m["languages"][k] if x else NONE for k, x in zip(best.tolist(), n.tolist())]
             p = np.where(n > 0, p, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(p), pa.array(p < AMBIGUOUS)], names=[*b.schema.names[1:], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(p), pa.array(p < AMBIGUOUS)], names=[*b.schema.names[1:], *PREDICTED])
 
-    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep), "lang_pred string, score double, ambiguous boolean"])
+    schema = c.extended(docs, keep, "lang_pred string, score double, ambiguous boolean")
     return docs.select("text", *keep).mapInArrow(each, schema)
 
 

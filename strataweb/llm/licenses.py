@@ -3,7 +3,7 @@
 A sparse logistic regression over words and word pairs gives each paragraph a probability for each
 licence family and for none (`unknown`). It is fitted on the driver, on notices of the families with
 words dropped and added and on a bounded sample of the corpus's paragraphs. Its temperature is set on
-rows left out of the fit. A predicted family is confirmed if the paragraph has most word pairs of
+rows left out of the fit, other variants of the same notices. A predicted family is confirmed if the paragraph has most word pairs of
 one of its notices. As no family outweighs unknown without a feature in its favour, paragraphs that
 have none of the words that such features need are passed over without loss.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Documents whose paragraphs the fit takes as ones without a licence, and paragraphs of them, at most.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 500, 1500
+#: Texts whose paragraphs the fit takes as ones without a licence, paragraphs of them, and words of one, at most.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 500, 1500, 400
 VARIANTS, STEPS, RATE, L1, SEED = 40, 150, 2.0, 2e-4, 42
 #: Shares of a notice's words and pairs that confirm a prediction; least probability of one.
 CONFIRMED, LEAST = 0.6, 0.5
@@ -95,6 +95,7 @@ def fitted(paragraphs: list[list[str]]) -> dict:
         w -= rate * (x[:last].T @ g)
         b -= rate * g.sum(0)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
+    b[:-1] = np.minimum(b[:-1], b[-1] - 0.01)
     z = x[last:] @ w + b
 
     def cost(heat: float) -> float:
@@ -103,7 +104,6 @@ def fitted(paragraphs: list[list[str]]) -> dict:
 
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=cost)
     w, b = w / heat, b / heat
-    b[:-1] = np.minimum(b[:-1], b[-1] - 0.01)
     common = Counter(pool)
     helpful = [v for v, k in vocabulary.items() if (w[k, :-1] > w[k, -1]).any()]
     return {
@@ -118,10 +118,13 @@ def tokens(text: Column) -> Column:
 
 
 def model(docs: DataFrame) -> dict:
-    """fitted() on paragraphs of at most SAMPLE_DOCS documents, chosen by a hash of their ids and texts."""
-    some = c.sample(docs.select("doc_id", "text").filter("text is not null"), SAMPLE_DOCS, "doc_id", "text")
-    some = some.select(F.explode(F.split("text", "\n")).alias("p")).filter(F.length("p") < 2000).limit(SAMPLE_PARAGRAPHS)
-    return fitted([r[0] for r in some.select(tokens(F.col("p"))).collect()])
+    """fitted() on at most SAMPLE_PARAGRAPHS distinct paragraphs of at most SAMPLE_DOCS distinct texts, chosen by hashes.
+
+    Of a paragraph at most SAMPLE_WORDS words are taken. No texts give a model of the notices alone.
+    """
+    some = c.sample(docs.select("text").filter("text is not null"), SAMPLE_DOCS).select(F.explode(F.split("text", "\n")).alias("p")).distinct()
+    some = some.orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS)
+    return fitted([r[0] for r in some.select(F.slice(tokens(F.col("p")), 1, SAMPLE_WORDS)).collect()])
 
 
 #: Of stretches of lines with the same family, the nearest to a notice comes first, then the one of fewest lines.
@@ -156,9 +159,11 @@ def scan(docs: DataFrame, found: dict, *keep: str) -> DataFrame:
 
     A paragraph is a line, or lines in a row that are nearer to a notice together than any of them is alone, as those of
     a wrapped notice are; lines without words, comment marks alone among them, part paragraphs. Lines may be part of
-    paragraphs of several families. Null and empty texts have none with a licence; repeated rows are each scanned, and
-    long texts are scanned whole. Other columns aren't read.
+    paragraphs of several families; of families that are equally likely the first in order is taken. Null and empty
+    texts have none with a licence; repeated rows are each scanned, and long texts are scanned whole; no rows give no
+    rows. Other columns aren't read, and one to keep that is called as a new one, `_t` or `_s` gives way.
     """
+    keep = c.apart(keep, "paragraph", "family", "probability", "similarity", "confirmed", "_t", "_s")
     gate = F.array(*map(F.lit, found["gate"]))
     # An explode of one value: what follows reads the value, and no filter moves below it and computes it again.
     once = lambda x: F.explode(F.array(x))

@@ -29,6 +29,7 @@ RULES = ("short", "repetitive", "symbols", "lines")
 SYMBOL = np.isin(np.arange(256), [*b"#*$%&|<>"])
 #: For passing(), a document fails with more repeated lines than so many for 100 lines.
 REPEATED_LINE_PERCENT = 30
+VERDICTS = ("n_lines", "base_failed", "rule_failed", "host_failed", "kept")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,7 +63,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 
     rule_failed: whether any rule failed, `lines` by the number of lines too, where RULES hold it against words.
     """
-    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep), *(f"{x} long" for x in (*COUNTS, "n_lines"))])
+    schema = c.extended(docs, keep, ", ".join(f"{x} long" for x in (*COUNTS, "n_lines")))
     rows = docs.select("text", *keep).mapInArrow(_each, schema)
     rules = {"short": F.col("n_words") < MIN_WORDS, "repetitive": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"), "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words"), "lines": 100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_words")}
     rows = rows.withColumns(rules).withColumn("base_failed", F.col("short") | F.col("repetitive"))
@@ -85,25 +86,34 @@ def host_rates(rows: DataFrame, host: str) -> DataFrame:
     return per.withColumns(shrunk)
 
 
+def rejected(rows: DataFrame, host: str, host_rate: float = HOST_RATE) -> DataFrame:
+    """(host, host_failed) of the hosts of measured() rows that are rejected."""
+    return c.cut(host_rates(rows, host).filter(" or ".join(f"{r} > {host_rate!r}" for r in RULES)).select(host, F.lit(True).alias("host_failed")))
+
+
 def judged(docs: DataFrame, host: str = "source", *keep: str, host_rate: float = HOST_RATE) -> DataFrame:
     """The columns to keep, COUNTS, base_failed, rule_failed, host_failed and kept, one row for each row of docs.
 
     kept is of base_failed and the host alone, as the query has it; passing() takes rule_failed.
     Null and empty texts have no words, so they fail. Rows without a host are judged on their own, and
-    repeated rows each count. Very long texts are read whole. Columns that aren't named aren't read;
-    no rows give no rows.
+    repeated rows each count. Very long texts are read whole. Columns that aren't named aren't read, and one to keep
+    that is called as one of COUNTS, RULES or the other new ones gives way to it; no rows give no rows.
     """
-    rows = c.cut(measured(docs, *dict.fromkeys([*keep, host])))
-    bad = c.cut(host_rates(rows, host).filter(" or ".join(f"{r} > {host_rate!r}" for r in RULES)).select(host, F.lit(True).alias("host_failed")))
-    failed = F.coalesce("host_failed", F.lit(False))
-    rows = c.by_small(rows, bad, host, "left").withColumn("host_failed", failed)
+    keep = c.apart(keep, *COUNTS, *RULES, *VERDICTS, "_host")
+    rows = c.cut(measured(docs.select("text", *keep, F.col(host).alias("_host")), *keep, "_host"))
+    rows = c.by_small(rows, rejected(rows, "_host", host_rate), "_host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     return rows.select(*keep, *COUNTS, "base_failed", "rule_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
 def passing(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that fail no rule, of hosts that aren't rejected."""
-    packed = docs.withColumn("_row", F.struct(*docs.columns))
-    return judged(packed, host, "_row").filter("not rule_failed and not host_failed").select("_row.*")
+    """The rows of docs, all columns, that fail no rule, of hosts that aren't rejected; null and empty texts fail.
+
+    Texts are measured twice, for the hosts and to filter by; only the rejected hosts are kept in between.
+    """
+    bad = rejected(measured(docs.select("text", F.col(host).alias("_host")), "_host"), "_host")
+    rows = measured(docs.select("text", F.col(host).alias("_host"), F.struct(*docs.columns).alias("_row")), "_host", "_row")
+    rows = c.by_small(rows.filter("not rule_failed").select("_host", "_row"), bad, "_host", "left_anti")
+    return rows.select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

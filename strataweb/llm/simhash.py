@@ -30,8 +30,10 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = 6
 #: Children of a node of the index.
 FANOUT = 4
-#: A shard with more fingerprints is dealt as pairs of parts of about this size.
-SHARD = 4096
+#: A shard with more fingerprints is dealt as pairs of parts of about this size, up to so many parts.
+SHARD, PARTS = 4096, 8
+#: A shard of more parts is split by further bits, so many times; then it is dealt as parts whatever their number.
+SPLITS = 2
 #: Pairs of a query and a node that are looked at together.
 FRONTIER = 1 << 20
 
@@ -166,17 +168,54 @@ def _shard_links(radius: int, keys: int):
     return each
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) that join all of fps (fp, rep; each fp once) within radius bits, up to transitivity."""
-    spread = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(radius, blocks)))))
-    rows = fps.select("fp", "rep", spread.alias("s")).select("s.t", "s.bits", "fp", "rep")
-    hot = c.cut(rows.groupBy("t", "bits").count().filter(F.col("count") > shard).select("t", "bits", F.ceil(F.col("count") / shard).cast("int").alias("parts")))
-    rows = c.by_small(rows, hot, ["t", "bits"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+def finer(mask: int, radius: int) -> list[int]:
+    """Masks (signed) of which fingerprints within radius bits that agree on mask agree on one: mask and a part of the other bits."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    if len(free) <= radius:
+        return [mask]
+    cuts = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    found = [mask | sum(1 << k for k in free[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return [((m & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for m in found]
+
+
+def _families(fps: DataFrame, radius: int, blocks: int, shard: int, parts: int) -> DataFrame:
+    """fps by shard: (mask, bits, parts, fp, rep), each pair within radius in at least one shard.
+
+    A shard of more than shard * parts rows is split by further bits, of which pairs agree on one part of
+    radius + 1, so that each row is in radius + 1 finer shards, not in a pair of parts with every other. That
+    helps where a shard's fingerprints are spread; those all near to each other stay together and are dealt as parts.
+    """
+    keys, out, families = ["mask", "bits"], [], masks(radius, blocks)
+    spread = F.explode(F.array(*map(F.lit, families)))
+    rows = fps.select("fp", "rep", spread.alias("mask"))
+    for level in range(SPLITS + 1):
+        rows = rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        hot = c.cut(rows.groupBy(keys).count().filter(F.col("count") > shard).select(*keys, F.ceil(F.col("count") / shard).cast("int").alias("parts")))
+        rows = c.by_small(rows, hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        many = [r[0] for r in hot.filter(F.col("parts") > parts).select("mask").distinct().collect()] if level < SPLITS else []
+        split = (F.col("parts") > parts) & F.col("mask").isin(many)
+        out.append(rows.filter(~split).select(*keys, "parts", "fp", "rep") if many else rows.select(*keys, "parts", "fp", "rep"))
+        if not many:
+            break
+        table = rows.sparkSession.createDataFrame([(m, finer(m, radius)) for m in many], "mask long, finer array<long>")
+        rows = rows.filter(split).join(F.broadcast(table), "mask").select("fp", "rep", F.explode("finer").alias("mask"))
+    return reduce(DataFrame.union, out)
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, shard: int = SHARD, parts: int = PARTS) -> DataFrame:
+    """Links (a, b) that join all of fps (fp, rep; each fp once) within radius bits, up to transitivity.
+
+    Bits are in BLOCKS blocks, or in two more than radius if that are more. A shard of up to `parts` times
+    `shard` rows is dealt as pairs of parts, a larger one is split by further bits.
+    """
+    if not 0 <= radius <= 62:
+        raise ValueError("the radius is to be 0 to 62 bits")
+    rows = _families(fps, radius, blocks or max(BLOCKS, radius + 2), shard, parts)
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("t", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
-    keys = ["t", "bits", "i", "j"]
+    rows = rows.select("mask", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
+    keys = ["mask", "bits", "i", "j"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, gray_rank(F.col("fp")))
     return dealt.mapInArrow(_shard_links(radius, len(keys)), "a long, b long")
 
@@ -190,14 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the component has one. Other columns of docs aren't read; no rows give no rows.
     """
     prints = c.cut(fingerprints(docs, id_col, text_col, shingle))
-    fps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    joined = components(near_links(fps.filter("rep is not null"), radius))
-    fps = fps.join(joined, fps["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(fps, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    joined = components(near_links(fps.filter("rep is not null").select("fp", "rep"), radius))
+    fps = fps.join(joined, fps["rep"] == joined["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return c.join_unique(prints, fps, "fp", "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that have their component's smallest id; rows without an id stay, and all columns do."""
+    """The rows of docs that have their component's smallest id; rows without an id stay, repeated rows too, and all columns do."""
     copies = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col)
     return docs.join(copies, id_col, "left_anti")
 

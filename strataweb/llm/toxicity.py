@@ -67,8 +67,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def model(labelled: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
-    """Weights by coordinate, the bias at -1, of labelled (doc_id, text, label); no rows give a bias of -3."""
-    rows = c.sample(labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")), sample, "doc_id", "text", "label")
+    """Weights by coordinate, the bias at -1, of labelled (doc_id, text, label); no rows give a bias of -3.
+
+    Repeated rows count once, rows without a label not at all; a null text is one without features.
+    """
+    rows = labelled.filter("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = c.sample(rows, sample)
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "label")
     found = {r[0]: r[1] for r in rows.coalesce(1).mapInArrow(_fit, "at int, w double").collect()}
     return found if len(found) > 1 or found.get(-1) else {-1: -3.0}
@@ -85,10 +89,12 @@ def scores(texts: list[str | None], w: np.ndarray, bias: float) -> np.ndarray:
 
 
 def scored(docs: DataFrame, weights: dict[int, float], *keep: str) -> DataFrame:
-    """The columns to keep and score (double, 0 to 1), a row for each row of docs, over its whole text.
+    """The columns to keep and score (double, 0 to 1), a row for each row of docs, over its whole text, however long.
 
-    Null and empty texts have no features; their score is the model's bias. Other columns aren't read.
+    Null and empty texts have no features; their score is the model's bias. Repeated rows are each scored, alike;
+    no rows give no rows. Other columns aren't read, and one to keep that is called score gives way.
     """
+    keep = c.apart(keep, "score")
     bias, own = weights[-1], {k: v for k, v in weights.items() if k >= 0}
     shared = docs.sparkSession.sparkContext.broadcast((np.array(list(own), np.int64), np.array(list(own.values()))))
 
@@ -98,7 +104,7 @@ def scored(docs: DataFrame, weights: dict[int, float], *keep: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores(b.column(0).to_pylist(), w, bias))], names=[*b.schema.names[1:], "score"])
 
-    schema = ", ".join([*(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep), "score double"])
+    schema = c.extended(docs, keep, "score double")
     return docs.select("text", *keep).mapInArrow(each, schema)
 
 
@@ -110,7 +116,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels and documents may repeat rows; a document without an id is scored, and counts as not held out."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = c.table(spark, sf_dir, "labels").filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    chosen = c.sample(marked.select("doc_id", F.col("toxic").alias("label")).distinct(), SAMPLE, "doc_id", "label")
+    chosen = c.sample(marked.select("doc_id", F.col("toxic").alias("label")), SAMPLE)
     found = scored(docs, model(docs.join(F.broadcast(chosen), "doc_id")), "doc_id")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -163,7 +163,11 @@ def _reader(payload: bool):
 
 
 def read(archives: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFrame:
-    """READ's columns, a row for each record of the archives (path, bytes); no archives give no rows."""
+    """READ's columns, a row for each record of the archives (path, bytes); no archives give no rows.
+
+    A member that is cut short, broken or not headed as a WARC record is none. Records are returned as often as they are
+    written, empty payloads too; other columns aren't read.
+    """
     parts = archives.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"), "bytes")
     parts = parts.select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
     # Rows of a few bytes, each a split to read: a set number of tasks, as adaptive execution would put all in one.

@@ -83,8 +83,8 @@ def test_forest_and_split_shards(spark):
     for _ in range(100):
         label = np.where(near, label[None], 1 << 40).min(1)
     rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fp)], "fp long, rep long")
-    for shard in (4096, 20):
-        got = {r.node: r.component for r in components.components(simhash.near_links(rows, shard=shard)).collect()}
+    for shard, parts in ((4096, 8), (20, 100), (20, 4)):
+        got = {r.node: r.component for r in components.components(simhash.near_links(rows, shard=shard, parts=parts)).collect()}
         assert {k: got.get(k, k) for k in range(len(fp))} == dict(enumerate(label.tolist()))
 
 
