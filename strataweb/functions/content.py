@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import EXTENSIONS, HANDLERS, SIGNATURES, Rules
+from ..rules import EXTENSIONS, HANDLERS, JSON_EXTENSIONS, JSON_TYPES, SIGNATURES, Rules
 
 
 def latin1(body: Column) -> Column:
@@ -19,11 +19,11 @@ def utf8(body: Column) -> Column:
 
 
 def sniff_type(body: Column) -> Column:
-    """By magic bytes, then as markup, JSON or text; other than UTF-8 in the first 4096 bytes is octet-stream."""
+    """By magic bytes, then by what the first 512 bytes have behind blanks; other than UTF-8 in the first 4096 bytes is octet-stream."""
     found = F
     for magic, kind in SIGNATURES:
-        found = found.when(body.startswith(F.unhex(F.lit(magic))), kind)
-    head = F.lower(F.regexp_replace(latin1(F.substring(body, 1, 1024)), r"^\s+", ""))
+        found = found.when(body.startswith(F.lit(magic)), kind)
+    head = F.lower(F.regexp_replace(latin1(F.substring(body, 1, 512)), r"^\s+", ""))
     found = found.when(head.startswith("<!doctype html") | head.startswith("<html"), "text/html")
     found = found.when(head.startswith("<?xml"), F.when(head.contains("<svg"), "image/svg+xml").otherwise("application/xml")).when(head.startswith("<svg"), "image/svg+xml")
     found = found.when(~F.is_valid_utf8(F.substring(body, 1, 4096).cast("string")), "application/octet-stream")
@@ -46,6 +46,14 @@ def expandable(status: Column, content_type: Column) -> Column:
     return F.coalesce(status.between(200, 299) & content_type.startswith("text/html"), F.lit(False))
 
 
+def json_scannable(content_type: Column, ext: Column) -> Column:
+    """Whether a body's JSON strings may be links."""
+    found = ext.isin(JSON_EXTENSIONS)
+    for x in JSON_TYPES:
+        found = F.coalesce(content_type.startswith(x), F.lit(False)) | F.coalesce(found, F.lit(False))
+    return found
+
+
 def blocked_notice(text: Column, rules: Rules = Rules()) -> Column:
     return F.coalesce(text.rlike("(?iu)" + rules.blocked), F.lit(False))
 

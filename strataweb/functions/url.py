@@ -53,11 +53,15 @@ def _encoded(x: Column) -> Column:
     return F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def _decoded(x: Column) -> Column:
+    """Escapes decoded, + to a space; a % that begins no escape stays as it is."""
+    return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def canonical_query(query: Column) -> Column:
-    """The query's pairs sorted and encoded anew."""
+    """The query's pairs sorted and encoded anew; bytes that aren't UTF-8 become replacement characters."""
     some = F.filter(F.split(query, "&"), lambda p: p != "")
-    decoded = lambda p: F.coalesce(F.try_url_decode(p), p)
-    both = F.transform(some, lambda p: F.struct(decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("n"), decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    both = F.transform(some, lambda p: F.struct(_decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("n"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
     return F.array_join(F.transform(F.array_sort(both), lambda p: F.concat(_encoded(p["n"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
@@ -85,7 +89,7 @@ def origin(url: Column) -> Column:
 
 def query_template(url: Column) -> Column:
     """The path and the query's distinct names, sorted."""
-    names = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.substring_index(p, "=", 1)))))
+    names = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: _decoded(F.substring_index(p, "=", 1)))))
     return F.concat(part(url, 3), F.when(F.size(names) > 0, F.concat(F.lit("?"), F.array_join(names, "&"))).otherwise(""))
 
 
@@ -108,9 +112,15 @@ def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """The absolute http(s) URL of a reference, or null; absolute and root-relative ones without dots stay on the JVM."""
+    """The absolute http(s) URL of a reference, or null.
+
+    Absolute and root-relative references without dots are joined by expressions. A Python function is called
+    for every row, in whatever branch it stands, so it is given null for those.
+    """
     ref = F.regexp_replace(ref, r"^\s+|\s+$", "")
     none = (ref == "") | ref.startswith("#") | F.lower(ref).rlike("^(?:" + "|".join(SKIPPED) + ")")
     plain = ref.rlike(r"^/(?:[^/.?#\s][^?#\s]*)?(?:\?[^#\s]*)?$") & ~ref.contains("./") & ~ref.rlike(r"/\.{1,2}$") & base.rlike("^https?://[^/?#]+")
     whole = ref.rlike(r"^https?://[^/?#\s]+(?:/[^\s.]*)?$")
-    return F.when(none, None).when(plain, F.concat(F.regexp_extract(base, "^(https?://[^/?#]+)", 1), ref)).when(whole, ref).otherwise(_joined(base, ref))
+    left = F.when(~F.coalesce(none | plain | whole, F.lit(False)), ref)
+    joined = _joined(F.when(left.isNotNull(), base), left)
+    return F.when(none, None).when(plain, F.concat(F.regexp_extract(base, "^(https?://[^/?#]+)", 1), ref)).when(whole, ref).otherwise(joined)

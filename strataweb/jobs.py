@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import extraction, graph, reports
+from .plans import extraction, frontier, graph, reports
 from .rules import Rules
 from .sources import artifacts
 
@@ -30,7 +30,7 @@ def extract(spark: SparkSession, root: str, out: str, rules: Rules = Rules(), pa
 def _states(manifest: DataFrame, edges: DataFrame) -> DataFrame:
     """(canon_key, state) of rows, and of references to keys without one, which were never in scope."""
     own = manifest.groupBy("canon_key").agg(F.when(F.max_by(F.col("sha256").isNotNull(), "seq"), "fetched").otherwise("errored").alias("state"))
-    rest = edges.select(F.col("dst").alias("canon_key")).distinct().join(own, "canon_key", "left_anti").withColumn("state", F.lit("out_of_scope"))
+    rest = frontier.unfetched(edges, manifest).withColumn("state", F.lit("out_of_scope"))
     return own.unionByName(rest)
 
 
@@ -38,7 +38,9 @@ def report(spark: SparkSession, root: str, out: str, rules: Rules = Rules()) ->
     """Writes filetypes.md, coverage.md and, where an extraction has been written to out, submission.md."""
     manifest, edges = artifacts.read_manifest(spark, root), artifacts.read_edges(spark, root)
     reports.write_lines(reports.filetypes_report(manifest), f"{out}/filetypes.md")
-    reports.write_lines(reports.coverage_report(manifest, edges, _states(manifest, edges), _depths(manifest, edges)), f"{out}/coverage.md")
+    states = _states(manifest, edges)
+    frontier.assert_accounted(edges.select(F.col("dst").alias("canon_key")).union(manifest.select("canon_key")), states)
+    reports.write_lines(reports.coverage_report(manifest, edges, states, _depths(manifest, edges)), f"{out}/coverage.md")
     tables = {n: spark.read.parquet(f"{out}/tables/{n}") for n in ("secrets", "divergences", "ruled_out", "needs_review", "images")}
     tables["images"] = tables["images"].select("url", "format", "candidates_tried", "candidates_with_hits", "ruling").orderBy("url")
     reports.write_lines(reports.submission_report(manifest, edges, tables, rules.expected), f"{out}/submission.md")
@@ -50,10 +52,10 @@ def _depths(manifest: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dot(spark: SparkSession, root: str, out: str, rules: Rules = Rules()) -> None:
-    """Writes graph.dot as a folder of one text file."""
+    """Writes graph.dot, a folder of text files whose lines in the files' order are the graph: ranges are sorted each on their own."""
     manifest, edges = artifacts.read_manifest(spark, root), artifacts.read_edges(spark, root)
     nodes = graph.graph_nodes(edges, manifest, _states(manifest, edges), _depths(manifest, edges))
-    graph.dot_lines(nodes, edges).orderBy("place", "line").select("line").coalesce(1).write.mode("overwrite").text(f"{out}/graph.dot")
+    graph.dot_lines(nodes, edges).orderBy("place", "line").select("line").write.mode("overwrite").text(f"{out}/graph.dot")
 
 
 def main() -> None:

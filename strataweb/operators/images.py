@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -176,6 +176,50 @@ def reports(swept: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return image_reports(swept, pixel_sightings(swept, rules))
 
 
+def ocr_eligible(images: DataFrame, found: DataFrame) -> DataFrame:
+    """Images (sha256, image) that are to be read by OCR: three times as wide as high, or without a strict sighting in found (sha256, strict)."""
+    explained = found.filter("strict").select("sha256").distinct().withColumn("_explained", F.lit(True))
+    wide = F.col("image.width") >= 3 * F.greatest(F.col("image.height"), F.lit(1))
+    rows = images.filter("image.height > 0").join(explained, "sha256", "left")
+    return rows.filter(wide | F.col("_explained").isNull()).drop("_explained")
+
+
+def variants(rgb: np.ndarray) -> dict[str, np.ndarray]:
+    """The planes that a reader is given: gray, upscaled where the longer side is under 1,000 pixels, and binary at a middle threshold."""
+    gray = channel(rgb, "luma")
+    out, (h, w) = {"gray": gray}, gray.shape
+    if max(h, w) < 1000:
+        times = max(2, min(6, 1000 // max(1, min(h, w))))
+        y, x = ((np.arange(n * times) + 0.5) / times - 0.5 for n in (h, w))
+        grid = np.pad(gray.astype(float), 1, "edge")
+        (i, u), (j, v) = (((k := np.floor(z).astype(int)), z - k) for z in (y, x))
+        rows = grid[i + 1] * (1 - u)[:, None] + grid[i + 2] * u[:, None]
+        out["upscaled"] = np.rint(rows[:, j + 1] * (1 - v) + rows[:, j + 2] * v).astype(np.uint8)
+    return out | {"binary": np.where(gray > 127, 255, 0).astype(np.uint8)}
+
+
+def read_text(images: DataFrame, reader: Callable[[np.ndarray], str] | None = None) -> DataFrame:
+    """(sha256, variant, text) that a reader makes of the variants of images; blank reads are left out, no reader reads nothing.
+
+    A variant that the reader raises a ValueError or RuntimeError for is left out too.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                for name, plane in variants(pixels(r.data, r.height, r.width, r.channels)).items() if reader else ():
+                    try:
+                        text = reader(plane)
+                    except (ValueError, RuntimeError):
+                        continue
+                    rows += [(r.sha256, name, text)] * bool(text.strip())
+            yield pd.DataFrame(rows, columns=["sha256", "variant", "text"])
+
+    rows = images.filter("image.height > 0").select("sha256", "image.data", "image.height", "image.width", F.col("image.nChannels").alias("channels"))
+    return rows.mapInPandas(each, "sha256 string, variant string, text string")
+
+
 def consensus(texts: list[str], prefix: str) -> str | None:
     """The canonical value that OCR passes agree on: a whole window by two passes, else two thirds at each place and most of those.
 

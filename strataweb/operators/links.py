@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,23 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.content import json_scannable
 from ..functions.url import in_scope, resolve
 from ..rules import ATTRIBUTES, TAGS
+from .surfaces import json_surfaces
 
-QUOTE, TEXT = "[\"'`]", "[^\"'`\\s<>)]"
 #: Fixed values: (name, tier, how, pattern), in the order that decides a reference's attribution.
 PATTERNS = [
     ("sourcemap", 2, "sourcemap", r"(?m)^[ \t]*//[#@]\s*sourceMappingURL=(\S+)"),
     ("css_url", 2, "css_url", r"""url\(\s*['"]?([^'")]+?)['"]?\s*\)"""),
     ("css_import", 2, "css_url", r"""@import\s+(?:url\(\s*)?['"]([^'"]+)['"]"""),
-    ("absolute", 1, "", rf"{QUOTE}(https?://{TEXT}+){QUOTE}"),
-    ("root_ext", 2, "", rf"{QUOTE}(/{TEXT}+\.[A-Za-z0-9]{{1,8}}){QUOTE}"),
-    ("root_route", 2, "", rf"{QUOTE}(/(?:[A-Za-z0-9_-]+/)+){QUOTE}"),
-    ("relative_ext", 3, "", rf"(?U){QUOTE}((?:\.\./|\./)?[\w.-]+(?:/[\w.-]+)*\.[A-Za-z0-9]{{1,8}}){QUOTE}"),
+    ("absolute", 1, "", r"""["'`](https?://[^"'`\s<>)]+)["'`]"""),
+    ("root_ext", 2, "", r"""["'`](/[^"'`\s<>)]+\.[A-Za-z0-9]{1,8})["'`]"""),
+    ("root_route", 2, "", r"""["'`](/(?:[A-Za-z0-9_-]+/)+)["'`]"""),
+    ("relative_ext", 3, "", r"""(?U)["'`]((?:\.\./|\./)?[\w.-]+(?:/[\w.-]+)*\.[A-Za-z0-9]{1,8})["'`]"""),
     ("robots", 2, "", r"(?im)^\s*(?:Disallow|Allow)\s*:\s*(/\S*)"),
     ("sitemap", 2, "", r"(?i)<loc>\s*(https?://[^<]+|/[^<]+?)\s*</loc>"),
-    ("review", -1, "", rf"(?U){QUOTE}((?:\.\./|\./)?[\w-]+(?:/[\w-]+)+){QUOTE}"),
+    ("review", -1, "", r"""(?U)["'`]((?:\.\./|\./)?[\w-]+(?:/[\w-]+)+)["'`]"""),
 ]
+#: URLs in inline styles, paths in data attributes, a refresh's target.
+STYLE_URL, DATA_PATH, REFRESH = r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""", r"[./A-Za-z0-9_-]+/[A-Za-z0-9_./-]+", r"(?i)url\s*=\s*([^;]+)"
+#: Characters of an element's text that go with its reference; elements without an end tag.
+HINT = 80
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def references(text: Column) -> Column:
@@ -59,10 +66,12 @@ def link_headers(value: Column) -> Column:
 
 
 def header_links(manifest: DataFrame) -> DataFrame:
-    """(seq, verbatim, how, hint) of Link headers, then of URLs in other headers but location; each URL of a row once."""
-    rows = manifest.select("seq", "url", F.explode(F.map_entries("headers")).alias("h")).select("seq", "url", "h.key", "h.value")
-    link = rows.filter("key = 'link'").select("seq", "url", F.lit(0).alias("place"), "key", F.explode(link_headers(F.col("value"))).alias("x")).select("seq", "url", "place", F.lit("http_header:link").alias("how"), F.col("x.rel").alias("hint"), F.col("x.ref").alias("ref"))
-    found = F.concat(F.regexp_extract_all("value", F.lit(r"(https?://[^\"'`\s<>),;]+)"), 1), F.regexp_extract_all("value", F.lit(r"(?:^|[\"'`\s=,])(/[^\"'`\s<>),;]+)"), 1))
+    """(seq, verbatim, how, hint) of Link headers, then of quoted URLs in other headers but location; each URL of a row once."""
+    rows = manifest.select("seq", "url", F.explode(F.map_entries("headers")).alias("h")).select("seq", "url", F.lower("h.key").alias("key"), "h.value")
+    link = rows.filter("key = 'link'").select("seq", "url", F.explode(link_headers(F.col("value"))).alias("x"))
+    link = link.select("seq", "url", F.lit(0).alias("place"), F.lit("http_link_header").alias("how"), F.col("x.rel").alias("hint"), F.col("x.ref").alias("ref"))
+    quoted = {name: pattern for name, _, _, pattern in PATTERNS}
+    found = F.concat(*(F.regexp_extract_all("value", F.lit("(?d)" + quoted[x]), 1) for x in ("absolute", "root_ext")))
     rest = rows.filter("key not in ('link', 'location')").select("seq", "url", F.lit(1).alias("place"), F.concat(F.lit("http_header:"), "key").alias("how"), F.lit("").alias("hint"), F.explode(found).alias("ref"))
     every = link.unionByName(rest).withColumn("verbatim", resolve(F.col("url"), F.col("ref"))).filter("verbatim is not null")
     first = Window.partitionBy("seq", "verbatim").orderBy("place", "how", "ref")
@@ -70,31 +79,94 @@ def header_links(manifest: DataFrame) -> DataFrame:
 
 
 def json_links(values: DataFrame) -> DataFrame:
-    """values (id, base, value) of JSON strings: http(s) as they are, rooted and dotted ones resolved, others no links."""
-    rows = values.filter("value rlike '^(?:https?://|/|\\\\./|\\\\.\\\\./)'").dropDuplicates(["id", "value"])
+    """values (id, base, value) of JSON strings: http(s) as they are, rooted and dotted ones resolved, others no links; each once for an id."""
+    rows = values.withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")).filter("value rlike '^(?:https?://|/|\\\\./|\\\\.\\\\./)'").dropDuplicates(["id", "value"])
     return rows.select("id", F.when(F.col("value").rlike("^https?://"), F.col("value")).otherwise(resolve(F.col("base"), F.col("value"))).alias("verbatim")).filter("verbatim is not null")
 
 
+def json_body_links(bodies: DataFrame) -> DataFrame:
+    """json_links of bodies (id, base, content_type, ext, text) that hold JSON; one that can't be parsed has none."""
+    rows = bodies.filter(json_scannable(F.col("content_type"), F.col("ext")))
+    found = rows.select("id", "base", F.explode(json_surfaces(F.col("text"))).alias("s")).filter(F.col("s.sub").startswith("json_value:"))
+    return json_links(found.select("id", "base", F.col("s.data").alias("value")))
+
+
+def scan_links(rows: DataFrame) -> DataFrame:
+    """(src, dst_url, how, hint, place) of fetched rows (seq, url, canon_key, content_type, url_ext, headers, text, scope, depth): headers,
+    then patterns in the body, then JSON strings, all in scope. A body is to be in one row."""
+    head = header_links(rows).join(rows.select("seq", "scope"), "seq").filter(in_scope(F.col("verbatim"), F.col("scope")))
+    head = head.select("seq", F.col("verbatim").alias("dst_url"), "how", "hint", F.lit(0).alias("place"))
+    body = byte_scan(rows.select(F.col("seq").alias("id"), F.col("url").alias("base"), "scope", "text")).filter("tier > 0")
+    body = body.select(F.col("id").alias("seq"), F.col("verbatim").alias("dst_url"), "how", "hint", F.lit(1).alias("place"))
+    json = json_body_links(rows.select(F.col("seq").alias("id"), F.col("url").alias("base"), "content_type", F.col("url_ext").alias("ext"), "text"))
+    json = json.join(rows.select(F.col("seq").alias("id"), "scope"), "id").filter(in_scope(F.col("verbatim"), F.col("scope")))
+    json = json.select(F.col("id").alias("seq"), F.col("verbatim").alias("dst_url"), F.lit("json_value").alias("how"), F.lit("").alias("hint"), F.lit(2).alias("place"))
+    return head.unionByName(body).unionByName(json).join(rows.select("seq", F.col("canon_key").alias("src")), "seq").select("seq", "src", "dst_url", "how", "hint", "place")
+
+
 class _Harvest(HTMLParser):
+    """References of a page in the order of its elements, with the text that each element holds, as far as end tags tell."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
+        self.last: list[dict] = []
         self.base: str | None = None
+        #: Open elements: the tag, references that wait for its text, and the text so far.
+        self.open: list[tuple[str, list[dict], list[str]]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = {k: v or "" for k, v in attrs}
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
         if tag == "base":
-            self.base = self.base or own.get("href")
+            self.base = self.base or own.get("href") or None
             return
+        waiting = []
         for name, how in ATTRIBUTES.items():
-            if not own.get(name):
+            if not (value := own.get(name)):
                 continue
             if name == "srcset":
-                self.found += [{"ref": x.split()[0], "how": how, "hint": own.get("alt", "")[:80]} for x in own[name].split(",") if x.split()]
-            else:
-                self.found.append({"ref": own[name], "how": TAGS.get(tag, how) if name in ("href", "src", "data") else how, "hint": own.get("rel", "") if tag == "link" else ""})
-        if tag == "meta" and own.get("http-equiv", "").lower() == "refresh" and "url=" in own.get("content", "").lower():
-            self.found.append({"ref": own["content"].split("=", 1)[1].split(";")[0].strip(), "how": "meta_refresh", "hint": ""})
+                self.found += [{"ref": x.split()[0], "how": how, "hint": own.get("alt", "")[:HINT]} for x in value.split(",") if x.split()]
+                continue
+            link = {"ref": value, "how": TAGS.get(tag, how) if name in ("href", "src", "data") else how, "hint": own.get("rel", "") if tag == "link" else ""}
+            self.found.append(link)
+            waiting += [link] * (tag != "link")
+        self.found += [{"ref": x, "how": "css_url", "hint": "inline style"} for x in re.findall(STYLE_URL, own.get("style", ""))]
+        self.found += [{"ref": v, "how": "data_attr", "hint": k} for k, v in own.items() if k.startswith("data-") and re.fullmatch(DATA_PATH, v)]
+        if tag == "meta" and own.get("http-equiv", "").lower() == "refresh" and (m := re.search(REFRESH, own.get("content", ""))):
+            self.last.append({"ref": m[1].strip(), "how": "meta_refresh", "hint": own["content"][:HINT]})
+        if tag not in VOID:
+            self.open.append((tag, waiting, []))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """A slash doesn't end an element of HTML."""
+        self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data: str) -> None:
+        for _, waiting, text in self.open:
+            if waiting and sum(map(len, text)) < HINT and (text or data.strip()):
+                text.append(data if text else data.lstrip())
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _, _ in self.open):
+            while self.open:
+                name = self._shut()
+                if name == tag:
+                    return
+
+    def _shut(self) -> str:
+        tag, waiting, text = self.open.pop()
+        for link in waiting:
+            link["hint"] = "".join(text).strip()[:HINT]
+        return tag
+
+    def links(self, page: str) -> list[dict]:
+        self.feed(page)
+        self.close()
+        while self.open:
+            self._shut()
+        return self.found + self.last
 
 
 _LINK = T.StructType([T.StructField(x, T.StringType()) for x in ("ref", "how", "hint")])
@@ -106,15 +178,23 @@ def harvested(page: pd.Series) -> pd.DataFrame:
     out = []
     for text in page:
         h = _Harvest()
-        h.feed(text or "")
-        out.append((h.base, h.found))
-    return pd.DataFrame(out, columns=["base", "links"])
+        out.append((links := h.links(text or ""), h.base))
+    return pd.DataFrame([(base, links) for links, base in out], columns=["base", "links"])
 
 
-def anchors(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit('(?i)<a\\b[^>]*?href="([^"]*)"'), 1)
+def dom_links(pages: DataFrame) -> DataFrame:
+    """(seq, src, dst_url, how, hint, place) of pages (seq, canon_key, url, html): references of the markup, resolved against the page's base."""
+    rows = pages.select("seq", "canon_key", "url", harvested(F.col("html")).alias("h"))
+    base = F.coalesce(resolve(F.col("url"), F.col("h.base")), F.col("url"))
+    rows = rows.select("seq", F.col("canon_key").alias("src"), base.alias("base"), F.posexplode("h.links").alias("place", "x"))
+    return rows.select("seq", "src", resolve(F.col("base"), F.col("x.ref")).alias("dst_url"), "x.how", "x.hint", "place").filter("dst_url is not null")
+
 
+def blocked_requests(log: DataFrame, scope: Column) -> DataFrame:
+    """Requests (url, method) of a log that a capture may not make, with why: out of scope, or other than GET."""
+    why = F.when(~in_scope(F.col("url"), scope), "out_of_scope").when(F.col("method") != "GET", "mutation")
+    return log.withColumn("blocked", why).filter("blocked is not null")
 
-def edges(dom: DataFrame, scanned: DataFrame, seen: DataFrame) -> DataFrame:
-    """All of dom's edges, and scanned ones (src, dst, how, hint, depth) whose dst isn't seen yet."""
-    return dom.unionByName(scanned.join(seen.select(F.col("canon_key").alias("dst")), "dst", "left_anti").select(dom.columns))
+
+def anchors(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit('(?i)<a\\b[^>]*?href="([^"]*)"'), 1)

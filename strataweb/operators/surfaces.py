@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.content import latin1, utf8
 
+#: Patterns of scripts, styles and attributes in markup.
 SCRIPT, STYLE = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>"
 ATTRIBUTE = r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 SURFACE, PAYLOAD = (T.ArrayType(T.StructType([T.StructField("sub", T.StringType()), T.StructField("data", x)])) for x in (T.StringType(), T.BinaryType()))
@@ -61,7 +62,7 @@ def attributes(text: Column) -> Column:
 
 def inline(text: Column, tag: str) -> Column:
     """Bodies of a tag that aren't blank."""
-    return F.filter(F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), 1), lambda x: F.trim(x) != "")
+    return F.filter(F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), 1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
 
 
 def block_comments(text: Column) -> Column:
@@ -117,9 +118,10 @@ def _json(body: str) -> list[tuple[str, str]]:
 
 
 def _xml(body: str) -> list[tuple[str, str]]:
+    """An encoding that the body declares isn't heeded, as it is text already."""
     found = [("xml_comment", x) for x in re.findall("<!--(.*?)-->", body, re.DOTALL)]
     try:
-        return found + [(f"xml_text:{e.tag.rpartition('}')[2]}", e.text) for e in ElementTree.fromstring(body.encode()).iter() if isinstance(e.tag, str) and e.text and e.text.strip()]
+        return found + [(f"xml_text:{e.tag.rpartition('}')[2]}", e.text) for e in ElementTree.fromstring(body).iter() if isinstance(e.tag, str) and e.text and e.text.strip()]
     except (ElementTree.ParseError, ValueError):
         return [*found, ("raw", body)]
 
@@ -156,11 +158,16 @@ def _expander(parse):
 
 json_surfaces, xml_surfaces, csv_surfaces, sourcemap_surfaces = map(_expander, (_json, _xml, _csv, _sourcemap))
 
-# Gates of decoders: byte patterns, on one character for each byte.
-BASE64, DATA_URI, PERCENT = r"[A-Za-z0-9+/]{32,}={0,2}", r"data:[^;,]*;base64,([A-Za-z0-9+/=]+)", r"(?:%[0-9A-Fa-f]{2}){4,}"
-ENTITIES, CSS_ESCAPES, JS_ESCAPES = r"(?:&(?:#\d+|#x[0-9a-fA-F]+|[a-z]+);){4,}", r"(?:\\[0-9A-Fa-f]{1,6}\s?){4,}", r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}){4,}"
-CODES = r"\s*\d+\s*(?:,\s*\d+\s*){3,}"
-CHARCODES, APPLIED = rf"String\.fromCharCode\({CODES}\)", rf"String\.fromCharCode\.apply\([^)]*?\[{CODES}\]"
+#: Gates of decoders, patterns on one character for each byte.
+BASE64 = r"[A-Za-z0-9+/]{32,}={0,2}"
+DATA_URI = r"data:[^;,]*;base64,([A-Za-z0-9+/=]+)"
+PERCENT = r"(?:%[0-9A-Fa-f]{2}){4,}"
+ENTITIES = r"(?:&(?:#\d+|#x[0-9a-fA-F]+|[a-z]+);){4,}"
+CSS_ESCAPES = r"(?:\\[0-9A-Fa-f]{1,6}\s?){4,}"
+JS_ESCAPES = r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}){4,}"
+CHARCODES = r"String\.fromCharCode\(\s*\d+\s*(?:,\s*\d+\s*){3,}\)"
+APPLIED = r"String\.fromCharCode\.apply\([^)]*?\[\s*\d+\s*(?:,\s*\d+\s*){3,}\]"
+DECLARED = r"(?:var|let|const)?\s*NAME\s*=\s*\[(\s*\d+\s*(?:,\s*\d+\s*){3,})\]"
 BY_NAME = r"String\.fromCharCode\.apply\([^,]+,\s*([A-Za-z_$][\w$]*)\s*\)"
 
 
@@ -186,14 +193,12 @@ def _chars(codes: list[int]) -> bytes | None:
 def decoded_variants(text: str) -> list[tuple[str, bytes]]:
     """What decoders make of a body, one level deep; text has a character for each byte."""
     out: list[tuple[str, bytes | None]] = []
-    strict = lambda x: base64.b64decode(x, validate=True)
-    for name, runs in (("data_uri", re.findall(DATA_URI, text)), ("base64", re.findall(BASE64, text))):
+    for name, runs, strict in (("data_uri", re.findall(DATA_URI, text), False), ("base64", [x for x in re.findall(BASE64, text) if len(x) % 4 == 0], True)):
         for x in runs:
-            if len(x) % 4 == 0:
-                try:
-                    out.append((name, strict(x)))
-                except ValueError:
-                    pass
+            try:
+                out.append((name, base64.b64decode(x, validate=strict)))
+            except ValueError:
+                pass
     out += [("percent", bytes.fromhex(x.replace("%", ""))) for x in re.findall(PERCENT, text)]
     out += [("html_entities", html.unescape(x).encode("utf-8", "replace")) for x in (m[0] for m in re.finditer(ENTITIES, text))]
     out += [("css_escape", _chars([int(y, 16) for y in re.findall(r"\\([0-9A-Fa-f]{1,6})", m[0])])) for m in re.finditer(CSS_ESCAPES, text, re.ASCII)]
@@ -201,7 +206,7 @@ def decoded_variants(text: str) -> list[tuple[str, bytes]]:
     for pattern in (CHARCODES, APPLIED):
         out += [("js_escape", _chars(list(map(int, re.findall(r"\d+", m[0]))))) for m in re.finditer(pattern, text, re.ASCII)]
     for name in re.findall(BY_NAME, text, re.ASCII):
-        if m := re.search(rf"(?:var|let|const)?\s*{re.escape(name)}\s*=\s*\[({CODES})\]", text, re.ASCII):
+        if m := re.search(DECLARED.replace("NAME", re.escape(name)), text, re.ASCII):
             out.append(("js_escape", _chars(list(map(int, re.findall(r"\d+", m[1]))))))
     return [(f"decoded:{k}", v) for k, v in out if v is not None]
 
@@ -221,17 +226,18 @@ def decoded(body: Column) -> Column:
 def expanded(blobs: DataFrame) -> DataFrame:
     """(sha256, sub, data binary) of distinct bodies (sha256, handler, content): their surfaces and decoded variants.
 
-    Bodies without a handler have decoded variants only, rasters none of their own. Spark calls a Python function
-    for every row, whatever branch it stands in, so each is given null for bodies that aren't its own.
+    A body's raw surface is its very bytes. Bodies without a handler have decoded variants only, rasters none of
+    their own. Spark calls a Python function for every row, whatever branch it stands in, so each is given null
+    for bodies that aren't its own.
     """
-    text = utf8(F.col("content"))
-    how = F.col("handler")
-    own = lambda name: F.when(how == name, text)
+    content, how = F.col("content"), F.col("handler")
+    own = lambda name: F.when(how == name, utf8(content))
+    whole = lambda x: named("raw", F.array(x))
     surfaces = (
-        F.when(how == "html", html_surfaces(text)).when(how == "code", code(text)).when(how == "json", json_surfaces(own("json"))).when(how == "xml", xml_surfaces(own("xml")))
-        .when(how == "csv", csv_surfaces(own("csv"))).when(how == "sourcemap", sourcemap_surfaces(own("sourcemap"))).when(how == "text", named("raw", F.array(text)))
-        .when(how == "pdf", F.concat(named("pdf_text", pdf_text(latin1(F.col("content")))), named("raw", F.array(text))))
+        F.when(how == "html", html_surfaces(own("html"))).when(how == "code", code(own("code"))).when(how == "json", json_surfaces(own("json"))).when(how == "xml", xml_surfaces(own("xml")))
+        .when(how == "csv", csv_surfaces(own("csv"))).when(how == "sourcemap", sourcemap_surfaces(own("sourcemap"))).when(how == "text", whole(F.lit("")))
+        .when(how == "pdf", F.concat(named("pdf_text", pdf_text(latin1(content))), whole(F.lit(""))))
     )
-    found = F.transform(surfaces, lambda s: F.struct(s["sub"].alias("sub"), s["data"].cast("binary").alias("data")))
-    every = F.concat(F.coalesce(found, F.array().cast("array<struct<sub:string,data:binary>>")), decoded(F.col("content")))
+    found = F.transform(surfaces, lambda s: F.struct(s["sub"].alias("sub"), F.when(s["sub"] == "raw", content).otherwise(s["data"].cast("binary")).alias("data")))
+    every = F.concat(F.coalesce(found, F.array().cast("array<struct<sub:string,data:binary>>")), decoded(content))
     return blobs.select("sha256", F.explode(every).alias("s")).select("sha256", "s.sub", "s.data")

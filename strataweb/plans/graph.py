@@ -1,4 +1,4 @@
-"""The reference graph: nodes, breadth-first depths, discovery to a fixpoint, DOT."""
+"""The reference graph: nodes, breadth-first depths, DOT."""
 
 from __future__ import annotations
 
@@ -48,11 +48,6 @@ def ensure_checkpoints(df: DataFrame) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def discovered(pages: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth) found from seeds over a closed set of pages: links (src, dst) of pages that were captured alone lead on."""
-    return bfs(links.join(pages.select(F.col("canon_key").alias("src")), "src", "left_semi"), seeds)
-
-
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(place, line) of a DOT graph of nodes (node, state, content_type, depth) and edges (src, dst, how), in order of place and line.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import disagrees
@@ -27,8 +27,6 @@ def inventory(rows: DataFrame) -> DataFrame:
 
 def first_k(rows: DataFrame, key: str, k: int) -> DataFrame:
     """(key, examples): the URLs of each key's first k rows, by row groups first so that no key's rows meet."""
-    from pyspark.sql.window import Window
-
     salted = Window.partitionBy(key, "_salt").orderBy("seq")
     part = rows.select(key, "seq", "url", F.pmod(F.xxhash64("seq"), F.lit(64)).alias("_salt")).withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= k)
     return part.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "url"))), 1, k), lambda x: x["url"]).alias("examples"))
@@ -43,13 +41,32 @@ def disagreements(rows: DataFrame) -> DataFrame:
     return rows.filter(disagrees(F.col("url_ext"), F.col("content_type"), F.col("sniffed_type")))
 
 
-def duplication(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sha256, urls, referrers, case, content_type, length) of bodies that several URLs have, or several pages refer to."""
+#: URLs or referrers of a body that are listed, the first ones in order; all are counted.
+LISTED = 1000
+
+
+def _listed(pairs: DataFrame, key: str, what: str, k: int) -> DataFrame:
+    """(key, n, list) of distinct pairs: how many, and the first k in order; no task holds all of a key's."""
+    part = pairs.select(key, F.col(what).alias("x"), F.pmod(F.xxhash64(what), F.lit(64)).alias("_salt"))
+    some = part.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_salt").orderBy("x"))).filter(F.col("_n") <= k)
+    lists = some.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias(what))
+    return pairs.groupBy(key).agg(F.count(what).alias(f"n_{what}")).join(lists, key)
+
+
+def duplication(rows: DataFrame, edges: DataFrame, k: int = LISTED) -> DataFrame:
+    """(sha256, urls, referrers, n_urls, n_referrers, case, content_type, length) of bodies that several URLs have, or several pages refer to.
+
+    The lists hold the first k in order; the counts are of all.
+    """
     same = rows.filter("sha256 is not null")
-    urls = same.groupBy("sha256").agg(F.array_sort(F.collect_set("url")).alias("urls"), F.min_by("content_type", "seq").alias("content_type"), F.min_by("length", "seq").alias("length"))
-    referrers = same.select("sha256", "canon_key").distinct().join(edges, F.col("canon_key") == F.col("dst"), "left").groupBy("sha256").agg(F.array_sort(F.collect_set("src")).alias("referrers"))
-    case = F.when(F.size("urls") > 1, SEVERAL_URLS).when(F.size("referrers") > 1, SEVERAL_REFERRERS)
-    return urls.join(referrers, "sha256").withColumn("case", case).filter("case is not null")
+    first = same.groupBy("sha256").agg(F.min_by("content_type", "seq").alias("content_type"), F.min_by("length", "seq").alias("length"))
+    urls = _listed(same.select("sha256", F.col("url").alias("urls")).distinct(), "sha256", "urls", k)
+    refs = same.select("sha256", "canon_key").distinct().join(edges.select(F.col("dst").alias("canon_key"), F.col("src").alias("referrers")).distinct(), "canon_key")
+    refs = _listed(refs.select("sha256", "referrers").distinct(), "sha256", "referrers", k)
+    found = first.join(urls, "sha256").join(refs, "sha256", "left").withColumn("n_referrers", F.coalesce("n_referrers", F.lit(0)))
+    case = F.when(F.col("n_urls") > 1, SEVERAL_URLS).when(F.col("n_referrers") > 1, SEVERAL_REFERRERS)
+    found = found.withColumn("referrers", F.coalesce("referrers", F.array().cast("array<string>"))).withColumn("case", case)
+    return found.filter("case is not null").select("sha256", "urls", "referrers", "n_urls", "n_referrers", "case", "content_type", "length")
 
 
 def counts(rows: DataFrame, key: str) -> DataFrame:
@@ -142,6 +159,7 @@ def submission_report(manifest: DataFrame, edges: DataFrame, results: dict[str,
     yield from section("Other than anchors, the most frequent", top(edges.filter("how <> 'a_href'"), "how", 5).select("how", "n"))
     yield from section(f"Values, of {expected} expected", found.groupBy("canonical").agg(F.min_by("url", "seq").alias("url"), F.min_by("how_found", "seq").alias("how_found")).orderBy("canonical"))
     yield from section("Header sightings", found.filter("how_found like 'header:%'").agg(F.count("*").alias("n")))
+    yield from section("Candidates over all images", results["images"].agg(F.sum("candidates_tried").alias("candidates_tried")))
     for title, name in (("Divergences", "divergences"), ("Ruled out", "ruled_out"), ("Needs review", "needs_review"), ("Images", "images")):
         yield from section(title, results[name])
 

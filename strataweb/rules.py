@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Magic bytes (hex) of the first 64 bytes, in order, and their types.
+#: Magic bytes at the start of a body, in order, and their types.
 SIGNATURES = [
-    ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462D", "application/pdf"),
-    ("504B0304", "application/zip"), ("774F4646", "font/woff"), ("774F4632", "font/woff2"), ("0001000000", "font/ttf"), ("4F676753", "application/ogg"),
-    ("52494646", "application/riff"), ("1F8B", "application/gzip"), ("494433", "audio/mpeg"),
+    (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF87a", "image/gif"), (b"GIF89a", "image/gif"), (b"%PDF-", "application/pdf"),
+    (b"PK\x03\x04", "application/zip"), (b"wOFF", "font/woff"), (b"wOF2", "font/woff2"), (b"\x00\x01\x00\x00\x00", "font/ttf"), (b"OggS", "application/ogg"),
+    (b"RIFF", "application/riff"), (b"\x1f\x8b", "application/gzip"), (b"ID3", "audio/mpeg"),
 ]
 #: Types that an extension stands for.
 EXTENSIONS = {
@@ -52,6 +52,10 @@ PREFIX_FILL = {"text/html": "lightblue", "image/": "palegreen"}
 PROSE, BARE, FRAGMENT = "format_prose", "bare_hex_fragment", "FRAGMENT:"
 #: Rulings on an image, and the two cases of duplication.
 DISAGREEING, FOUND, LOOSE_ONLY, DECOY_ONLY, CLEAN = "needs-review:disagreeing-payloads", "payload-found", "needs-review:loose-only", "ruled-out:decoy-only", "swept-and-clean"
+#: Paths that a site declares, whether or not anything links to them.
+DECLARED = ["/robots.txt", "/sitemap.xml", "/manifest.json", "/humans.txt", "/.well-known/security.txt", "/favicon.ico"]
+#: Types and extensions of bodies whose JSON strings are looked through for links.
+JSON_TYPES, JSON_EXTENSIONS = ["application/json", "application/manifest+json"], ["json", "map", "webmanifest"]
 SEVERAL_URLS, SEVERAL_REFERRERS = "same_bytes_different_urls", "same_url_multiple_referrers"
 
 

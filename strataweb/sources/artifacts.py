@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import content
+from ..functions.url import canon_key as url_key
+from ..functions.url import url_ext
+from ..rules import Rules
 
 MANIFEST = """url string, canon_key string, final_url string, status int, content_type string, url_ext string, sniffed_type string, sha256 string, rendered_sha256 string,
   interacted_sha256 string, length bigint, headers map<string,string>, first_seen_depth int, retries int, idle_timeout boolean, blocked_notice boolean, clicks int, late_mutations int,
@@ -12,16 +18,19 @@ MANIFEST = """url string, canon_key string, final_url string, status int, conten
 EDGES = "src string, dst string, how string, hint string, depth int"
 
 
+#: A row's place: its file, the block of the file it was read in, and its place in the block.
+SEQ = "seq struct<file:string,block:bigint,at:bigint>"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a seq in file order; a missing file is empty, blank lines are left out."""
+    """JSON lines with a seq that orders them as files and their lines are; a missing file is empty, blank lines are left out."""
     try:
         rows = spark.read.schema(schema).json(path)
-        rows = rows.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+        return rows.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], f"{schema}, _file string, _at bigint")
-    return rows.withColumnRenamed("_at", "seq").drop("_file")
+        return spark.createDataFrame([], f"{schema}, {SEQ}")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -51,8 +60,10 @@ def fetched(manifest: DataFrame) -> DataFrame:
 
 
 def first_rows(manifest: DataFrame) -> DataFrame:
-    """Each body's first row decides its type and base URL."""
-    return fetched(manifest).withColumn("_n", F.row_number().over(Window.partitionBy("sha256").orderBy("seq"))).filter("_n = 1").drop("_n")
+    """Each body's first row decides its type and base URL; a body's rows are reduced before they are shuffled."""
+    others = [x for x in manifest.columns if x != "sha256"]
+    first = fetched(manifest).groupBy("sha256").agg(F.min_by(F.struct(*others), "seq").alias("_first"))
+    return first.select(*(F.col("sha256") if x == "sha256" else F.col("_first")[x].alias(x) for x in manifest.columns))
 
 
 def content_addressed(bodies: DataFrame) -> DataFrame:
@@ -60,15 +71,25 @@ def content_addressed(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
 
 
-def records(captures: DataFrame) -> DataFrame:
-    """Manifest rows of captures (url, status, headers, content, depth, retries)."""
-    from ..functions import content, url
-
-    return captures.select(
-        "url", url.canon_key(F.col("url")).alias("canon_key"), "status", content.header_type(F.col("headers")["content-type"]).alias("content_type"), url.url_ext(F.col("url")).alias("url_ext"),
-        content.sniff_type(F.col("content")).alias("sniffed_type"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("length"), "headers",
-        F.col("depth").alias("first_seen_depth"), "retries", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("fetched_at"),
-    )
+def records(captures: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Manifest rows of captures (url, final_url, status, headers, content, error, depth, retries), of MANIFEST's columns.
+
+    Snapshots come as rendered and interacted (binary), and counters by their names, where captures have them. A capture that failed has
+    its key, status and error, and no body. Header names are matched in any case.
+    """
+    has = lambda x, kind: F.col(x).cast(kind) if x in captures.columns else F.lit(None).cast(kind)
+    ok = F.col("content").isNotNull()
+    header = F.element_at(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == "content-type")), 1)
+    sha = lambda x: F.sha2(has(x, "binary"), 256)
+    own = {
+        "url": F.col("url"), "canon_key": url_key(F.col("url")), "final_url": F.when(ok, F.coalesce(has("final_url", "string"), F.col("url"))), "status": F.col("status"),
+        "content_type": F.when(ok, content.header_type(header)), "url_ext": F.when(ok, url_ext(F.col("url"))), "sniffed_type": F.when(ok, content.sniff_type(F.col("content"))),
+        "sha256": F.sha2("content", 256), "rendered_sha256": sha("rendered"), "interacted_sha256": sha("interacted"), "length": F.octet_length("content").cast("bigint"),
+        "headers": F.when(ok, F.col("headers")), "first_seen_depth": F.col("depth"), "retries": F.col("retries"), "idle_timeout": F.when(ok, F.coalesce(has("idle_timeout", "boolean"), F.lit(False))),
+        "blocked_notice": F.when(ok, content.blocked_notice(content.utf8(F.col("content")), rules)), "fetched_at": F.when(ok, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
+    }
+    fields = T.StructType.fromDDL(MANIFEST).fields
+    return captures.select(*((own[f.name] if f.name in own else has(f.name, f.dataType.simpleString())).cast(f.dataType).alias(f.name) for f in fields))
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
