@@ -1,6 +1,9 @@
 """Cases for operators, each a literal input and what is expected of it."""
 
+import hashlib
+import json
 import random
+import re
 import struct
 import zlib
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataweb.functions import content, url
 from strataweb.operators import detect, images, links, metadata, surfaces
-from strataweb.plans import frontier, graph
+from strataweb.plans import frontier, graph, reports
 from strataweb.rules import Rules
 
 M = "MARK{0123456789abcdef}"
@@ -29,7 +32,7 @@ def test_canon_key(spark, raw, key):
 def test_canonical_query_against_the_library(spark):
     rng = random.Random(1)
     rows = ["&".join("".join(rng.choice("ab=%+ ~*&é") for _ in range(rng.randint(0, 6))) for _ in range(3)) for _ in range(300)]
-    rows = [q for q in rows if "%" not in q]
+    rows += ["a=%zz+b%20c", "%", "%4", "%zz=%E4%B8", "x=%ff%41%", "a=1%2B1&a=1+1", "é=%C3%A9"]
     got = spark.createDataFrame([(q,) for q in rows], "q string").select("q", url.canonical_query(F.col("q")).alias("k")).collect()
     for r in got:
         assert r.k == urlencode(sorted(parse_qsl(r.q, keep_blank_values=True)), encoding="utf-8"), r.q
@@ -50,7 +53,7 @@ def test_scope_and_template(spark):
     assert one(spark, url.url_ext, a="http://h/a.PNG?x") == "png" and one(spark, url.url_ext, a="http://h/.env") == ""
 
 
-@pytest.mark.parametrize("body,kind", [(b"\x89PNG\r\n\x1a\nx", "image/png"), (b"GIF89a", "image/gif"), (b"", "text/plain"), (b" <!DOCTYPE html>", "text/html"), (b"<?xml ?><svg/>", "image/svg+xml"), (b"\xff\xfe\x00", "application/octet-stream"), (b'{"a":1}', "application/json"), (b"%PDF-1", "application/pdf")])
+@pytest.mark.parametrize("body,kind", [(b"\x89PNG\r\n\x1a\nx", "image/png"), (b"GIF89a", "image/gif"), (b"", "text/plain"), (b" <!DOCTYPE html>", "text/html"), (b"<?xml ?><svg/>", "image/svg+xml"), (b"\xff\xfe\x00", "application/octet-stream"), (b'{"a":1}', "application/json"), (b"%PDF-1", "application/pdf"), (b"<?xml ?>" + b" " * 612 + b"<svg/>", "application/xml"), (b" " * 600 + b"<html>", "text/plain"), (b"\x00\x01\x00\x00\x00", "font/ttf")])
 def test_sniff(spark, body, kind):
     assert spark.range(1).select(content.sniff_type(F.lit(bytearray(body)))).first()[0] == kind
 
@@ -239,3 +242,226 @@ def test_consensus():
     assert images.consensus([read(3), read(7), read(9)], "MARK") == f"MARK{{{digits}}}"
     assert images.consensus([read(3), read(3), read(9)], "MARK") is None
     assert images.consensus(["MARK", "MARK"], "MARK") is None and images.consensus([f"MARK{{{digits}}}"], "MARK") is None
+
+
+def test_utf16_in_raw_surfaces(spark):
+    """A value behind a character whose bytes aren't UTF-8 is found in the body's very bytes."""
+    body = ("\u82e2" + M).encode("utf-16-le")
+    rows = spark.createDataFrame([(h, h, bytearray(body)) for h in ("html", "code", "text", "json", "xml")], "sha256 string, handler string, content binary")
+    found = surfaces.expanded(rows)
+    assert {bytes(r.data) for r in found.filter("sub = 'raw'").collect()} == {body}
+    got = {r.sha256 for r in detect.sightings(found).filter("strict and how_found = 'raw[utf-16-le]'").collect()}
+    assert got == {"html", "code", "text", "json", "xml"}
+
+
+def test_declared_encodings_and_data_uris():
+    assert surfaces._xml('<?xml version="1.0" encoding="ISO-8859-1"?><a>é</a>') == [("xml_text:a", "é")]
+    assert surfaces.decoded_variants("data:x;base64,QUJD= data:y;base64,QUJDR data:z;base64,QUJDRA==") == [("decoded:data_uri", b"ABC"), ("decoded:data_uri", b"ABCD")]
+
+
+def test_python_is_given_other_bodies_as_null(spark):
+    """In the plan every Python function's argument stands in a CASE."""
+    rows = spark.createDataFrame([("a", "html", bytearray(b"x"))], "sha256 string, handler string, content binary")
+    plan = surfaces.expanded(rows)._jdf.queryExecution().optimizedPlan().toString()
+    links_ = spark.createDataFrame([("http://h/", "a")], "b string, r string").select(url.resolve(F.col("b"), F.col("r")).alias("x"))
+    plan += links_._jdf.queryExecution().optimizedPlan().toString()
+    calls = re.findall(r"(unescape|expand|_decoded|_joined)\(([^\n]{0,60})", plan)
+    assert {n for n, _ in calls} == {"unescape", "expand", "_decoded", "_joined"} and all("CASE WHEN" in x or "_extract" in x or "pythonUDF" in x for _, x in calls)
+
+
+def test_dom_harvest():
+    page = """<base href="/b/"><base href="/c/"><a href="x.html"> one <b>two</b></a><link rel="icon" href="i.ico"><img src="p.png" srcset="a.png 1x, b.png 2x" alt="pic">
+      <div style="background:url('bg.png');mask:url(m.svg)" data-src="img/lazy.jpg" data-n="7" data-u="http://x/y">t</div><script src="s.js">code</script><form action="/go"><input></form>
+      <meta http-equiv="Refresh" content="3; URL=next.html"><video poster="v.png" src="v.mp4"></video><area href="ar"><object data="o.swf">none</object>"""
+    h = links._Harvest()
+    got = [(x["ref"], x["how"], x["hint"]) for x in h.links(page)]
+    assert h.base == "/b/" and got == [
+        ("x.html", "a_href", "one two"), ("i.ico", "link_rel", "icon"), ("p.png", "img_src", ""), ("a.png", "srcset", "pic"), ("b.png", "srcset", "pic"), ("bg.png", "css_url", "inline style"),
+        ("m.svg", "css_url", "inline style"), ("img/lazy.jpg", "data_attr", "data-src"), ("s.js", "script_src", "code"), ("/go", "form_action", ""), ("v.mp4", "video_src", ""),
+        ("v.png", "poster", ""), ("ar", "area_href", ""), ("o.swf", "object_data", "none"), ("next.html", "meta_refresh", "3; URL=next.html"),
+    ]
+    long = links._Harvest().links(f"<a href=x>{'w' * 100}</a><p><a href=y>open")
+    assert [len(x["hint"]) for x in long] == [80, 4]
+
+
+def test_json_links(spark):
+    bodies = [("m", "application/json; charset=utf-8", "", '{"start_url": "/app/", "icons": [{"src": " /i/icon.png "}, {"src": "/i/icon.png"}], "x": "https://other.example/x", "name": "not a url", "rel": "a/b.js"}'),
+              ("s", "", "map", '{"sources": ["../src/admin.js", "webpack://./x.js"]}'), ("bad", "application/json", "", "not json{"), ("no", "text/html", "html", '"/x/"'), ("null", None, None, '"/x/"')]
+    rows = spark.createDataFrame(bodies, "id string, content_type string, ext string, text string").withColumn("base", F.lit("http://h/static/js/a.js.map"))
+    got = {(r.id, r.verbatim) for r in links.json_body_links(rows).collect()}
+    assert got == {("m", "http://h/app/"), ("m", "http://h/i/icon.png"), ("m", "https://other.example/x"), ("s", "http://h/static/src/admin.js")}
+
+
+def test_header_links(spark):
+    headers = {"Link": '</style.css>; rel="stylesheet", <https://x.example/a>; rel=preload', "x-source": 'see "/internal/backup.zip" and /bare/x.zip', "location": "/gone"}
+    rows = spark.createDataFrame([(1, "http://h/p", headers)], "seq long, url string, headers map<string,string>")
+    got = {(r.verbatim, r.how, r.hint) for r in links.header_links(rows).collect()}
+    assert got == {("http://h/style.css", "http_link_header", "stylesheet"), ("https://x.example/a", "http_link_header", "preload"), ("http://h/internal/backup.zip", "http_header:x-source", "")}
+
+
+def test_request_log(spark):
+    log = spark.createDataFrame([("http://h/a", "GET"), ("http://h/a", "POST"), ("http://o/a", "GET"), ("data:x", "GET")], "url string, method string")
+    scope = F.struct(F.lit("http").alias("scheme"), F.lit("h").alias("host"), F.lit(80).alias("port"))
+    assert sorted((r.url, r.blocked) for r in links.blocked_requests(log, scope).collect()) == [("data:x", "out_of_scope"), ("http://h/a", "mutation"), ("http://o/a", "out_of_scope")]
+
+
+def test_accounting(spark):
+    seen = spark.createDataFrame([("a",), ("b",), ("c",)], "canon_key string")
+    states = spark.createDataFrame([("a", "fetched"), ("b", "errored"), ("c", None)], "canon_key string, state string")
+    with pytest.raises(AssertionError, match="'c'"):
+        frontier.assert_accounted(seen, states)
+    frontier.assert_accounted(seen, states.fillna("out_of_scope"))
+    found = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, "b", None)], "seq long, canon_key string, url string")
+    assert sorted(map(tuple, frontier.distinct_keys(found).collect())) == [(1, "a", "y"), (2, "b", None)]
+    assert "partial_min_by" in frontier.distinct_keys(found)._jdf.queryExecution().toString()
+
+
+def test_outcomes(spark):
+    log = [(1, "ok", 200, None), (2, "gone", 404, None), (3, "late", 503, None), (4, "dead", 503, None), (5, "boom", None, "x"), (6, "late", 200, None), (7, "dead", 500, None), (8, "boom", 200, None), (9, "dead", 200, None)]
+    got = {r.canon_key: (r.state, r.retries) for r in frontier.outcomes(spark.createDataFrame(log, "seq long, canon_key string, status int, error string")).collect()}
+    assert got == {"ok": ("fetched", 0), "gone": ("fetched", 0), "late": ("fetched", 0), "dead": ("errored", 2), "boom": ("fetched", 0)}
+
+
+def test_ranks_of_many_parts(spark):
+    """No expression grows with the number of parts, and templates are counted by parts first."""
+    keys = spark.range(500).select((F.col("id") * 7 % 500).alias("seq"), F.lit("t").alias("template"), F.lit(True).alias("in_scope"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        plan = frontier.ranked(keys)._jdf.queryExecution().toString()
+        got = frontier.capped(keys, 400, 333)
+        assert plan.count("CASE WHEN") == 0 and all(r.rank == r.seq + 1 for r in got.collect())
+        assert got.groupBy("state").count().orderBy("state").collect() == [("enqueued", 333), ("global", 100), ("template", 67)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def simulated(root, pages, dom, scans, max_keys, per_template):
+    """A queue, and scans when it is empty."""
+    from collections import deque
+
+    seen, states, depths, taken, queue, scanned, edges, order = {}, {}, {}, {}, deque(), set(), [], []
+    inside = lambda x: x.startswith("http://h/")
+
+    def add(key, depth):
+        if key in seen:
+            return
+        seen[key], depths[key] = len(seen) + 1, depth
+        template = key.removeprefix("http://h").partition("?")[0]
+        if len(seen) > max_keys or taken.get(template, 0) >= per_template:
+            states[key] = "errored"
+        else:
+            taken[template] = taken.get(template, 0) + 1
+            queue.append(key)
+
+    def found(key, depth):
+        if inside(key):
+            add(key, depth)
+        elif key not in seen:
+            seen[key], depths[key], states[key] = len(seen) + 1, depth, "out_of_scope"
+
+    add(root, 0)
+    for x in ["/robots.txt", "/sitemap.xml", "/manifest.json", "/humans.txt", "/.well-known/security.txt", "/favicon.ico"]:
+        edges.append((root, f"http://h{x}", "seed"))
+        add(f"http://h{x}", 1)
+    while True:
+        while queue:
+            key = queue.popleft()
+            if key not in pages:
+                states[key] = "errored"
+                continue
+            states[key] = "fetched"
+            order.append(key)
+            if final := pages[key]:
+                edges.append((key, final, "redirect"))
+                if inside(final):
+                    add(final, depths[key])
+            for dst in dom.get(key, []):
+                edges.append((key, dst, "a_href"))
+                found(dst, depths[key] + 1)
+        n = len(seen)
+        for key in order:
+            if key not in scanned:
+                scanned.add(key)
+                for dst in scans.get(key, []):
+                    if dst not in seen:
+                        edges.append((key, dst, "tier2"))
+                        add(dst, depths[key] + 1)
+        if len(seen) == n and not queue:
+            return {k: (depths[k], seen[k], states[k]) for k in seen}, sorted(edges)
+
+
+@pytest.mark.parametrize("max_keys,per_template", [(2000, 60), (25, 3), (12, 60)])
+def test_crawl_against_a_queue(spark, max_keys, per_template):
+    from strataweb.plans.crawl import crawl
+
+    rng = random.Random(max_keys)
+    names = [f"http://h/{x}" for x in ["", *map(str, range(30))]] + [f"http://h/list?page={k}" for k in range(8)] + [f"http://o/{k}" for k in range(4)]
+    inner = [x for x in names if x.startswith("http://h/")]
+    pages = {x: (rng.choice(names) if rng.random() < 0.15 else None) for x in inner if rng.random() < 0.85 or x == "http://h/"}
+    pages = {x: None if f == x else f for x, f in pages.items()}
+    dom = {x: [rng.choice(names) for _ in range(rng.randint(0, 3))] for x in pages}
+    scans = {x: [rng.choice(inner) for _ in range(rng.randint(0, 2))] for x in pages}
+    frame = lambda links, how: spark.createDataFrame([(s, d, how, "", k) for s, x in links.items() for k, d in enumerate(x)], "src string, dst_url string, how string, hint string, place int")
+    rows = spark.createDataFrame([(x, x, f or x, 302) for x, f in pages.items()], "canon_key string, url string, final_url string, status int")
+    keys, edges = crawl("http://h/", rows, frame(dom, "a_href"), frame(scans, "tier2"), Rules(max_keys=max_keys, max_per_template=per_template))
+    want, want_edges = simulated("http://h/", pages, dom, scans, max_keys, per_template)
+    assert {r.canon_key: (r.depth, r["rank"], r.state) for r in keys.collect()} == want
+    assert sorted((r.src, r.dst, r.how) for r in edges.collect()) == want_edges
+
+
+def test_sources(spark, tmp_path):
+    """Order over files and splits, what a record has, content addressed bodies, documents."""
+    from strataweb.sources import artifacts
+
+    for k in range(4):
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"url": f"http://h/{k}/{i:05}", "sha256": "s"}) + "\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = artifacts.read_jsonl(spark, str(tmp_path), artifacts.MANIFEST)
+        got = [r.url for r in rows.orderBy("seq").select("url").collect()]
+        assert rows.rdd.getNumPartitions() > 8 and got == sorted(got) and len(got) == 12000
+        assert artifacts.first_rows(rows).collect()[0].url == "http://h/0/00000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert artifacts.read_jsonl(spark, f"{tmp_path}/none.jsonl", artifacts.EDGES).count() == 0
+    captures = spark.createDataFrame([("http://h/a.PNG?x", "http://h/b", 200, {"Content-Type": "Image/PNG; q=1"}, bytearray(b"\x89PNG\r\n\x1a\n"), None, 2, 0, bytearray(b"<p>")), ("http://h/x", None, 503, None, None, "timeout", 1, 2, None)],
+                                     "url string, final_url string, status int, headers map<string,string>, content binary, error string, depth int, retries int, rendered binary")
+    one_, two = artifacts.records(captures).orderBy("url").collect()
+    assert (one_.canon_key, one_.final_url, one_.content_type, one_.url_ext, one_.sniffed_type, one_.length, one_.first_seen_depth, one_.idle_timeout, one_.blocked_notice) == ("http://h/a.PNG?x=", "http://h/b", "image/png", "png", "image/png", 8, 2, False, False)
+    assert one_.rendered_sha256 == hashlib.sha256(b"<p>").hexdigest() and one_.interacted_sha256 is None and one_.fetched_at and one_.clicks is None
+    assert (two.sha256, two.content_type, two.error, two.retries, two.status, two.final_url) == (None, None, "timeout", 2, 503, None)
+    artifacts.append_jsonl(artifacts.records(captures), f"{tmp_path}/m")
+    artifacts.append_jsonl(artifacts.records(captures), f"{tmp_path}/m")
+    again = artifacts.read_jsonl(spark, f"{tmp_path}/m", artifacts.MANIFEST)
+    assert again.count() == 4 and artifacts.fetched(again).count() == 2
+    bodies = spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b"b"),)], "content binary")
+    assert {(r.sha256, bytes(r.content)) for r in artifacts.content_addressed(bodies).collect()} == {(hashlib.sha256(x).hexdigest(), x) for x in (b"a", b"b")}
+    (tmp_path / "doc.json").write_text('{\n "expected": 8,\n "secrets": {"a": [1]}\n}')
+    assert artifacts.read_document(spark, f"{tmp_path}/doc.json", "expected int, secrets map<string,array<int>>").first() == (8, {"a": [1]})
+
+
+def test_predicates(spark):
+    ask = lambda f, *v: spark.range(1).select(f(*map(F.lit, v))).first()[0]
+    assert [ask(content.expandable, s, t) for s, t in ((200, "text/html; x"), (299, "text/html"), (404, "text/html"), (200, "text/css"), (None, "text/html"))] == [True, True, False, False, False]
+    assert [ask(content.transient, s, e) for s, e in ((503, None), (404, None), (200, "x"), (None, None))] == [True, False, True, False]
+    assert [ask(url.origin, x) for x in ("http://H:80/a", "https://h/", "http://h:8080/")] == ["http://h", "https://h", "http://h:8080"]
+
+
+def test_duplication_lists_are_bounded(spark):
+    rows = spark.range(50).select(F.col("id").alias("seq"), F.format_string("u%02d", "id").alias("url"), F.format_string("u%02d", "id").alias("canon_key"), F.lit("s").alias("sha256"), F.lit("t").alias("content_type"), F.lit(1).alias("length"))
+    edges = spark.range(30).select(F.format_string("p%02d", "id").alias("src"), F.lit("u00").alias("dst"))
+    r = reports.duplication(rows, edges, 5).first()
+    assert (r.n_urls, r.n_referrers, r.urls, r.referrers) == (50, 30, [f"u0{k}" for k in range(5)], [f"p0{k}" for k in range(5)])
+    assert reports.duplication(rows.filter("seq = 0"), edges.limit(0)).count() == 0
+
+
+def test_ocr_variants(spark):
+    """Only images that are wide or unexplained are read, in three variants."""
+    image = lambda n, h, w: (n, (n, h, w, 3, 16, bytearray(bytes([200] * (h * w * 3 // 2) + [10] * (h * w * 3 - h * w * 3 // 2)))))
+    rows = spark.createDataFrame([image("wide", 10, 30), image("known", 20, 20), image("open", 20, 20)], "sha256 string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    found = spark.createDataFrame([("wide", True), ("known", True), ("open", False)], "sha256 string, strict boolean")
+    some = images.ocr_eligible(rows, found)
+    assert {r.sha256 for r in some.collect()} == {"wide", "open"}
+    got = {(r.sha256, r.variant): r.text for r in images.read_text(some, lambda a: f"{a.shape[0]}x{a.shape[1]} {len(set(a.ravel().tolist()))}").collect()}
+    assert {k: v.split()[0] for k, v in got.items()} == {("wide", "gray"): "10x30", ("wide", "upscaled"): "60x180", ("wide", "binary"): "10x30", ("open", "gray"): "20x20", ("open", "upscaled"): "120x120", ("open", "binary"): "20x20"}
+    assert got["open", "binary"].endswith(" 2") and images.read_text(some).count() == 0
