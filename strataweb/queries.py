@@ -5,17 +5,19 @@ Pages stand in for fetched rows (url, html), documents for bodies, and links in
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import content as ct
 from .functions import url as u
 from .operators import detect, images, links, surfaces
-from .plans import frontier, graph, reports
-from .rules import Rules
+from .plans import crawl, frontier, graph, reports
+from .rules import DECLARED, Rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,10 +79,21 @@ def scope_partition(spark, sf_dir):
     return pages.groupBy((F.coalesce(F.col("s") == scope, F.lit(False))).alias("in_scope")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/][.]([^./]*)$', 1)) AS ext FROM pages UNION ALL SELECT unnest(['png', 'gz', '', '']) AS ext) GROUP BY ext")
+@query("""SELECT ext, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/][.]([^./]*)$', 1)) AS ext FROM pages
+  UNION ALL SELECT unnest(['png', 'gz' || page_id, '', '']) FROM pages) GROUP BY ext""")
 def url_ext_counts(spark, sf_dir):
-    more = spark.createDataFrame([("http://h/a/b.PNG?x=1",), ("http://h/a.tar.gz",), ("http://h/.env",), ("http://h/a.b/c",)], "url string")
-    return reports.counts(table(spark, sf_dir, "pages").select("url").union(more).select(u.url_ext(F.col("url")).alias("ext")), "ext")
+    pages = table(spark, sf_dir, "pages")
+    made = ("http://h/a/b{}.PNG?x=1", "http://h/a.tar.gz{}#x", "http://h/.env{}", "http://h/a.b/c{}")
+    urls = F.array("url", *(F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b)) for a, b in (x.split("{}") for x in made)))
+    return reports.counts(pages.select(F.explode(urls).alias("url")).select(u.url_ext(F.col("url")).alias("ext")), "ext")
+
+
+@query("SELECT page_id, 'http://h' || page_id || '/p?a=1%2B1&b=%25zz+x+' || page_id || '&c=%E4%BD%A0&d=~%2A' AS canon_key FROM pages")
+def canon_escapes(spark, sf_dir):
+    """Queries with escapes, some of which aren't any."""
+    k = F.col("page_id").cast("string")
+    url = F.concat(F.lit("HTTP://H"), k, F.lit(":80/p?b=%zz+x%20"), k, F.lit("&d=%7e*&a=1%2B1&c=%e4%bd%a0#f"))
+    return table(spark, sf_dir, "pages").select("page_id", u.canon_key(url).alias("canon_key"))
 
 
 @query(f"SELECT {HOST} AS host, sum(len(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)))::BIGINT AS n FROM pages GROUP BY ALL")
@@ -121,11 +134,13 @@ def comment_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(surfaces.line_comments(F.concat_ws("\n", "url", "html"))).alias("line"))
 
 
-@query()
+@query(r"""SELECT page_id, unnest(list_concat(regexp_extract_all(s, '"((?:\\.|[^"\\])*)"', 1), [page_id || '"', 'x' || page_id])) AS literal
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1)) AS s FROM pages)""")
 def string_literals(spark, sf_dir):
-    """A back reference is beyond the oracle's patterns."""
+    """Scripts have double quotes alone; literals in other quotes are put behind each."""
     scripts = table(spark, sf_dir, "pages").select("page_id", F.explode(surfaces.inline(F.col("html"), "script")).alias("s"))
-    return scripts.select("page_id", F.explode(surfaces.string_literals(F.col("s"))).alias("literal"))
+    text = F.concat("s", F.lit(";a='"), "page_id", F.lit("\"';b=`x"), "page_id", F.lit("`"))
+    return scripts.select("page_id", F.explode(surfaces.string_literals(text)).alias("literal"))
 
 
 @query(f"SELECT page_id, href, count(*)::BIGINT AS n FROM (SELECT page_id, unnest({HREFS}) AS href FROM pages) GROUP BY ALL")
@@ -146,19 +161,51 @@ def byte_scan_root_ext(spark, sf_dir):
     return found.select("page_id", "h.ref").distinct().agg(F.count("*").alias("n"))
 
 
-@query()
+SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+#: The page's folder, which relative references begin in.
+FOLDER = f"({SITE} || coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1), ''), '/'))"
+
+
+@query(f"""WITH p AS (SELECT page_id AS id, {SITE} AS site, {FOLDER} AS folder FROM pages)
+SELECT id, folder || 'm' || id || '.js.map' AS verbatim, 2 AS tier, 'm' || id || '.js.map' AS ref, 'sourcemap' AS how, '' AS hint FROM p
+UNION ALL SELECT id, folder || 'i' || id || '.gif', 2, 'i' || id || '.gif', 'css_url', '' FROM p UNION ALL SELECT id, folder || 'c' || id || '.css', 2, 'c' || id || '.css', 'css_url', '' FROM p
+UNION ALL SELECT id, site || '/abs' || id, 1, site || '/abs' || id, 'regex_fallback', 'tier1' FROM p UNION ALL SELECT id, site || '/x/b' || id || '.js', 2, '/x/b' || id || '.js', 'regex_fallback', 'tier2' FROM p
+UNION ALL SELECT id, site || '/r' || id || '/s/', 2, '/r' || id || '/s/', 'regex_fallback', 'tier2' FROM p UNION ALL SELECT id, folder || 'd/p' || id || '.png', 3, 'd/p' || id || '.png', 'regex_fallback', 'tier3' FROM p
+UNION ALL SELECT id, site || '/no' || id, 2, '/no' || id, 'regex_fallback', 'tier2' FROM p UNION ALL SELECT id, site || '/loc' || id, 2, site || '/loc' || id, 'regex_fallback', 'tier2' FROM p
+UNION ALL SELECT id, folder || 'reports/m' || id, -1, 'reports/m' || id, 'regex_fallback', 'tier-1' FROM p""")
 def byte_scan(spark, sf_dir):
-    url = F.col("url")
-    bodies = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("base"), F.col("html").alias("text"), u.scope(url).alias("scope"))
+    """Pages with a reference of each pattern before them, and one that is out of scope."""
+    url, site = F.col("url"), F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    forms = "//# sourceMappingURL=m{k}.js.map\nurl(i{k}.gif) @import \"c{k}.css\" \"{site}/abs{k}\" '/x/b{k}.js' \"/r{k}/s/\" `d/p{k}.png`\nDisallow: /no{k}\n<loc>{site}/loc{k}</loc> load(\"reports/m{k}\") \"http://elsewhere.example/{k}\"\n"
+    text = F.replace(F.replace(F.lit(forms), F.lit("{k}"), F.col("page_id").cast("string")), F.lit("{site}"), site)
+    bodies = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("base"), F.concat(text, "html").alias("text"), u.scope(url).alias("scope"))
     return links.byte_scan(bodies)
 
 
-@query()
+HARVEST = '<img src="/i{k}.png" alt="x"><div style="background:url(/b{k}.png)" data-src="img/{k}.jpg"><link rel="icon" href="/f{k}.ico"><meta http-equiv="refresh" content="3; url=/n{k}"></div>'
+PLAIN = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, {PLAIN.format('ref')} AS ref, 'a_href' AS how, {PLAIN.format('hint')} AS hint FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS ref, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS hint FROM pages)
+UNION ALL SELECT page_id, '/i' || page_id || '.png', 'img_src', '' FROM pages UNION ALL SELECT page_id, '/b' || page_id || '.png', 'css_url', 'inline style' FROM pages
+UNION ALL SELECT page_id, 'img/' || page_id || '.jpg', 'data_attr', 'data-src' FROM pages UNION ALL SELECT page_id, '/f' || page_id || '.ico', 'link_rel', 'icon' FROM pages
+UNION ALL SELECT page_id, '/n' || page_id, 'meta_refresh', '3; url=/n' || page_id FROM pages""")
 def dom_harvest(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(links.harvested(F.col("html"))["links"]).alias("x"))
+    """Pages with references of other kinds behind them."""
+    more = F.replace(F.lit(HARVEST), F.lit("{k}"), F.col("page_id").cast("string"))
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(links.harvested(F.concat("html", more))["links"]).alias("x"))
     return found.select("page_id", "x.ref", "x.how", "x.hint")
 
 
+@query("""SELECT page_id, unnest(['http://h/j/' || page_id, 'https://o/' || page_id, 'http://h/r' || page_id]) AS verbatim FROM pages WHERE page_id % 2 = 0""")
+def json_links(spark, sf_dir):
+    """Bodies of JSON made of the pages' ids; those of other types aren't looked through."""
+    k = F.col("page_id").cast("string")
+    text = F.to_json(F.struct(F.concat(F.lit("/j/"), k).alias("a"), F.array(F.concat(F.lit("https://o/"), k), F.concat(F.lit("/j/"), k)).alias("b"), F.struct(F.concat(F.lit("../r"), k).alias("d"), k.alias("e")).alias("c")))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("http://h/x/y.json").alias("base"), F.when(F.col("page_id") % 2 == 0, "application/json").otherwise("text/css").alias("content_type"), F.lit("").alias("ext"), text.alias("text"))
+    return links.json_body_links(rows).select(F.col("id").alias("page_id"), "verbatim")
+
+
 @query("SELECT 'json_value:$.k' AS sub, props->>'$.k' AS data, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def json_walk(spark, sf_dir):
     as_text = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k")))
@@ -177,11 +224,21 @@ def base64_decoded(spark, sf_dir):
     return found.select("doc_id", "run", F.md5(F.try_to_binary("run", F.lit("base64"))).alias("md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'percent', 'MARK'), (2, 'css_escape', 'MARK'), (3, 'js_escape', 'MARK'), (4, 'js_escape', 'MARK'), (5, 'js_escape', 'MARK'), (6, 'html_entities', 'MARK'), (7, 'data_uri', 'MARK')) AS t(id, sub, data)")
+@query("""SELECT page_id, form, CASE WHEN form IN ('hex', 'codes', 'applied', 'named') THEN 'js_escape' ELSE form END AS sub, 'MARK' || lpad(page_id::VARCHAR, 8, '0') AS data
+  FROM pages, unnest(['percent', 'css_escape', 'hex', 'codes', 'applied', 'named', 'html_entities', 'data_uri']) AS t(form)""")
 def escapes(spark, sf_dir):
-    rows = [(1, "x=%4D%41%52%4B;"), (2, r"\4D \41 \52 \4B"), (3, r"\x4D\x41\u0052\x4B"), (4, "String.fromCharCode(77, 65,82,75)"), (5, "var q=[77,65,82,75]; String.fromCharCode.apply(null, q)"), (6, "&#77;&#65;&#x52;&#75;"), (7, "data:text/plain;base64,TUFSSw==")]
-    found = spark.createDataFrame(rows, "id int, body string").select("id", F.explode(surfaces.decoded(F.col("body").cast("binary"))).alias("s"))
-    return found.select("id", F.regexp_replace("s.sub", "decoded:", "").alias("sub"), F.col("s.data").cast("string").alias("data"))
+    """A value for each page, escaped in each way, and decoded."""
+    value = F.concat(F.lit("MARK"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
+    each = lambda before, after: F.regexp_replace(F.hex(value.cast("binary")), "(..)", f"{before}$1{after}")
+    codes = F.array_join(F.transform(F.filter(F.split(value, ""), lambda x: x != ""), F.ascii), ", ")
+    forms = {
+        "percent": each("%", ""), "css_escape": each(r"\\", " "), "hex": each(r"\\x", ""), "codes": F.concat(F.lit("String.fromCharCode("), codes, F.lit(")")),
+        "applied": F.concat(F.lit("String.fromCharCode.apply(null, ["), codes, F.lit("])")), "named": F.concat(F.lit("var q = ["), codes, F.lit("]; String.fromCharCode.apply(null, q)")),
+        "html_entities": each("&#x", ";"), "data_uri": F.concat(F.lit("data:text/plain;base64,"), F.base64(value.cast("binary"))),
+    }
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("body")) for k, v in forms.items()))).alias("f"))
+    found = rows.select("page_id", "f.form", F.explode(surfaces.decoded(F.col("f.body").cast("binary"))).alias("s"))
+    return found.select("page_id", "form", F.regexp_replace("s.sub", "decoded:", "").alias("sub"), F.col("s.data").cast("string").alias("data"))
 
 
 @query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}', 1)) AS value FROM documents")
@@ -189,15 +246,24 @@ def marker_strict(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 1)).alias("value"))
 
 
-@query("""SELECT bucket, count(*)::BIGINT AS n FROM (SELECT unnest(['strict', 'strict', 'strict', 'needs_review', 'ruled_out', 'ruled_out']) AS bucket
+@query("""SELECT bucket, count(*)::BIGINT AS n FROM (SELECT unnest(['strict', 'strict', 'strict', 'needs_review', 'ruled_out', 'ruled_out']) AS bucket FROM pages
   UNION ALL SELECT 'strict' FROM (SELECT unnest(regexp_extract_all(text, '(token = \"[0-9a-f]{40}\")', 1)) FROM documents)) GROUP BY bucket""")
 def marker_buckets(spark, sf_dir):
-    own = [("MARK{0123456789abcdef}",), ("MARK{0123456789ABCDEF}",), ("MARK { 0123456789abcdef }",), ("MARK{junk}",), ("MARK{aaaaaaaaaaaaaaaa}",), ("MARK{16 hexadecimal digits}",)]
-    body = F.concat(F.lit("MARK{"), F.substring("v", 1, 16), F.lit("}"))
-    tokens = marker_strict(spark, sf_dir).select(F.col("value").alias("v")).select(body.alias("t"))
-    rows = spark.createDataFrame(own, "t string").union(tokens).select(F.lit("text").alias("sub"), F.col("t").cast("binary").alias("data"))
-    found = detect.sightings(rows, Rules(excluded={"MARK{aaaaaaaaaaaaaaaa}": "worked example"}))
-    return reports.counts(found, "bucket")
+    """For each page hits of every kind, made of its id; and the documents' tokens as hits."""
+    digits = F.lpad(F.hex("page_id"), 16, "0")
+    forms = [F.concat(F.lit(a), x, F.lit(b)) for a, x, b in (("MARK{", F.lower(digits), "}"), ("MARK{", digits, "}"), ("MARK { ", digits, " }"), ("MARK{junk", digits, "}"), ("MARK{aaaaaaaaaaaaaaaa}", digits, ""), ("MARK{16 hexadecimal digits}", digits, ""))]
+    own = table(spark, sf_dir, "pages").select(F.explode(F.array(*forms)).alias("t"))
+    tokens = marker_strict(spark, sf_dir).select(F.concat(F.lit("MARK{"), F.substring("value", 1, 16), F.lit("}")).alias("t"))
+    rows = own.union(tokens).select(F.lit("text").alias("sub"), F.col("t").cast("binary").alias("data"))
+    return reports.counts(detect.sightings(rows, Rules(excluded={"MARK{aaaaaaaaaaaaaaaa}": "worked example"})), "bucket")
+
+
+@query("SELECT doc_id, 'raw[utf-16-le]' AS how_found, 'MARK{' || substr(md5(doc_id::VARCHAR), 1, 16) || '}' AS canonical FROM documents")
+def utf16_markers(spark, sf_dir):
+    """Documents in UTF-16 with a value behind a character whose bytes aren't UTF-8, found in their raw surfaces."""
+    text = F.concat(F.lit("苢MARK{"), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16), F.lit("} "), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sha256"), F.lit("text").alias("handler"), F.encode(text, "UTF-16LE").alias("content"))
+    return detect.sightings(surfaces.expanded(rows)).filter("strict").select(F.col("sha256").alias("doc_id"), "how_found", "canonical")
 
 
 @query("SELECT sha256(text) AS sha256, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -217,7 +283,7 @@ SELECT sha256, urls::BIGINT AS urls, referrers::BIGINT AS referrers, CASE WHEN u
 def duplication_case(spark, sf_dir):
     rows = _bodies(spark, sf_dir)
     edges = rows.select(F.col("source").alias("src"), F.col("canon_key").alias("dst"))
-    return reports.duplication(rows, edges).select("sha256", F.size("urls").cast("bigint").alias("urls"), F.size("referrers").cast("bigint").alias("referrers"), "case")
+    return reports.duplication(rows, edges).select("sha256", F.col("n_urls").alias("urls"), F.col("n_referrers").alias("referrers"), "case")
 
 
 @query("""WITH r AS (SELECT source, doc_id, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
@@ -336,53 +402,98 @@ def header_dedup(spark, sf_dir):
     return detect.header_sightings(rows).select("how_found", "seq", "canonical", "canon_key")
 
 
-@query("SELECT 1 AS page_id, 'http_header:link' AS how, 'next' AS hint, 'http://h/2' AS verbatim UNION ALL SELECT 1, 'http_header:link', '', 'http://h/x/y' UNION ALL SELECT 1, 'http_header:x-next', '', 'https://o/z'")
+@query(f"""WITH p AS (SELECT page_id, {SITE} AS site, {FOLDER} AS folder FROM pages)
+SELECT page_id, 'http_link_header' AS how, 'next' AS hint, site || '/p' || page_id AS verbatim FROM p UNION ALL SELECT page_id, 'http_link_header', '', folder || 'x' || page_id FROM p
+UNION ALL SELECT page_id, 'http_header:x-next', '', 'https://o' || page_id || '/z' FROM p UNION ALL SELECT page_id, 'http_header:x-next', '', site || '/f' || page_id || '.zip' FROM p""")
 def header_links(spark, sf_dir):
-    headers = F.create_map(F.lit("link"), F.lit('</2>; rel="next", <y>'), F.lit("x-next"), F.lit("https://o/z"), F.lit("location"), F.lit("/gone"))
-    rows = spark.range(1, 2).select(F.col("id").alias("seq"), F.lit("http://h/x/1").alias("url"), headers.alias("headers"))
-    return links.header_links(rows).select(F.col("seq").cast("int").alias("page_id"), "how", "hint", "verbatim")
+    """Headers made of the pages' ids."""
+    k = F.col("page_id").cast("string")
+    made = lambda x: F.replace(F.lit(x), F.lit("{k}"), k)
+    headers = F.create_map(F.lit("Link"), made('</p{k}>; rel="next", <x{k}>'), F.lit("x-next"), made('at "https://o{k}/z" or "/f{k}.zip", not /g{k}.zip'), F.lit("location"), made('"/gone{k}.zip"'))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url", headers.alias("headers"))
+    return links.header_links(rows).select(F.col("seq").alias("page_id"), "how", "hint", "verbatim")
 
 
-@query("SELECT 'a' AS sha256, 'MARK{0123456789abcdef}' AS canonical UNION ALL SELECT 'b', 'MARK{0123456789abcdef}' UNION ALL SELECT 'c', NULL")
+@query("SELECT page_id::VARCHAR AS sha256, CASE WHEN page_id % 3 < 2 THEN 'MARK{' || substr(md5(page_id::VARCHAR), 1, 16) || '}' END AS canonical FROM pages")
 def ocr_vote(spark, sf_dir):
-    rows = [("a", "gray", "MARK{O123456789abcdef}"), ("a", "up", "MARK{0l23456789abcdef}"), ("a", "bin", "noise"), ("b", "gray", "MARK{0123456789abcdef}"), ("b", "up", "MARK{0123456789abcxef}"), ("b", "bin", "MARK{0123456789abcdxf}"), ("c", "gray", "MARK{0123456789abcdef}")]
-    return images.ocr_consensus(spark.createDataFrame(rows, "sha256 string, variant string, text string"))
-
+    """Three reads of a value for each page: with digits taken for letters, with a place wrong in each, or all different."""
+    own, third = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 16), F.col("page_id") % 3
+    wrong = lambda k: F.concat(F.substring(own, 1, k - 1), F.lit("x"), F.substring(own, k + 1, 16))
+    reads = [
+        ("gray", F.when(third == 0, F.replace(own, F.lit("0"), F.lit("O"))).when(third == 1, wrong(3)).otherwise(F.repeat(F.lit("a"), 16))),
+        ("up", F.when(third == 0, F.replace(own, F.lit("1"), F.lit("l"))).when(third == 1, wrong(7)).otherwise(F.repeat(F.lit("b"), 16))),
+        ("bin", F.when(third == 0, F.lit("noise")).when(third == 1, wrong(9)).otherwise(F.repeat(F.lit("c"), 16))),
+    ]
+    passes = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.concat(F.lit("MARK{"), x, F.lit("}")).alias("text")) for n, x in reads))).alias("r")
+    return images.ocr_consensus(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("sha256"), passes).select("sha256", "r.*"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _painted(key: pd.Series, value: pd.Series) -> pd.Series:
+    """32 x 32 pixels (BGR) for a key: a ramp, a ramp with the value in the fourth row of its red, or noise."""
+    y, x = np.mgrid[:32, :32]
+    out = []
+    for k, v in zip(key, value):
+        a = np.stack([(1 + k % 4) * (x + y), 4 * y, 4 * x], 2).astype(np.uint8)
+        if k % 3 == 1:
+            a[:, :, 2].reshape(-1)[100 : 100 + len(v)] = list(v.encode())
+        out.append(a.tobytes() if k % 3 < 2 else np.random.default_rng(k).integers(0, 256, a.shape).astype(np.uint8).tobytes())
+    return pd.Series(out)
 
-def _ramps(spark: SparkSession) -> DataFrame:
-    """A ramp, a ramp with a payload from its corner on, and a plane of hashes, as image structs (BGR)."""
-    import numpy as np
 
-    y, x = np.mgrid[:32, :32]
-    clean = np.stack([2 * (x + y), 4 * y, 4 * x], 2).astype(np.uint8)
-    marked = clean.copy()
-    marked[:, :, 2].reshape(-1)[100:122] = list(b"MARK{0123456789abcdef}")
-    noise = np.array([zlib.crc32(bytes([k % 256, k // 256])) % 256 for k in range(32 * 32 * 3)], np.uint8).reshape(32, 32, 3)
-    rows = [(n, (n, 32, 32, 3, 16, bytearray(a.tobytes()))) for n, a in (("clean", clean), ("marked", marked), ("noise", noise))]
-    return spark.createDataFrame(rows, "sha256 string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each nation, as Spark's image struct."""
+    key = F.col("n_nationkey").cast("long")
+    value = F.concat(F.lit("MARK{"), F.substring(F.md5(key.cast("string").cast("binary")), 1, 16), F.lit("}"))
+    parts = [key.cast("string").alias("origin"), *(F.lit(v).alias(n) for n, v in (("height", 32), ("width", 32), ("nChannels", 3), ("mode", 16))), _painted(key, value).alias("data")]
+    return table(spark, sf_dir, "nation").select(key.cast("string").alias("sha256"), F.struct(*parts).alias("image"))
 
 
-@query("SELECT sha256, 376::BIGINT AS candidates_tried, hits::BIGINT AS candidates_with_hits, ruling FROM (VALUES ('clean', 0, 'swept-and-clean'), ('marked', 2, 'payload-found'), ('noise', 0, 'swept-and-clean')) AS t(sha256, hits, ruling)")
+@query("""SELECT n_nationkey::VARCHAR AS sha256, 376::BIGINT AS candidates_tried, CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 0 END::BIGINT AS candidates_with_hits,
+  CASE WHEN n_nationkey % 3 = 1 THEN 'payload-found' ELSE 'swept-and-clean' END AS ruling, CASE WHEN n_nationkey % 3 = 1 THEN 'MARK{' || substr(md5(n_nationkey::VARCHAR), 1, 16) || '}' END AS canonical FROM nation""")
 def pixel_grid(spark, sf_dir):
-    return images.reports(images.sweep(_ramps(spark)))
+    """Values in a part of a row of red pixels, which two scan orders run along: rows and the border's rings."""
+    swept = images.sweep(_images(spark, sf_dir))
+    found = images.pixel_sightings(swept).filter("strict").select("sha256", "canonical").distinct()
+    return images.reports(swept).join(found, "sha256", "left")
 
 
-@query("SELECT sha256, is_ramp FROM (VALUES ('clean', true), ('marked', false), ('noise', false)) AS t(sha256, is_ramp)")
+@query("SELECT n_nationkey::VARCHAR AS sha256, n_nationkey % 3 = 0 AS is_ramp, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE -1 END::INTEGER AS deviating_px, CASE WHEN n_nationkey % 3 = 0 THEN 'ramp' ELSE 'no ramp' END AS explanation FROM nation")
 def plane_fit(spark, sf_dir):
-    return images.fits(_ramps(spark)).select("sha256", "is_ramp")
+    return images.fits(_images(spark, sf_dir)).select("sha256", "is_ramp", "deviating_px", "explanation")
 
 
-@query("SELECT * FROM (VALUES (1, 'xml_text:b', 'x'), (1, 'xml_comment', ' n '), (2, 'csv_cell:r0c0', 'a'), (2, 'csv_cell:r0c1', 'b,c'), (3, 'sourcemap:s.js', 'code'), (3, 'raw', '{\"sources\":[\"s.js\"],\"sourcesContent\":[\"code\"]}'), (4, 'raw', '<a><b>')) AS t(id, sub, data)")
+@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t FROM part)
+SELECT id, 'xml_text:b' AS sub, b AS data FROM p UNION ALL SELECT id, 'xml_comment', ' ' || t || ' ' FROM p UNION ALL SELECT id, 'raw', '<a><b>' || b FROM p
+UNION ALL SELECT id, 'csv_cell:r0c0', id::VARCHAR FROM p UNION ALL SELECT id, 'csv_cell:r0c1', b || ',' || t FROM p UNION ALL SELECT id, 'csv_cell:r1c0', t FROM p
+UNION ALL SELECT id, 'sourcemap:s' || id || '.js', t FROM p UNION ALL SELECT id, 'sourcemap:sourcesContent[1]', b FROM p
+UNION ALL SELECT id, 'raw', '{"sources":["s' || id || '.js"],"sourcesContent":["' || t || '","' || b || '"]}' FROM p""")
 def structured_surfaces(spark, sf_dir):
-    rows = [(1, "xml", "<a><b>x</b><!-- n --></a>"), (2, "csv", 'a,"b,c"'), (3, "sourcemap", '{"sources":["s.js"],"sourcesContent":["code"]}'), (4, "xml", "<a><b>")]
-    found = surfaces.expanded(spark.createDataFrame(rows, "sha256 int, handler string, body string").select("sha256", "handler", F.col("body").cast("binary").alias("content")))
+    """Bodies made of the parts' columns: XML, XML that breaks off, CSV and source maps."""
+    made = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{b}"), F.col("p_brand")), F.lit("{t}"), F.col("p_type"))
+    forms = [("xml", "<a><b>{b}</b><!-- {t} --></a>"), ("xml", "<a><b>{b}"), ("csv", '{k},"{b},{t}"\n{t},\n'), ("sourcemap", '{"sources":["s{k}.js"],"sourcesContent":["{t}","{b}"]}')]
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sha256"), F.explode(F.array(*(F.struct(F.lit(h).alias("handler"), made(x).cast("binary").alias("content")) for h, x in forms))).alias("f"))
+    found = surfaces.expanded(rows.select("sha256", "f.*"))
     return found.select(F.col("sha256").alias("id"), "sub", F.col("data").cast("string").alias("data"))
 
 
 PAGE_BUCKETS = ["strict", "needs_review", "ruled_out"]
-
-
-@query()
+#: Pages have no single quotes, escapes, or comments in scripts and styles; payloads in base64 are taken to hold no hit.
+SURFACES = f"""WITH d AS (SELECT DISTINCT html FROM pages),
+script AS (SELECT unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1)) AS x FROM d), style AS (SELECT unnest(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1)) AS x FROM d),
+attr AS (SELECT unnest(regexp_extract_all({STRIPPED}, '([\\w:-]+)\\s*=\\s*"([^"]*)"', 1)) AS name, unnest(regexp_extract_all({STRIPPED}, '([\\w:-]+)\\s*=\\s*"([^"]*)"', 2)) AS x FROM d),
+s AS (SELECT 'raw' AS sub, html AS x FROM d UNION ALL SELECT 'html_comment', unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) FROM d
+  UNION ALL SELECT 'html_text', replace(replace(replace(replace(regexp_replace({STRIPPED}, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') FROM d
+  UNION ALL SELECT 'html_attr:' || lower(name), x FROM attr WHERE x <> '' UNION ALL SELECT 'inline_script:raw', x FROM script UNION ALL SELECT 'inline_style:raw', x FROM style
+  UNION ALL SELECT 'inline_script:string_literal', unnest(regexp_extract_all(x, '"([^"]*)"', 1)) FROM script UNION ALL SELECT 'inline_script:comment_line', unnest(regexp_extract_all(x, '(//[^\\n]*)', 1)) FROM script
+),
+run AS (SELECT unnest(regexp_extract_all(html, '([A-Za-z0-9+/]{{32,}}={{0,2}})', 1)) AS x FROM d),
+t AS (SELECT sub, x, octet_length(encode(x)) AS size FROM s UNION ALL SELECT 'decoded:base64', '', octet_length(from_base64(x)) FROM run WHERE length(x) % 4 = 0)"""
+
+
+@query(f"""{SURFACES}
+SELECT sub, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes, sum(len(regexp_extract_all(x, 'p\\{{[0-9a-f]{{16}}\\}}')))::BIGINT AS strict,
+  sum(len(regexp_extract_all(x, 'p\\s*\\{{[^}}]{{0,80}}\\}}')) - len(regexp_extract_all(x, 'p\\{{[0-9a-f]{{16}}\\}}')))::BIGINT AS needs_review, 0::BIGINT AS ruled_out FROM t GROUP BY sub""")
 def page_sightings(spark, sf_dir):
     """By surface, of all pages: their number and bytes, and the sightings of a pattern that page texts hold, by bucket."""
     bodies = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("sha256"), F.lit("html").alias("handler"), F.col("html").cast("binary").alias("content")).dropDuplicates(["sha256"])
@@ -392,9 +503,39 @@ def page_sightings(spark, sf_dir):
     return found.groupBy("sub").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes")).join(hits, "sub", "left").fillna(0, PAGE_BUCKETS)
 
 
-@query()
+@query(f"""{BFS}, n AS (SELECT src AS node FROM {EDGES} UNION SELECT dst FROM {EDGES})
+SELECT 0::INTEGER AS place, 'digraph site {{' AS line UNION ALL SELECT 1, '  rankdir=LR;' UNION ALL SELECT 2, '  node [fontname="Helvetica"];' UNION ALL SELECT 5, '}}'
+UNION ALL SELECT 3, '  "' || node || '" [label="' || node || coalesce('\\n(d=' || depth || ')', '') || '", shape=ellipse, style=filled, fillcolor="' || CASE WHEN node LIKE '/%' THEN 'lightblue' ELSE 'white' END || '"];' FROM n LEFT JOIN d USING (node)
+UNION ALL SELECT 4, '  "' || src || '" -> "' || dst || '" [label="' || how || '", color=' || CASE how WHEN 'a_href' THEN 'black, style=solid' WHEN 'script_src' THEN 'darkorange, style=solid' ELSE 'darkgreen, style=dashed' END || '];' FROM {EDGES}""")
 def dot_export(spark, sf_dir):
     edges = _edges(spark, sf_dir).select("src", "dst", "how")
     depths = _depths(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(depths, "node", "left")
     return graph.dot_lines(nodes.select("node", F.lit("fetched").alias("state"), F.when(F.col("node").startswith("/"), "text/html").otherwise("").alias("content_type"), "depth"), edges)
+
+
+SEEDED = [f"http://h{x}" for x in DECLARED]
+#: Page k refers to 2k + 1 and 2k + 2, as in a heap; a scan of every tenth one finds a key of its own.
+TREE = """WITH c AS (SELECT count(*) AS n FROM pages), k AS (SELECT k, floor(log2(k + 1))::INTEGER AS depth, k < n AS captured FROM c, unnest(generate_series(0, 2 * n)) AS t(k))"""
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A crawl of a site with a page for each page, numbered from 0 as they are."""
+    key = lambda x: F.concat(F.lit("http://h/"), x.cast("string"))
+    rows = frontier.ranked(table(spark, sf_dir, "pages").select("page_id"), "page_id").select((F.col("rank") - 1).alias("k"))
+    captured = rows.select(key(F.col("k")).alias("canon_key"), key(F.col("k")).alias("url"), key(F.col("k")).alias("final_url"), F.lit(200).alias("status"))
+    dom = rows.select(key(F.col("k")).alias("src"), F.posexplode(F.array(key(2 * F.col("k") + 1), key(2 * F.col("k") + 2))).alias("place", "dst_url"), F.lit("a_href").alias("how"), F.lit("").alias("hint"))
+    scanned = rows.filter("k % 10 = 0").select(key(F.col("k")).alias("src"), F.concat(F.lit("http://h/s"), F.col("k").cast("string")).alias("dst_url"), F.lit("json_value").alias("how"), F.lit("").alias("hint"), F.lit(0).alias("place"))
+    return crawl.crawl("http://h/0", captured, dom, scanned, Rules(max_keys=1 << 60, max_per_template=1 << 60))
+
+
+@query(f"""{TREE} SELECT 'http://h/' || k AS canon_key, depth, CASE WHEN captured THEN 'fetched' ELSE 'errored' END AS state FROM k
+UNION ALL SELECT 'http://h/s' || k, depth + 1, 'errored' FROM k WHERE captured AND k % 10 = 0 UNION ALL SELECT unnest({SEEDED}), 1, 'errored'""")
+def crawl_fixpoint(spark, sf_dir):
+    return _crawled(spark, sf_dir)[0].select("canon_key", "depth", "state")
+
+
+@query(f"""{TREE} SELECT 'http://h/' || k AS src, 'http://h/' || (2 * k + 1 + j) AS dst, 'a_href' AS how, '' AS hint, depth FROM k, unnest([0, 1]) AS t(j) WHERE captured
+UNION ALL SELECT 'http://h/' || k, 'http://h/s' || k, 'json_value', '', depth FROM k WHERE captured AND k % 10 = 0 UNION ALL SELECT 'http://h/0', unnest({SEEDED}), 'seed', 'declared-path', 0""")
+def crawl_edges(spark, sf_dir):
+    return _crawled(spark, sf_dir)[1]
