@@ -132,8 +132,9 @@ m AS (
   FROM doc LEFT JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)),
 r AS (SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repetitive, 100 * n_symbols > 60 * n_words AS symbols, 100 * n_dup_lines > 30 * n_words AS lines FROM m),
 host AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(f::INT)::DOUBLE AS k FROM (SELECT source, unnest(['short', 'repetitive', 'symbols', 'lines']) AS rule, unnest([short, repetitive, symbols, lines]) AS f FROM r) WHERE source IS NOT NULL GROUP BY ALL),
-mean AS (SELECT rule, sum(k) / sum(n) AS p, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) - (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS v FROM host GROUP BY rule),
-prior AS (SELECT rule, p, CASE WHEN v > 1e-12 THEN least(1e6, greatest(2, p * (1 - p) / v - 1)) ELSE 1e6 END AS q FROM mean),
+mean AS (SELECT rule, avg(k / n) AS p, avg(1 / n) AS single, coalesce(var_samp(k / n), 0) AS v FROM host GROUP BY rule),
+spread AS (SELECT rule, p, CASE WHEN p > 0 AND p < 1 AND single < 1 THEN (v / (p * (1 - p)) - single) / (1 - single) ELSE 0 END AS own FROM mean),
+prior AS (SELECT rule, p, CASE WHEN own > 1e-12 THEN least(20, greatest(2, 1 / own - 1)) ELSE 20 END AS q FROM spread),
 bad AS (SELECT DISTINCT source FROM host JOIN prior USING (rule) WHERE (k + p * q) / (n + q) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, NOT (short OR repetitive) AND bad.source IS NULL AS kept
 FROM r LEFT JOIN bad USING (source)

@@ -334,3 +334,24 @@ def test_archive_cut_short(spark, tmp_path):
         f.truncate(size - 20)
     files = spark.createDataFrame([(path, size - 20)], "path string, bytes long")
     assert warc.read(files, 100).count() == warc.read(files).count() == 5
+
+
+def test_quality_sql_on_bad_hosts(spark, tmp_path):
+    """The query's SQL has the operator's prior: they agree where hosts are rejected, small ones among them."""
+    import duckdb
+
+    rng, rows = random.Random(6), []
+    for h, n, bad in (("all bad", 40, 1.0), ("most", 60, 0.7), ("half", 60, 0.5), ("few", 300, 0.05), ("one", 1, 1.0), ("none", 200, 0.0), (None, 30, 0.9), *((f"s{k}", 3, rng.random()) for k in range(30))):
+        for _ in range(n):
+            text = "* " * 40 if rng.random() < bad else " ".join(f"{rng.choice('abc')}{k}" for k in range(30))
+            rows.append((len(rows), rng.choice([text, "short"]) if rng.random() < bad / 2 else text, "en", h, len(text)))
+    spark.createDataFrame(rows, TABLE).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(quality.ORACLE)
+    names = [x[0] for x in found.description]
+    got = quality.op6_quality(spark, str(tmp_path)).select(*names).collect()
+    want = found.fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    rejected = {r[3] for r in rows} - {h for (i, _, _, h, _), k in zip(rows, [r.kept for r in sorted(got, key=lambda r: r.doc_id)]) if k}
+    assert "all bad" in rejected and not rejected & {"few", "none"}
