@@ -1,13 +1,16 @@
-"""Jobs over a capture's folder: python -m strataweb.jobs extract|report|graph ROOT [--out FOLDER]."""
+"""Jobs over a capture's folder: python -m strataweb.jobs extract|report|graph|crawl ROOT [--out FOLDER]."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import content, url
+from .operators import links
 from .plans import extraction, frontier, graph, reports
+from .plans import crawl as crawling
 from .rules import Rules
 from .sources import artifacts
 
@@ -34,13 +37,48 @@ def _states(manifest: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
+def _bodies(manifest: DataFrame, blobs: DataFrame, scope: Column) -> DataFrame:
+    """First rows of bodies that are text, with the text and the scope that links are held against."""
+    rows = artifacts.first_rows(manifest).join(blobs, "sha256").withColumn("text", links.body_text(F.col("content")))
+    return rows.select("seq", "url", "canon_key", "content_type", "url_ext", "text", scope.alias("scope"))
+
+
+def _root(manifest: DataFrame) -> tuple[str, Column]:
+    """The first row's URL, and its scope."""
+    root = manifest.orderBy("seq").first()["url"]
+    return root, url.scope(F.lit(root))
+
+
+def crawl(spark: SparkSession, root: str, out: str, rules: Rules = Rules()) -> None:
+    """Writes keys and edges (folders of JSON lines): what a crawl from the capture's first URL finds again in its pages.
+
+    Pages that can be expanded are harvested as they were rendered, or as they came; the first row of a key is its page.
+    """
+    manifest, blobs = artifacts.read_manifest(spark, root), artifacts.read_blobs(spark, root)
+    if manifest.isEmpty():
+        return
+    start, scope = _root(manifest)
+    first = frontier.distinct_keys(manifest)
+    shown = first.filter(content.expandable(F.col("status"), F.col("content_type"))).withColumn("sha256", F.coalesce("rendered_sha256", "sha256"))
+    pages = shown.join(blobs, "sha256").select("canon_key", F.coalesce("final_url", "url").alias("url"), content.utf8(F.col("content")).alias("html"))
+    scanned = links.scan_links(first.filter("sha256 is not null").withColumn("scope", scope), _bodies(manifest, blobs, scope))
+    got = first.filter("sha256 is not null").select("canon_key", "url", "final_url", "status")
+    keys, edges = crawling.crawl(start, got, links.dom_links(pages), scanned, rules)
+    keys.write.mode("overwrite").json(f"{out}/keys")
+    edges.write.mode("overwrite").json(f"{out}/edges")
+
+
 def report(spark: SparkSession, root: str, out: str, rules: Rules = Rules()) -> None:
     """Writes filetypes.md, coverage.md and, where an extraction has been written to out, submission.md."""
     manifest, edges = artifacts.read_manifest(spark, root), artifacts.read_edges(spark, root)
     reports.write_lines(reports.filetypes_report(manifest), f"{out}/filetypes.md")
     states = _states(manifest, edges)
     frontier.assert_accounted(edges.select(F.col("dst").alias("canon_key")).union(manifest.select("canon_key")), states)
-    reports.write_lines(reports.coverage_report(manifest, edges, states, _depths(manifest, edges)), f"{out}/coverage.md")
+    review = None
+    if not manifest.isEmpty():
+        bodies = _bodies(manifest, artifacts.read_blobs(spark, root), _root(manifest)[1])
+        review = links.review(bodies.select(F.col("seq").alias("id"), F.col("url").alias("base"), "scope", "text")).orderBy("ref")
+    reports.write_lines(reports.coverage_report(manifest, edges, states, _depths(manifest, edges), review), f"{out}/coverage.md")
     tables = {n: spark.read.parquet(f"{out}/tables/{n}") for n in ("secrets", "divergences", "ruled_out", "needs_review", "images")}
     tables["images"] = tables["images"].select("url", "format", "candidates_tried", "candidates_with_hits", "ruling").orderBy("url")
     reports.write_lines(reports.submission_report(manifest, edges, tables, rules.expected), f"{out}/submission.md")
@@ -60,13 +98,13 @@ def dot(spark: SparkSession, root: str, out: str, rules: Rules = Rules()) -> Non
 
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=["extract", "report", "graph"])
+    p.add_argument("job", choices=["extract", "report", "graph", "crawl"])
     p.add_argument("root")
     p.add_argument("--out")
     p.add_argument("--prefix", default=Rules.prefix)
     p.add_argument("--expected", type=int, default=Rules.expected)
     a = p.parse_args()
-    {"extract": extract, "report": report, "graph": dot}[a.job](SparkSession.builder.getOrCreate(), a.root, a.out or a.root, Rules(prefix=a.prefix, expected=a.expected))
+    {"extract": extract, "report": report, "graph": dot, "crawl": crawl}[a.job](SparkSession.builder.getOrCreate(), a.root, a.out or a.root, Rules(prefix=a.prefix, expected=a.expected))
 
 
 if __name__ == "__main__":

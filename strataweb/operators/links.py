@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.content import json_scannable
+from ..functions.content import json_scannable, latin1
 from ..functions.url import in_scope, resolve
 from ..rules import ATTRIBUTES, TAGS
 from .surfaces import json_surfaces
@@ -91,17 +91,31 @@ def json_body_links(bodies: DataFrame) -> DataFrame:
     return json_links(found.select("id", "base", F.col("s.data").alias("value")))
 
 
-def scan_links(rows: DataFrame) -> DataFrame:
-    """(src, dst_url, how, hint, place) of fetched rows (seq, url, canon_key, content_type, url_ext, headers, text, scope, depth): headers,
-    then patterns in the body, then JSON strings, all in scope. A body is to be in one row."""
-    head = header_links(rows).join(rows.select("seq", "scope"), "seq").filter(in_scope(F.col("verbatim"), F.col("scope")))
-    head = head.select("seq", F.col("verbatim").alias("dst_url"), "how", "hint", F.lit(0).alias("place"))
-    body = byte_scan(rows.select(F.col("seq").alias("id"), F.col("url").alias("base"), "scope", "text")).filter("tier > 0")
-    body = body.select(F.col("id").alias("seq"), F.col("verbatim").alias("dst_url"), "how", "hint", F.lit(1).alias("place"))
-    json = json_body_links(rows.select(F.col("seq").alias("id"), F.col("url").alias("base"), "content_type", F.col("url_ext").alias("ext"), "text"))
-    json = json.join(rows.select(F.col("seq").alias("id"), "scope"), "id").filter(in_scope(F.col("verbatim"), F.col("scope")))
-    json = json.select(F.col("id").alias("seq"), F.col("verbatim").alias("dst_url"), F.lit("json_value").alias("how"), F.lit("").alias("hint"), F.lit(2).alias("place"))
-    return head.unionByName(body).unionByName(json).join(rows.select("seq", F.col("canon_key").alias("src")), "seq").select("seq", "src", "dst_url", "how", "hint", "place")
+def body_text(content: Column) -> Column:
+    """A body as UTF-8, or if it isn't, a character for each byte."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin1(content))
+
+
+def scan_links(heads: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(src, dst_url, how, hint, place) in scope that headers, then patterns in bodies, then JSON strings tell of.
+
+    heads (seq, url, canon_key, headers, scope) are each key's first rows, bodies (seq, url, canon_key, content_type,
+    url_ext, text, scope) each body's first rows.
+    """
+    inside = in_scope(F.col("verbatim"), F.col("scope"))
+    own = lambda rows: rows.select(F.col("seq").alias("id"), F.col("canon_key").alias("src"), "scope")
+    head = header_links(heads).withColumnRenamed("seq", "id").join(own(heads), "id").filter(inside).withColumn("kind", F.lit(0))
+    scanned = byte_scan(bodies.select(F.col("seq").alias("id"), F.col("url").alias("base"), "scope", "text")).filter("tier > 0")
+    scanned = scanned.join(own(bodies), "id").withColumn("kind", F.lit(1))
+    values = json_body_links(bodies.select(F.col("seq").alias("id"), F.col("url").alias("base"), "content_type", F.col("url_ext").alias("ext"), "text"))
+    values = values.join(own(bodies), "id").filter(inside).withColumns({"kind": F.lit(2), "how": F.lit("json_value"), "hint": F.lit("")})
+    cols = ["src", F.col("verbatim").alias("dst_url"), "how", "hint", F.struct("kind", F.col("verbatim").alias("url")).alias("place")]
+    return head.select(cols).unionByName(scanned.select(cols)).unionByName(values.select(cols))
+
+
+def review(bodies: DataFrame) -> DataFrame:
+    """(ref), distinct, of bodies for byte_scan that are for review: relative, and without an extension."""
+    return byte_scan(bodies).filter("tier < 0").select("ref").distinct()
 
 
 class _Harvest(HTMLParser):
@@ -183,11 +197,11 @@ def harvested(page: pd.Series) -> pd.DataFrame:
 
 
 def dom_links(pages: DataFrame) -> DataFrame:
-    """(seq, src, dst_url, how, hint, place) of pages (seq, canon_key, url, html): references of the markup, resolved against the page's base."""
-    rows = pages.select("seq", "canon_key", "url", harvested(F.col("html")).alias("h"))
+    """(src, dst_url, how, hint, place) of pages (canon_key, url, html): references of the markup, resolved against the page's base."""
+    rows = pages.select("canon_key", "url", harvested(F.col("html")).alias("h"))
     base = F.coalesce(resolve(F.col("url"), F.col("h.base")), F.col("url"))
-    rows = rows.select("seq", F.col("canon_key").alias("src"), base.alias("base"), F.posexplode("h.links").alias("place", "x"))
-    return rows.select("seq", "src", resolve(F.col("base"), F.col("x.ref")).alias("dst_url"), "x.how", "x.hint", "place").filter("dst_url is not null")
+    rows = rows.select(F.col("canon_key").alias("src"), base.alias("base"), F.posexplode("h.links").alias("place", "x"))
+    return rows.select("src", resolve(F.col("base"), F.col("x.ref")).alias("dst_url"), "x.how", "x.hint", "place").filter("dst_url is not null")
 
 
 def blocked_requests(log: DataFrame, scope: Column) -> DataFrame:

@@ -29,7 +29,7 @@ def crawl(root: str, pages: DataFrame, dom: DataFrame, scanned: DataFrame, rules
     """(keys, edges): what a crawl of root reaches over pages (canon_key, final_url or null), to a fixpoint.
 
     dom (src, dst_url, how, hint, place) are references of expanded pages, scanned (the same) those that scans
-    find in headers and bodies. Keys are discovered in the order of a queue: a page's redirect first, at the
+    find in headers and bodies; place orders a page's. Keys are discovered in the order of a queue: a page's redirect first, at the
     page's own depth, then its references in their order, a level deeper; when the queue is empty, pages that
     are new are scanned, in the order they were fetched. Each key is capped as it is discovered. keys: canon_key,
     depth, rank, and state: fetched, errored (capped, or not captured) or out_of_scope. edges: all of dom's and redirects,

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataweb import rules
 from strataweb.functions import content, url
 from strataweb.operators import detect, images, links, metadata, surfaces
 from strataweb.plans import frontier, graph, reports
@@ -215,6 +216,36 @@ def test_jobs(spark, capture):
     assert '  "http://h/" -> "http://h/a.png" [label="img_src", color=gray40, style=solid];' in lines
 
 
+def test_crawl_job(spark, tmp_path):
+    """From a capture's folder: harvest, redirect, headers, patterns and JSON strings, in the order of a queue."""
+    from strataweb import jobs
+
+    def blob(body):
+        name = hashlib.sha256(body).hexdigest()
+        (tmp_path / "blobs").mkdir(exist_ok=True)
+        (tmp_path / "blobs" / name).write_bytes(body)
+        return name
+
+    page = lambda path, body, kind="text/html", final=None, **more: {"url": f"http://h{path}", "canon_key": f"http://h{path}", "final_url": f"http://h{final or path}", "status": 200, "content_type": kind, "url_ext": path.rpartition(".")[2] if "." in path else "", "sha256": blob(body), "headers": {}, **more}
+    rows = [
+        page("/", b'<a href="/a">A</a><a href="http://o/x">out</a><script src="/s.js"></script>', headers={"Link": "</l>; rel=next", "x-y": 'see "/h.zip"'}),
+        page("/a", b"<p>plain</p>", rendered_sha256=blob(b'<base href="/sub/"><a href="deep">D</a>')), page("/s.js", b'load("/js/x.json", "reports/may");', "application/javascript"),
+        page("/js/x.json", b'{"u": "/from/json"}', "application/json"), page("/sub/deep", b"<p>", final="/end"), {"url": "http://h/l", "canon_key": "http://h/l", "status": 503, "error": "x"},
+    ]
+    (tmp_path / "manifest.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    jobs.crawl(spark, str(tmp_path), f"{tmp_path}/out")
+    keys = {r.canon_key: (r.depth, r.state) for r in spark.read.json(f"{tmp_path}/out/keys").collect()}
+    assert {k: v for k, v in keys.items() if v[1] != "errored"} == {"http://h/": (0, "fetched"), "http://h/a": (1, "fetched"), "http://o/x": (1, "out_of_scope"), "http://h/s.js": (1, "fetched"), "http://h/sub/deep": (2, "fetched"), "http://h/js/x.json": (2, "fetched")}
+    assert {k.removeprefix("http://h"): d for k, (d, s) in keys.items() if s == "errored" and k.removeprefix("http://h") not in rules.DECLARED} == {"/l": 1, "/h.zip": 1, "/end": 2, "/from/json": 3}
+    edges = {(r.src.removeprefix("http://h"), r.dst.removeprefix("http://h"), r.how, r.hint) for r in spark.read.json(f"{tmp_path}/out/edges").filter("how <> 'seed'").collect()}
+    assert edges == {("/", "/a", "a_href", "A"), ("/", "http://o/x", "a_href", "out"), ("/", "/s.js", "script_src", ""), ("/a", "/sub/deep", "a_href", "D"), ("/sub/deep", "/end", "redirect", "HTTP 200"),
+                     ("/", "/l", "http_link_header", "next"), ("/", "/h.zip", "http_header:x-y", ""), ("/s.js", "/js/x.json", "regex_fallback", "tier2"), ("/js/x.json", "/from/json", "json_value", "")}
+    (tmp_path / "edges.jsonl").write_text("")
+    manifest = jobs.artifacts.read_manifest(spark, str(tmp_path))
+    bodies = jobs._bodies(manifest, jobs.artifacts.read_blobs(spark, str(tmp_path)), jobs._root(manifest)[1])
+    assert [r.ref for r in links.review(bodies.select(F.col("seq").alias("id"), F.col("url").alias("base"), "scope", "text")).collect()] == ["reports/may"]
+
+
 def test_rulings(spark):
     """Loose hits, decoys and disagreeing pixels, as they rule an image."""
     rows = [("a", "pixel:x", "MARK{0}", "needs_review"), ("b", "img_meta:x", "FRAGMENT:0", "ruled_out"), ("c", "pixel:x", "p", "strict"), ("c", "pixel:y", "q", "strict"), ("d", "pixel:x", "p", "strict"), ("d", "img_meta:x", "q", "strict")]

@@ -10,9 +10,8 @@ def test_oracle(spark, matches, name):
     assert matches(QUERIES[name](spark, SF), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_depths_have_no_bound(spark, tmp_path):
