@@ -108,7 +108,7 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.cast("binary")).alias("md5"), F.length(text).cast("bigint").alias("n"))
 
 
-@query(f"SELECT page_id, length(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))::BIGINT AS n FROM (SELECT page_id, regexp_replace({STRIPPED}, '<[^>]+>', '', 'g') AS x FROM pages)")
+@query(f"SELECT page_id, length(regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g'))::BIGINT AS n FROM (SELECT page_id, regexp_replace({STRIPPED}, '<[^>]+>', '', 'g') AS x FROM pages)")
 def html_text_unescaped(spark, sf_dir):
     text = surfaces.unescape(surfaces.tag_free(F.col("html")))
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("bigint").alias("n"))
@@ -183,7 +183,7 @@ def byte_scan(spark, sf_dir):
 
 
 HARVEST = '<img src="/i{k}.png" alt="x"><div style="background:url(/b{k}.png)" data-src="img/{k}.jpg"><link rel="icon" href="/f{k}.ico"><meta http-equiv="refresh" content="3; url=/n{k}"></div>'
-PLAIN = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+PLAIN = "regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
 @query(f"""SELECT page_id, {PLAIN.format('ref')} AS ref, 'a_href' AS how, {PLAIN.format('hint')} AS hint FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS ref, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS hint FROM pages)
@@ -483,7 +483,7 @@ SURFACES = f"""WITH d AS (SELECT DISTINCT html FROM pages),
 script AS (SELECT unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1)) AS x FROM d), style AS (SELECT unnest(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1)) AS x FROM d),
 attr AS (SELECT unnest(regexp_extract_all({STRIPPED}, '([\\w:-]+)\\s*=\\s*"([^"]*)"', 1)) AS name, unnest(regexp_extract_all({STRIPPED}, '([\\w:-]+)\\s*=\\s*"([^"]*)"', 2)) AS x FROM d),
 s AS (SELECT 'raw' AS sub, html AS x FROM d UNION ALL SELECT 'html_comment', unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) FROM d
-  UNION ALL SELECT 'html_text', replace(replace(replace(replace(regexp_replace({STRIPPED}, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') FROM d
+  UNION ALL SELECT 'html_text', regexp_replace(replace(replace(replace(regexp_replace({STRIPPED}, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') FROM d
   UNION ALL SELECT 'html_attr:' || lower(name), x FROM attr WHERE x <> '' UNION ALL SELECT 'inline_script:raw', x FROM script UNION ALL SELECT 'inline_style:raw', x FROM style
   UNION ALL SELECT 'inline_script:string_literal', unnest(regexp_extract_all(x, '"([^"]*)"', 1)) FROM script UNION ALL SELECT 'inline_script:comment_line', unnest(regexp_extract_all(x, '(//[^\\n]*)', 1)) FROM script
 ),
