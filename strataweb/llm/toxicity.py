@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 0.4, 1.0, 5.0, 1.0, 4
+BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 1.5, 1.0, 12.0, 1.0, 4
 #: Labelled rows that the model is fitted on, at most, chosen by a hash of their ids.
 SAMPLE = 16384
 CUT = 0.3
