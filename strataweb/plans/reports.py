@@ -132,7 +132,7 @@ def coverage_report(manifest: DataFrame, edges: DataFrame, states: DataFrame, de
     yield from section("Blocked notices", manifest.filter("blocked_notice").select("url").orderBy("url"), level=3)
     yield from section("Terminal errors", manifest.filter("error is not null").select("url", "error").orderBy("url"), level=3)
     yield from section("Redirects", redirects(manifest).orderBy("url"), level=3)
-    yield from section("Duplication", duplication(rows, edges).select("sha256", "case", "content_type", "length", "urls", "referrers").orderBy("sha256"))
+    yield from section("Duplication", duplication(rows, edges).orderBy("sha256").select(F.substring("sha256", 1, 16).alias("sha256"), "case", "content_type", "length", "urls", "referrers"))
     yield from ("", "## Residual queues")
     yield from section("Unhandled types", inventory(rows).filter("not handled").select("content_type").orderBy("content_type"), level=3)
     if review is not None:
@@ -161,7 +161,8 @@ def submission_report(manifest: DataFrame, edges: DataFrame, results: dict[str,
     yield from section("Header sightings", found.filter("how_found like 'header:%'").agg(F.count("*").alias("n")))
     yield from section("Candidates over all images", results["images"].agg(F.sum("candidates_tried").alias("candidates_tried")))
     for title, name in (("Divergences", "divergences"), ("Ruled out", "ruled_out"), ("Needs review", "needs_review"), ("Images", "images")):
-        yield from section(title, results[name])
+        rows = results[name]
+        yield from section(title, rows.withColumn("raw", F.substring("raw", 1, 32)) if name == "ruled_out" else rows)
 
 
 #: Pages that a capture left a doubt about.

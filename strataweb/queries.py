@@ -5,6 +5,9 @@ Pages stand in for fetched rows (url, html), documents for bodies, and links in
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +19,9 @@ from pyspark.sql import types as T
 from .functions import content as ct
 from .functions import url as u
 from .operators import detect, images, links, surfaces
-from .plans import crawl, frontier, graph, reports
+from .plans import crawl, extraction, frontier, graph, reports
 from .rules import DECLARED, Rules
+from .sources import artifacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -539,3 +543,138 @@ def crawl_fixpoint(spark, sf_dir):
 UNION ALL SELECT 'http://h/' || k, 'http://h/s' || k, 'json_value', '', depth FROM k WHERE captured AND k % 10 = 0 UNION ALL SELECT 'http://h/0', unnest({SEEDED}), 'seed', 'declared-path', 0""")
 def crawl_edges(spark, sf_dir):
     return _crawled(spark, sf_dir)[1]
+
+
+DIGITS = "substr(md5(({})::VARCHAR), 1, 16)"
+
+
+def _value(key) -> F.Column:
+    return F.concat(F.lit("MARK{"), F.substring(F.md5(key.cast("string").cast("binary")), 1, 16), F.lit("}"))
+
+
+@query(f"""SELECT url, {KEY} AS canon_key, CASE WHEN page_id % 4 <> 2 THEN CASE WHEN page_id % 5 = 0 THEN 'http://other/' || page_id ELSE url END END AS final_url, CASE page_id % 4 WHEN 1 THEN 404 WHEN 2 THEN 503 ELSE 200 END::INTEGER AS status,
+  CASE WHEN page_id % 4 <> 2 THEN 'text/html' END AS content_type, CASE WHEN page_id % 4 <> 2 THEN 'text/html' END AS sniffed_type, CASE WHEN page_id % 4 <> 2 THEN sha256(html) END AS sha256,
+  CASE WHEN page_id % 4 <> 2 THEN octet_length(encode(html)) END::BIGINT AS length, CASE WHEN page_id % 4 <> 2 THEN regexp_matches(html, '(?i)only visible to') END AS blocked_notice, (page_id % 3)::INTEGER AS first_seen_depth FROM pages""")
+def fetch_records(spark, sf_dir):
+    """Manifest rows of captures made of the pages, some of which failed or were redirected."""
+    k, ok = F.col("page_id"), F.col("page_id") % 4 != 2
+    status = F.when(k % 4 == 1, 404).when(~ok, 503).otherwise(200)
+    final = F.when(k % 5 == 0, F.concat(F.lit("http://other/"), k.cast("string"))).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("url", final.alias("final_url"), status.alias("status"), F.create_map(F.lit("Content-Type"), F.lit("Text/HTML; charset=utf-8")).alias("headers"), F.when(ok, F.col("html").cast("binary")).alias("content"), F.when(~ok, "failed").alias("error"), (k % 3).cast("int").alias("depth"), F.lit(0).alias("retries"))
+    return artifacts.records(rows).select("url", "canon_key", "final_url", "status", "content_type", "sniffed_type", "sha256", "length", "blocked_notice", "first_seen_depth")
+
+
+@query(f"""SELECT url, 'http://other/' || page_id AS final_url, true AS out_of_scope FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, {SITE} || '/moved', false FROM pages WHERE page_id % 3 = 1""")
+def redirects(spark, sf_dir):
+    k, site = F.col("page_id"), F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    final = F.when(k % 3 == 0, F.concat(F.lit("http://other/"), k.cast("string"))).when(k % 3 == 1, F.concat(site, F.lit("/moved"))).otherwise(F.col("url"))
+    return reports.redirects(table(spark, sf_dir, "pages").select("url", final.alias("final_url")))
+
+
+@query("""WITH a AS (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 500 WHEN 2 THEN 404 ELSE 200 END IN (500, 503) AS again, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+t AS (SELECT user_id, bool_or(again AND k = 1) AS first, bool_or(again AND k = 2) AS second, count(*) AS n FROM a WHERE k <= 2 GROUP BY user_id)
+SELECT user_id::VARCHAR AS canon_key, CASE WHEN first AND (second OR n = 1) THEN 'errored' ELSE 'fetched' END AS state, CASE WHEN first AND second THEN 2 WHEN first AND n = 1 THEN 1 ELSE 0 END::INTEGER AS retries FROM t""")
+def fetch_outcomes(spark, sf_dir):
+    """Events stand in for attempts, users for keys."""
+    status = F.when(F.col("event_id") % 5 == 0, 503).when(F.col("event_id") % 5 == 1, 500).when(F.col("event_id") % 5 == 2, 404).otherwise(200)
+    return frontier.outcomes(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("canon_key"), status.alias("status"), F.lit(None).cast("string").alias("error")))
+
+
+@query("SELECT sha256(text) AS sha256, count(*)::BIGINT AS carriers, 'http://site/' || min(doc_id) AS first, max(octet_length(encode(text)))::BIGINT AS length FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def manifest_round_trip(spark, sf_dir):
+    """Documents as a manifest of JSON lines in order, appended to the checkpoint folder and read again: each body's carriers and first row."""
+    graph.ensure_checkpoints(docs := table(spark, sf_dir, "documents"))
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/manifest-{uuid.uuid4().hex}"
+    rows = docs.filter("text is not null").orderBy("doc_id").select(F.concat(F.lit("http://site/"), F.col("doc_id").cast("string")).alias("url"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("length"))
+    artifacts.append_jsonl(rows, path)
+    manifest = artifacts.read_jsonl(spark, path, artifacts.MANIFEST)
+    first = artifacts.first_rows(manifest).select("sha256", F.col("url").alias("first"), "length")
+    return first.join(artifacts.fetched(manifest).groupBy("sha256").agg(F.count("*").alias("carriers")), "sha256")
+
+
+@query("SELECT DISTINCT sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS length FROM documents WHERE text IS NOT NULL")
+def content_store(spark, sf_dir):
+    bodies = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("text").cast("binary").alias("content"))
+    return artifacts.content_addressed(bodies).select("sha256", F.octet_length("content").cast("bigint").alias("length"))
+
+
+def _capture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, blobs): documents carry a hundred bodies with a value each; every tenth has a rendering, every fiftieth a header with one."""
+    k, text = F.col("doc_id"), F.concat(F.lit("body "), _value(F.col("doc_id") % 100))
+    shot = F.when(k % 10 == 0, F.concat(F.lit("<p>"), _value(k % 100 + F.when(k % 20 == 0, 1000).otherwise(0)), F.lit("</p>")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("body"), shot.alias("shot"))
+    headers = F.when(k % 50 == 0, F.create_map(F.lit("x-note"), _value(k + 2000))).otherwise(F.create_map().cast("map<string,string>"))
+    url = F.concat(F.lit("http://site/"), k.cast("string"))
+    manifest = rows.select(k.alias("seq"), url.alias("url"), url.alias("canon_key"), F.lit("text/plain").alias("content_type"), F.lit("").alias("url_ext"), F.sha2("body", 256).alias("sha256"), F.sha2("shot", 256).alias("rendered_sha256"), F.lit(None).cast("string").alias("interacted_sha256"), headers.alias("headers"))
+    return manifest, artifacts.content_addressed(rows.select(F.explode(F.array("body", "shot")).alias("x")).filter("x is not null").select(F.col("x").cast("binary").alias("content")))
+
+
+@query(f"""WITH d AS (SELECT 'http://site/' || doc_id AS url, doc_id AS k FROM documents)
+SELECT 'MARK{{' || {DIGITS.format('k % 100')} || '}}' AS canonical, url, 'text/plain:raw' AS how_found FROM d
+UNION ALL SELECT 'MARK{{' || {DIGITS.format('k % 100 + CASE WHEN k % 20 = 0 THEN 1000 ELSE 0 END')} || '}}', url, 'rendered:' || unnest(['html_text', 'raw']) FROM d WHERE k % 10 = 0
+UNION ALL SELECT 'MARK{{' || {DIGITS.format('k + 2000')} || '}}', url, 'header:x-note' FROM d WHERE k % 50 = 0""")
+def secrets(spark, sf_dir):
+    """Bodies are looked through once each, what is found holds for every carrier; snapshots and headers are looked through as well."""
+    return extraction.results(*_capture(spark, sf_dir))["secrets"].select("canonical", "url", "how_found")
+
+
+@query(f"""WITH d AS (SELECT 'http://site/' || doc_id AS url, doc_id AS k FROM documents WHERE doc_id % 20 = 0)
+SELECT 'MARK{{' || {DIGITS.format('k % 100')} || '}}' AS canonical, url, 'raw_only' AS corpus FROM d UNION ALL SELECT 'MARK{{' || {DIGITS.format('k % 100 + 1000')} || '}}', url, 'rendered_only' FROM d""")
+def divergences(spark, sf_dir):
+    return extraction.results(*_capture(spark, sf_dir))["divergences"].select("canonical", "url", "corpus")
+
+
+@query(f"""SELECT min(n)::BIGINT AS n_rows, count(DISTINCT v)::BIGINT AS distinct_strict, count(DISTINCT v) >= 8 AS count_met FROM (SELECT {DIGITS.format('doc_id % 100')} AS v, 0 AS n FROM documents
+  UNION ALL SELECT {DIGITS.format('doc_id % 100 + CASE WHEN doc_id % 20 = 0 THEN 1000 ELSE 0 END')}, 0 FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT {DIGITS.format('doc_id + 2000')}, 0 FROM documents WHERE doc_id % 50 = 0)""")
+def distinct_strict(spark, sf_dir):
+    """What the extraction's document says of its values, and how many rows are unhandled."""
+    tables = extraction.results(*_capture(spark, sf_dir))
+    head = json.loads(next(iter(extraction.document(tables))).rstrip(",") + "}")
+    return tables["unhandled_types"].agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(head["distinct_strict"]).cast("bigint").alias("distinct_strict"), F.lit(head["count_met"]).alias("count_met"))
+
+
+@query("SELECT DISTINCT 'reports/m' || page_id % 40 AS ref FROM pages")
+def review_refs(spark, sf_dir):
+    url = F.col("url")
+    text = F.concat(F.lit('load("reports/m'), (F.col("page_id") % 40).cast("string"), F.lit('") "a/b.js" "/c/d/"'))
+    return links.review(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("base"), text.alias("text"), u.scope(url).alias("scope")))
+
+
+@query("SELECT url AS canon_key FROM (SELECT DISTINCT url FROM pages WHERE page_id % 7 = 3) ORDER BY 1 LIMIT 10")
+def unaccounted_keys(spark, sf_dir):
+    """The first keys without a terminal state, in order."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("canon_key"), "page_id")
+    states = pages.select("canon_key", F.when(F.col("page_id") % 7 != 3, "fetched").alias("state"))
+    return frontier.unaccounted(pages.select("canon_key").distinct(), states)
+
+
+@query("""SELECT page_id, t AS content_type, h AS handler FROM pages JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k,
+  unnest(['text/html', 'text/css', 'application/json', 'image/svg+xml', 'image/png', 'application/pdf', 'text/csv', 'video/mp4', '', 'text/vtt']) AS t, unnest(['html', 'code', 'json', 'xml', 'raster', 'pdf', 'csv', NULL, NULL, 'text']) AS h) ON page_id % 10 = k""")
+def handlers(spark, sf_dir):
+    """Header values of ten types, and what their bodies are expanded by."""
+    values = ["Text/HTML; charset=utf-8", " text/css ", "application/json;x", "image/svg+xml", "image/png", "application/pdf", "text/csv; header=present", "video/mp4", "", "text/vtt"]
+    kind = ct.header_type(F.array(*map(F.lit, values))[(F.col("page_id") % 10).cast("int")])
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("content_type"), ct.handler(kind, F.lit("")).alias("handler"))
+
+
+@query("SELECT p_partkey AS id, 'pdf_text' AS sub, '(' || p_brand || ')' AS data FROM part UNION ALL SELECT p_partkey, 'pdf_text', p_type FROM part")
+def pdf_strings(spark, sf_dir):
+    """Strings of text objects, parentheses escaped in some."""
+    body = F.concat(F.lit("%PDF-1.4 (not) BT (\\("), "p_brand", F.lit("\\)) Tj ET (nor) BT\n("), "p_type", F.lit(") Tj ET"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sha256"), F.lit("pdf").alias("handler"), body.cast("binary").alias("content"))
+    return surfaces.expanded(rows).filter("sub = 'pdf_text'").select(F.col("sha256").alias("id"), "sub", F.col("data").cast("string").alias("data"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _png(text: pd.Series) -> pd.Series:
+    """A PNG's signature, a text chunk, and its end."""
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    return text.map(lambda t: b"\x89PNG\r\n\x1a\n" + chunk(b"tEXt", b"note\0" + t.encode()) + chunk(b"IEND", b""))
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS sha256, 'MARK{{' || {DIGITS.format('c_custkey')} || '}}' AS raw, 'strict' AS bucket FROM customer
+UNION ALL SELECT c_custkey::VARCHAR, 'FRAGMENT:' || {DIGITS.format('c_custkey')}, 'ruled_out' FROM customer""")
+def image_texts(spark, sf_dir):
+    """Values in images' text chunks, each once for an image, and bare runs of digits beside them."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sha256"), _png(_value(F.col("c_custkey"))).alias("content"))
+    return images.metadata_sightings(rows).select("sha256", "raw", "bucket").distinct()
