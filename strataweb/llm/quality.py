@@ -9,12 +9,11 @@ as a whole, and its verdict is joined back to its documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as c
 
@@ -51,25 +50,29 @@ def counts(texts: list[str | None]) -> list[np.ndarray]:
     return [x.n, points - blank, summed(SYMBOL[x.byte]), dup, covered[x.first + x.n] - covered[x.first], n_lines]
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k, texts in c.blocks(b.column(0).to_pylist()):
-            cols = [pa.array(x, pa.int64()) for x in counts(texts)]
-            yield pa.RecordBatch.from_arrays([*(y.slice(k, len(texts)) for y in b.columns[1:]), *cols], names=[*b.schema.names[1:], *COUNTS, "n_lines"])
+@F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in (*COUNTS, "n_lines")]))
+def counted(text: pa.Array) -> pa.Array:
+    """COUNTS and n_lines of texts."""
+    parts = [counts(some) for _, some in c.blocks(text.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in zip(*parts)] if parts else [pa.array([], pa.int64())] * (len(COUNTS) + 1), names=[*COUNTS, "n_lines"])
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns to keep, COUNTS of the text, n_lines, whether each of RULES failed, base_failed and rule_failed.
+def ruled(rows: DataFrame) -> DataFrame:
+    """rows with COUNTS and n_lines, and whether each of RULES failed, base_failed and rule_failed.
 
     rule_failed: whether any rule failed, `lines` by the number of lines too, where RULES hold it against words.
     """
-    schema = c.extended(docs, keep, ", ".join(f"{x} long" for x in (*COUNTS, "n_lines")))
-    rows = docs.select("text", *keep).mapInArrow(_each, schema)
     rules = {"short": F.col("n_words") < MIN_WORDS, "repetitive": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"), "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words"), "lines": 100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_words")}
     rows = rows.withColumns(rules).withColumn("base_failed", F.col("short") | F.col("repetitive"))
     return rows.withColumn("rule_failed", F.col("base_failed") | F.col("symbols") | F.col("lines") | (100 * F.col("n_dup_lines") > REPEATED_LINE_PERCENT * F.col("n_lines")))
 
 
+def measured(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, COUNTS of the text, n_lines, and what ruled() makes of them; only texts go to Python."""
+    rows = docs.select(*keep, counted(F.col("text")).alias("_counts"))
+    return ruled(rows.select(*keep, *(F.col("_counts")[x].alias(x) for x in (*COUNTS, "n_lines"))))
+
+
 def host_rates(rows: DataFrame, host: str) -> DataFrame:
     """(host, n, and for each rule its shrunk rate) of rows from measured(); rows without a host aside."""
     per = c.cut(rows.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *(F.count_if(r).alias(r) for r in RULES)))
