@@ -46,20 +46,37 @@ def _wide(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else [{"text": d.decode(e, "ignore"), "note": f"[{e}]"} for e in ("utf-16-le", "utf-16-be")] for d in data], dtype=object)
 
 
+def _texts(wide: Column | None) -> Column:
+    """What surfaces (sub, data) are read as: a character for each byte, and UTF-16 if they are wide."""
+    none = F.array().cast("array<struct<text:string,note:string>>")
+    wide = F.col("sub") == "raw" if wide is None else wide
+    once = F.array(F.struct(latin1(F.col("data")).alias("text"), F.lit("").alias("note")))
+    return F.concat(once, F.when(wide, F.coalesce(_wide(F.when(wide, F.col("data"))), none)).otherwise(none))
+
+
 def sightings(surfaces: DataFrame, rules: Rules = Rules(), wide: Column | None = None) -> DataFrame:
     """surfaces (…, sub, data) to (…, sub, how_found, raw, canonical, ruled_out, strict, bucket).
 
     Surfaces that are wide, by default those called raw, are tried as UTF-16 as well.
     """
-    none = F.array().cast("array<struct<text:string,note:string>>")
-    wide = F.col("sub") == "raw" if wide is None else wide
-    once = F.array(F.struct(latin1(F.col("data")).alias("text"), F.lit("").alias("note")))
-    again = F.when(wide, F.coalesce(_wide(F.when(wide, F.col("data"))), none)).otherwise(none)
-    rows = surfaces.withColumn("_t", F.explode(F.concat(once, again)))
+    rows = surfaces.withColumn("_t", F.explode(_texts(wide)))
     rows = rows.withColumn("raw", F.explode(F.concat(strict_hits(F.col("_t.text"), rules), loose_hits(F.col("_t.text"), rules))))
     return judged(rows.withColumn("how_found", F.concat("sub", "_t.note")), rules).drop("_t", "data")
 
 
+def totals(surfaces: DataFrame, rules: Rules = Rules(), wide: Column | None = None) -> DataFrame:
+    """(sub, n, bytes, strict, needs_review, ruled_out): surfaces, their bytes, and sightings() by bucket, in one pass."""
+
+    def hit(raw: Column) -> Column:
+        value = canonical(raw, rules)
+        return F.when(ruled_out(raw, value, rules) != "", "ruled_out").when(value.isNotNull(), "strict").otherwise("needs_review")
+
+    hits = F.flatten(F.transform(_texts(wide), lambda t: F.concat(strict_hits(t["text"], rules), loose_hits(t["text"], rules))))
+    rows = surfaces.select("sub", F.octet_length("data").alias("size"), F.transform(hits, hit).alias("hits"))
+    own = lambda x: F.sum(F.size(F.filter("hits", lambda h: h == x))).alias(x)
+    return rows.groupBy("sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *map(own, ("strict", "needs_review", "ruled_out")))
+
+
 def bucket() -> Column:
     return F.when(F.col("ruled_out") != "", "ruled_out").when(F.col("strict"), "strict").otherwise("needs_review")
 

@@ -20,6 +20,8 @@ from ..functions.content import latin1, utf8
 #: Patterns of scripts, styles and attributes in markup.
 SCRIPT, STYLE = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>"
 ATTRIBUTE = r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+#: A match of ATTRIBUTE begins where a run of name characters does, so that other places needn't be tried.
+NAMED = r"(?<![\w:-])" + ATTRIBUTE
 SURFACE, PAYLOAD = (T.ArrayType(T.StructType([T.StructField("sub", T.StringType()), T.StructField("data", x)])) for x in (T.StringType(), T.BinaryType()))
 
 
@@ -54,7 +56,7 @@ def hidden(text: Column) -> Column:
 
 def attributes(text: Column) -> Column:
     """(sub html_attr:<name>, data) of non-empty attributes outside scripts and styles."""
-    whole = F.regexp_extract_all(stripped(text), F.lit(ATTRIBUTE), 0)
+    whole = F.regexp_extract_all(stripped(text), F.lit(NAMED), 0)
     name = lambda a: F.lower(F.regexp_extract(a, r"^([\w:-]+)", 1))
     value = lambda a: F.regexp_extract(a, r"(?s)^[\w:-]+\s*=\s*[\"'](.*)[\"']$", 1)
     return F.filter(F.transform(whole, lambda a: F.struct(F.concat(F.lit("html_attr:"), name(a)).alias("sub"), value(a).alias("data"))), lambda s: s["data"] != "")
@@ -219,7 +221,10 @@ def _decoded(text: pd.Series) -> pd.Series:
 def decoded(body: Column) -> Column:
     """Decoded variants (sub, data) of a binary body; bodies without a gate's characters don't leave the JVM."""
     text = latin1(body)
-    may = text.rlike(f"{BASE64}|;base64,|{PERCENT}|{ENTITIES}|{CSS_ESCAPES}|{JS_ESCAPES}|fromCharCode")
+    # A long run is found where it begins; what begins with a mark is looked for where there is one.
+    may = text.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}") | text.contains(";base64,") | text.contains("fromCharCode")
+    for mark, pattern in (("%", PERCENT), ("&", ENTITIES), ("\\", CSS_ESCAPES), ("\\", JS_ESCAPES)):
+        may = may | (text.contains(mark) & text.rlike(pattern))
     return F.coalesce(_decoded(F.when(may, text)), F.array().cast("array<struct<sub:string,data:binary>>"))
 
 

@@ -481,7 +481,6 @@ def structured_surfaces(spark, sf_dir):
     return found.select(F.col("sha256").alias("id"), "sub", F.col("data").cast("string").alias("data"))
 
 
-PAGE_BUCKETS = ["strict", "needs_review", "ruled_out"]
 #: Pages have no single quotes, escapes, or comments in scripts and styles; payloads in base64 are taken to hold no hit.
 SURFACES = f"""WITH d AS (SELECT DISTINCT html FROM pages),
 script AS (SELECT unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1)) AS x FROM d), style AS (SELECT unnest(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1)) AS x FROM d),
@@ -501,10 +500,7 @@ SELECT sub, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes, sum(len(regexp_ex
 def page_sightings(spark, sf_dir):
     """By surface, of all pages: their number and bytes, and the sightings of a pattern that page texts hold, by bucket."""
     bodies = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("sha256"), F.lit("html").alias("handler"), F.col("html").cast("binary").alias("content")).dropDuplicates(["sha256"])
-    found = surfaces.expanded(bodies)
-    own = lambda x: F.count_if(F.col("bucket") == x).alias(x)
-    hits = detect.sightings(found, Rules(prefix="p")).groupBy("sub").agg(*map(own, PAGE_BUCKETS))
-    return found.groupBy("sub").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes")).join(hits, "sub", "left").fillna(0, PAGE_BUCKETS)
+    return detect.totals(surfaces.expanded(bodies), Rules(prefix="p"))
 
 
 @query(f"""{BFS}, n AS (SELECT src AS node FROM {EDGES} UNION SELECT dst FROM {EDGES})
