@@ -355,3 +355,21 @@ def test_quality_sql_on_bad_hosts(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
     rejected = {r[3] for r in rows} - {h for (i, _, _, h, _), k in zip(rows, [r.kept for r in sorted(got, key=lambda r: r.doc_id)]) if k}
     assert "all bad" in rejected and not rejected & {"few", "none"}
+
+
+def test_pieces_blocks_without_ids(monkeypatch):
+    """Blocks of null and empty texts alone, and texts with line feeds, runs of spaces and characters spelled by bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces.SparkFiles, "get", staticmethod(lambda name: pieces.MODEL))
+    each = pieces._each(pieces.MODEL, 2, 1.0, 42)
+    words = pieces.Vocabulary(pieces.MODEL, 1.0)
+    for texts in ([None], [""], [None, ""], [], ["\U0001f9ec a\n\n  b ", "", None, "x"], [" ", "\n", "a\x00b"]):
+        rows = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))], pa.string()), pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], names=["_key", "_text", "doc_id"])
+        got = [r for b in each(iter([rows])) for r in b.to_pylist()]
+        assert {r["doc_id"] for r in got} == set(range(len(texts)))
+        for r in got:
+            text = texts[r["doc_id"]]
+            assert (r["ids"], r["round_trip"]) == (None, None) if text is None else r["round_trip"] and pieces.decode(words, r["ids"]) == text
+    ids = [[5, 9], [], [7]]
+    assert pieces.decoded(words, np.array([5, 9, 7], np.int32), np.array([2, 0, 1])) == [b"".join(words.bytes_of[k] for k in x)[1:] for x in ids]
