@@ -231,6 +231,21 @@ def test_samples_against_all_segmentations():
     assert abs(np.mean([tuple(r[0][0].tolist()) == best for r in found]) - math.exp(p[best])) < 0.03
 
 
+def test_samples_are_all_segmentations():
+    """Of as many samples as there are segmentations none is missing, be the others' shares lost next to 1 or weights too small or large for a number."""
+    for alpha in (0.0, 1.0, 2.0, 4.0):
+        own = pieces.Sampler(pieces.MODEL, alpha, 42)
+        for text in ("t", "  a", "Bitcoin", "heter"):
+            paths = all_paths(own.words, " " + text)
+            z = np.logaddexp.reduce([w for _, w in paths])
+            found = own.sample([(1, text)], len(paths) + 1)[0]
+            assert sorted(tuple(x[0].tolist()) for x in found) == sorted(a for a, _ in paths)
+            assert all(abs(dict(paths)[tuple(x[0].tolist())] - z - x[1]) < 1e-9 and x[2] == 1 for x in found)
+    for alpha, text in ((60.0, "t"), (0.0, "=" * 2500)):
+        found = pieces.Sampler(pieces.MODEL, alpha, 42).sample([(1, text)], 2)[0]
+        assert len({tuple(x[0].tolist()) for x in found}) == 2 and all(x[1] <= 0 <= x[2] <= 1 for x in found)
+
+
 def test_pieces_round_trip(spark):
     rows = ODD + [(90, "丁龘" * 200 + "  two  spaces ")]
     got = pieces.sampled(spark.createDataFrame(rows, DOCS), "doc_id", k=3).collect()
