@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -373,3 +374,42 @@ def test_pieces_blocks_without_ids(monkeypatch):
             assert (r["ids"], r["round_trip"]) == (None, None) if text is None else r["round_trip"] and pieces.decode(words, r["ids"]) == text
     ids = [[5, 9], [], [7]]
     assert pieces.decoded(words, np.array([5, 9, 7], np.int32), np.array([2, 0, 1])) == [b"".join(words.bytes_of[k] for k in x)[1:] for x in ids]
+
+
+def test_pieces_hold_a_block(monkeypatch):
+    """While a block's samples go out, the batch's other texts aren't held as strings; freed memory is given back."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces.SparkFiles, "get", staticmethod(lambda name: pieces.MODEL))
+    trims, trim = [], pieces.c.trim
+    monkeypatch.setattr(pieces.c, "trim", lambda: trims.append(trim()))
+    each = pieces._each(pieces.MODEL, 2, 1.0, 42)
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array(map(str, range(n))), pa.array([f"{k} " + "ab " * 50_000 for k in range(n)]), pa.array(range(n))], names=["_key", "_text", "doc_id"])
+    assert sum(x.num_rows for x in each(iter([batch(1)]))) == 2
+    many, before = batch(200), len(trims)
+    tracemalloc.start()
+    try:
+        rest = each(iter([many]))
+        next(rest)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 16e6 < many.nbytes
+    for _ in range(4):
+        next(rest)
+    assert len(trims) >= before + 2
+
+
+def test_pieces_met_by_flags(monkeypatch):
+    """Samples don't depend on what chunks share a flag, and those met once take no more room than the flags."""
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choice("abcdé丁") for _ in range(rng.randint(1, 7))) for _ in range(300))) for k in range(20)]
+    want = [pieces.Sampler(pieces.MODEL, 1.0, 42).sample([r], 2)[0] for r in rows]
+    monkeypatch.setattr(pieces, "FLAGS", 16)
+    monkeypatch.setattr(pieces, "MET", 700)
+    own = pieces.Sampler(pieces.MODEL, 1.0, 42)
+    for _ in range(2):
+        for r, x in zip(rows, want):
+            (got,) = own.sample([r], 2)
+            assert all((a[0] == b[0]).all() and a[1:] == b[1:] for a, b in zip(got, x, strict=True))
+    assert own.met.nbytes == 16
