@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as u
 from ..rules import DECLARED, Rules
-from .frontier import capped, distinct_keys
+from .frontier import capped, distinct_keys, ranked
 from .graph import ensure_checkpoints
 
 EDGE = "src string, dst string, how string, hint string, depth int"
+#: Rows of a turn up to which one task puts them in order, and what they are joined with isn't shuffled.
+SMALL = 20_000
+#: Turns' tables that are kept apart.
+PIECES = 8
 
 
 def seeds(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +38,8 @@ def crawl(root: str, pages: DataFrame, dom: DataFrame, scanned: DataFrame, rules
     are new are scanned, in the order they were fetched. Each key is capped as it is discovered. keys: canon_key,
     depth, rank, and state: fetched, errored (capped, or not captured) or out_of_scope. edges: all of dom's and redirects,
     but scanned ones of new keys only. A turn's keys and edges are cut to the checkpoint folder; what is known is
-    joined, not collected.
+    joined, not collected. Small turns are broadcast to what is known and to the references, and templates are counted
+    only where a cap can be reached.
     """
     spark = pages.sparkSession
     ensure_checkpoints(pages)
@@ -45,37 +50,66 @@ def crawl(root: str, pages: DataFrame, dom: DataFrame, scanned: DataFrame, rules
     redirects = redirects.withColumn("how", F.lit("redirect")).withColumn("place", F.lit(0)).withColumn("kind", F.lit(0))
     found_in, scans = target(dom).withColumn("kind", F.lit(1)), target(scanned).withColumn("kind", F.lit(2))
     cols = ["src", "canon_key", "dst_url", "in_scope", "how", "hint", "place", "kind"]
-    by_page, by_scan = redirects.select(cols).unionByName(found_in.select(cols)).checkpoint(), scans.select(cols).checkpoint()
+    got = pages.select(F.col("canon_key").alias("src"))
+    by_page = redirects.select(cols).unionByName(found_in.select(cols).join(got, "src", "left_semi")).checkpoint()
+    by_scan = scans.select(cols).join(got, "src", "left_semi").checkpoint()
     found, first = seeds(spark, root)
-    known, edges, turn, n = [], [first.checkpoint()], found.select("seq", "canon_key", F.col("url").alias("dst_url"), "depth", "in_scope"), 0
-    taken, unscanned = None, []
+    # Tables with their numbers of rows; size: how many rows a turn has at most, n: how many keys are known, of which scans have seen those up to seen.
+    known, edges, n, seen = [], [(first.checkpoint(), len(DECLARED))], 0, 0
+    turn, size = found.select("seq", "canon_key", F.col("url").alias("dst_url"), "depth", "in_scope"), len(DECLARED) + 1
     while True:
-        fresh = distinct_keys(turn.select("seq", "canon_key", "dst_url", "depth", "in_scope"))
+        fresh = distinct_keys(turn.select("seq", "canon_key", "depth", "in_scope"))
         if known:
-            fresh = fresh.join(reduce(DataFrame.unionByName, known).select("canon_key"), "canon_key", "left_anti")
-        keys = capped(fresh.withColumn("template", u.query_template(F.col("canon_key"))), rules.max_keys, rules.max_per_template, n, taken)
-        keys = keys.withColumn("rank", F.col("rank") + n).select("canon_key", "template", "depth", "rank", "state").checkpoint()
+            fresh = _without(fresh, turn.select("canon_key"), _whole(known).select("canon_key"), size)
+        if n + size > min(rules.max_keys, rules.max_per_template):
+            taken = _whole(known).filter("state = 'enqueued'").groupBy(u.query_template(F.col("canon_key")).alias("template")).agg(F.count("*").alias("n")) if known else None
+            keys = capped(fresh.withColumn("template", u.query_template(F.col("canon_key"))), rules.max_keys, rules.max_per_template, n, taken)
+        else:
+            keys = ranked(fresh) if size > SMALL else fresh.withColumn("rank", F.row_number().over(Window.orderBy("seq")))
+            keys = keys.withColumn("state", F.when(F.col("in_scope"), "enqueued").otherwise("out_of_scope"))
+        keys = keys.select("canon_key", "depth", (F.col("rank") + n).cast("long").alias("rank"), "state").checkpoint()
         count = keys.count()
         if count:
-            known, n = [*known, keys], n + count
-            if len(known) > 20:
-                known = [reduce(DataFrame.unionByName, known).checkpoint()]
-            taken = reduce(DataFrame.unionByName, known).filter("state = 'enqueued'").groupBy("template").agg(F.count("*").alias("n")).checkpoint()
-            new = keys.filter("state = 'enqueued'").join(pages.select("canon_key"), "canon_key", "left_semi").select(F.col("canon_key").alias("src"), "depth", "rank").checkpoint()
-            unscanned.append(new)
-            links = by_page.join(new, "src").checkpoint()
-            edges.append(links.select("src", F.col("canon_key").alias("dst"), "how", "hint", "depth"))
+            known, n = _fewer([*known, (keys, count)]), n + count
+            links = by_page.join(_sent(keys.filter("state = 'enqueued'").select(F.col("canon_key").alias("src"), "depth", "rank"), count), "src").hint("rebalance").checkpoint()
+            size = links.count()
+            edges = _fewer([*edges, (links.select("src", F.col("canon_key").alias("dst"), "how", "hint", "depth"), size)])
             # A redirect out of scope isn't seen.
             turn = links.filter("kind > 0 or in_scope").withColumn("depth", F.when(F.col("kind") > 0, F.col("depth") + 1).otherwise(F.col("depth")))
-        elif unscanned:
-            links = by_scan.join(reduce(DataFrame.unionByName, unscanned), "src")
-            links = links.join(reduce(DataFrame.unionByName, known).select("canon_key"), "canon_key", "left_anti").withColumn("seq", F.struct(F.col("rank").alias("parent"), "kind", "place")).checkpoint()
-            edges.append(distinct_keys(links).select("src", F.col("canon_key").alias("dst"), "how", "hint", "depth"))
-            turn, unscanned = links.withColumn("depth", F.col("depth") + 1), []
+        elif seen < n:
+            new = _whole(known).filter(f"state = 'enqueued' and rank > {seen}").select(F.col("canon_key").alias("src"), "depth", "rank")
+            links = by_scan.join(_sent(new, n - seen), "src").join(_whole(known).select("canon_key"), "canon_key", "left_anti")
+            links = links.withColumn("seq", F.struct(F.col("rank").alias("parent"), "kind", "place")).hint("rebalance").checkpoint()
+            size, seen = links.count(), n
+            edges = _fewer([*edges, (distinct_keys(links).select("src", F.col("canon_key").alias("dst"), "how", "hint", "depth"), size)])
+            turn = links.withColumn("depth", F.col("depth") + 1)
         else:
             break
         turn = turn.withColumn("seq", F.struct(F.col("rank").alias("parent"), "kind", "place"))
-    keys = reduce(DataFrame.unionByName, known).join(pages.select("canon_key", F.lit(True).alias("_got")), "canon_key", "left")
+    keys = _whole(known).join(pages.select("canon_key", F.lit(True).alias("_got")), "canon_key", "left")
     state = F.when(F.col("state") == "out_of_scope", "out_of_scope").when((F.col("state") == "enqueued") & F.col("_got"), "fetched").otherwise("errored")
     capped_by = F.when(F.col("state").isin("global", "template"), F.col("state"))
-    return keys.select("canon_key", "depth", "rank", state.alias("state"), capped_by.alias("capped")), reduce(DataFrame.unionByName, edges)
+    return keys.select("canon_key", "depth", "rank", state.alias("state"), capped_by.alias("capped")), _whole(edges)
+
+
+def _whole(pieces: list[tuple[DataFrame, int]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (x for x, _ in pieces))
+
+
+def _fewer(pieces: list[tuple[DataFrame, int]]) -> list[tuple[DataFrame, int]]:
+    """The pieces; of over PIECES the last ones are cut together, with those before that have at most twice as many rows."""
+    k, n = len(pieces) - 1, pieces[-1][1]
+    while len(pieces) > PIECES and k and pieces[k - 1][1] <= 2 * n:
+        k, n = k - 1, n + pieces[k - 1][1]
+    return pieces if k == len(pieces) - 1 else [*pieces[:k], (_whole(pieces[k:]).hint("rebalance").checkpoint(), n)]
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
+def _without(found: DataFrame, keys: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """found without known keys; keys are found's, n at most."""
+    if n <= SMALL:
+        known = F.broadcast(known.join(F.broadcast(keys), "canon_key", "left_semi"))
+    return found.join(known, "canon_key", "left_anti")

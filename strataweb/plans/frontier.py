@@ -19,10 +19,9 @@ def distinct_keys(found: DataFrame) -> DataFrame:
 
 
 def _dealt(keys: DataFrame, by: str) -> DataFrame:
-    """keys by ranges of `by` in _part, kept in the checkpoint folder as ranges are sampled anew each time."""
+    """keys by ranges of `by` in _part, as many as they fill, kept in the checkpoint folder as ranges are sampled anew each time."""
     ensure_checkpoints(keys)
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    return keys.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).checkpoint()
 
 
 def _placed(dealt: DataFrame, by: str) -> DataFrame:

@@ -440,6 +440,26 @@ def test_crawl_against_a_queue(spark, max_keys, per_template):
     assert sorted((r.src, r.dst, r.how) for r in edges.collect()) == want_edges
 
 
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_crawl_without_caps_in_reach(spark, monkeypatch, small):
+    """No template is counted, and tables of turns are cut together, whether turns are small or not."""
+    from strataweb.plans import crawl as crawling
+
+    monkeypatch.setattr(crawling, "SMALL", small)
+    monkeypatch.setattr(crawling, "PIECES", 2)
+    monkeypatch.setattr(crawling, "capped", None)
+    names = [f"http://h/{k}" for k in range(5)]
+    pages = dict.fromkeys(names[:4])
+    dom = {a: [b, names[0]] for a, b in zip(names[:3], names[1:])}
+    scans = {names[0]: [names[1], names[4]]}
+    frame = lambda links, how: spark.createDataFrame([(s, d, how, "", k) for s, x in links.items() for k, d in enumerate(x)], "src string, dst_url string, how string, hint string, place int")
+    rows = spark.createDataFrame([(x, x, x, 200) for x in pages], "canon_key string, url string, final_url string, status int")
+    keys, edges = crawling.crawl(names[0], rows, frame(dom, "a_href"), frame(scans, "tier2"))
+    want, want_edges = simulated(names[0], pages, dom, scans, 2000, 60)
+    assert {r.canon_key: (r.depth, r["rank"], r.state) for r in keys.collect()} == want
+    assert sorted((r.src, r.dst, r.how) for r in edges.collect()) == want_edges
+
+
 def test_sources(spark, tmp_path):
     """Order over files and splits, what a record has, content addressed bodies, documents."""
     from strataweb.sources import artifacts
