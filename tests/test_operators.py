@@ -460,6 +460,23 @@ def test_crawl_without_caps_in_reach(spark, monkeypatch, small):
     assert sorted((r.src, r.dst, r.how) for r in edges.collect()) == want_edges
 
 
+def test_utf16_goes_back_in_slices(spark, monkeypatch):
+    """Parts of a batch hold about SLICE bytes; large and null values are each found once."""
+    import pyarrow as pa
+
+    from strataweb.operators import detect
+
+    monkeypatch.setattr(detect, "SLICE", 100)
+    data = pa.array([b"x" * n if n is not None else None for n in (30, 30, None, 50, 250, 0, 90, None)], pa.binary())
+    parts = list(detect.slices(data))
+    assert pa.concat_arrays(parts).equals(data) and max(map(len, parts)) < 5 and not list(detect.slices(data[:0]))
+    monkeypatch.undo()
+    big = ["\u82e2MARK{%016x} " % k + "x" * 700_000 for k in range(4)]
+    rows = spark.createDataFrame([("raw", x.encode("utf-16-le")) for x in big] + [("raw", None), ("other", big[0].encode("utf-16-le"))], "sub string, data binary").coalesce(1)
+    found = detect.sightings(rows).filter("strict").collect()
+    assert sorted((r.how_found, r.canonical) for r in found) == [("raw[utf-16-le]", "MARK{%016x}" % k) for k in range(4)]
+
+
 def test_sources(spark, tmp_path):
     """Order over files and splits, what a record has, content addressed bodies, documents."""
     from strataweb.sources import artifacts
