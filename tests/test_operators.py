@@ -460,6 +460,27 @@ def test_crawl_without_caps_in_reach(spark, monkeypatch, small):
     assert sorted((r.src, r.dst, r.how) for r in edges.collect()) == want_edges
 
 
+def test_crawl_turns_take_few_tasks(spark, tmp_path):
+    """A small turn takes few tasks, however many partitions a shuffle has: 209 in all here, 717 when each turn was dealt to all of them."""
+    from strataweb import queries
+
+    spark.range(15).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    context, usual = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    context.setJobGroup("turns", "turns")
+    try:
+        rows = queries.crawl_edges(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    got, h = sorted((r.src, r.dst, r.depth) for r in rows if r.how != "seed"), "http://h/"
+    want = [(f"{h}{k}", f"{h}{2 * k + j}", (k + 1).bit_length() - 1) for k in range(15) for j in (1, 2)] + [(f"{h}0", f"{h}s0", 0), (f"{h}10", f"{h}s10", 3)]
+    assert got == sorted(want) and len(rows) == len(want) + len(rules.DECLARED)
+    seen = context.statusTracker()
+    stages = [x for j in seen.getJobIdsForGroup("turns") for k in seen.getJobInfo(j).stageIds if (x := seen.getStageInfo(k))]
+    assert stages and sum(x.numCompletedTasks for x in stages) < 400
+
+
 def test_utf16_goes_back_in_slices(spark, monkeypatch):
     """Parts of a batch hold about SLICE bytes; large and null values are each found once."""
     import pyarrow as pa
